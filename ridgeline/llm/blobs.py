@@ -31,7 +31,7 @@ def create(folder: str, name: str):
     """An output stream for ``folder/name``; the folder is made if need be."""
     files, path = store(folder)
     files.create_dir(path, recursive=True)
-    return files.open_output_stream(f"{path}/{name}")
+    return files.open_output_stream(f"{path}/{name}", compression=None)
 
 
 def open_at(folder: str, name: str):

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from ridgeline.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from ridgeline.llm.token_output import op1_token_output
+from ridgeline.llm.url_filter import op8_url_filter
+from ridgeline.llm.warc import OP2_SQL, op2_warc
 
 QUERIES = {
     "op1_token_output": op1_token_output,
+    "op2_warc": op2_warc,
+    "op4_exact_dedup": op4_exact_dedup,
+    "op8_url_filter": op8_url_filter,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op2_warc": OP2_SQL,
+    "op4_exact_dedup": OP4_SQL,
+}
