@@ -3,18 +3,25 @@
 from __future__ import annotations
 
 from ridgeline.llm.exact_dedup import OP4_SQL, op4_exact_dedup
+from ridgeline.llm.language_id import op7_language_id
+from ridgeline.llm.mixing import OP9_SQL, op9_mixing
 from ridgeline.llm.token_output import op1_token_output
+from ridgeline.llm.unigram_count import op3_token_counts
 from ridgeline.llm.url_filter import op8_url_filter
 from ridgeline.llm.warc import OP2_SQL, op2_warc
 
 QUERIES = {
     "op1_token_output": op1_token_output,
     "op2_warc": op2_warc,
+    "op3_token_counts": op3_token_counts,
     "op4_exact_dedup": op4_exact_dedup,
+    "op7_language_id": op7_language_id,
     "op8_url_filter": op8_url_filter,
+    "op9_mixing": op9_mixing,
 }
 
 ORACLES = {
     "op2_warc": OP2_SQL,
     "op4_exact_dedup": OP4_SQL,
+    "op9_mixing": OP9_SQL,
 }
