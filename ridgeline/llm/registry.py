@@ -5,6 +5,7 @@ from __future__ import annotations
 from ridgeline.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from ridgeline.llm.language_id import op7_language_id
 from ridgeline.llm.mixing import OP9_SQL, op9_mixing
+from ridgeline.llm.near_dedup import op6_near_dedup
 from ridgeline.llm.token_output import op1_token_output
 from ridgeline.llm.unigram_count import op3_token_counts
 from ridgeline.llm.url_filter import op8_url_filter
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op3_token_counts": op3_token_counts,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_near_dedup": op6_near_dedup,
     "op7_language_id": op7_language_id,
     "op8_url_filter": op8_url_filter,
     "op9_mixing": op9_mixing,
