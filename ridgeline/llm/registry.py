@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ridgeline.llm.decontaminate import op5_decontaminate
 from ridgeline.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from ridgeline.llm.language_id import op7_language_id
 from ridgeline.llm.mixing import OP9_SQL, op9_mixing
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op3_token_counts": op3_token_counts,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_decontaminate": op5_decontaminate,
     "op6_near_dedup": op6_near_dedup,
     "op7_language_id": op7_language_id,
     "op8_url_filter": op8_url_filter,
