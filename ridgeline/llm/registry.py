@@ -7,6 +7,7 @@ from ridgeline.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from ridgeline.llm.language_id import op7_language_id
 from ridgeline.llm.mixing import OP9_SQL, op9_mixing
 from ridgeline.llm.near_dedup import op6_near_dedup
+from ridgeline.llm.substring_dedup import op10_substring_dedup
 from ridgeline.llm.token_output import op1_token_output
 from ridgeline.llm.unigram_count import op3_token_counts
 from ridgeline.llm.url_filter import op8_url_filter
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_language_id": op7_language_id,
     "op8_url_filter": op8_url_filter,
     "op9_mixing": op9_mixing,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLES = {
