@@ -48,7 +48,7 @@ def flow_accumulation(grid: DataFrame, meta: GridMeta, weights: list[str] | None
     weights = weights or []
     start = grid.select(meta.id().alias("id"), receiver(meta).alias("p"), F.lit(1.0).alias("accum"), *[F.col(w).cast("double").alias(f"accum_{w}") for w in weights])
     sums = subtree_sums(start, ["accum", *[f"accum_{w}" for w in weights]])
-    return grid.withColumn("id", meta.id()).join(sums, "id").drop("id")
+    return grid.withColumn("_id", meta.id()).join(sums.withColumnRenamed("id", "_id"), "_id").drop("_id")
 
 
 def concentration_hours(grid: DataFrame, meta: GridMeta, hours: str = "hours") -> DataFrame:
@@ -71,4 +71,4 @@ def concentration_hours(grid: DataFrame, meta: GridMeta, hours: str = "hours") -
         moved = state.join(gained, "id", "left").join(jump, "p", "left")
         most = F.when(F.col("most").isNotNull(), F.greatest("most", "_most"))
         state = materialise(moved.select("id", F.col("_p").alias("p"), "cum", most.alias("most")), "farthest")
-    return grid.withColumn("id", meta.id()).join(state.select("id", (F.col("most") - F.col("cum")).alias("tc")), "id").drop("id")
+    return grid.withColumn("_id", meta.id()).join(state.select(F.col("id").alias("_id"), (F.col("most") - F.col("cum")).alias("tc")), "_id").drop("_id")

@@ -30,18 +30,18 @@ def _col():
 
 
 def neighbours(grid: DataFrame, value: str = "z") -> DataFrame:
-    """Adds nw n ne w e sw s se; null where there is no cell or no data."""
+    """Adds _nw _n _ne _w _e _sw _s _se; null where there is no cell or no data."""
     across = grid.withColumn("_w", F.lag(value).over(_row())).withColumn("_e", F.lead(value).over(_row()))
     line = F.struct(F.col("_w").alias("w"), F.col(value).alias("m"), F.col("_e").alias("e"))
     both = across.withColumn("_line", line).withColumn("_up", F.lag("_line").over(_col())).withColumn("_down", F.lead("_line").over(_col()))
-    names = {"nw": "_up.w", "n": "_up.m", "ne": "_up.e", "w": "_w", "e": "_e", "sw": "_down.w", "s": "_down.m", "se": "_down.e"}
-    return both.withColumns({k: F.col(v) for k, v in names.items()}).drop("_w", "_e", "_line", "_up", "_down")
+    names = {"_nw": "_up.w", "_n": "_up.m", "_ne": "_up.e", "_sw": "_down.w", "_s": "_down.m", "_se": "_down.e"}
+    return both.withColumns({k: F.col(v) for k, v in names.items()}).drop("_line", "_up", "_down")
 
 
 def _repeated(meta: GridMeta, value: str) -> tuple[Column, Column, Column, Column]:
     """West, east, north and south with the edge repeated."""
     v = F.col(value)
-    at = ((F.col("c") == 0, "w"), (F.col("c") == meta.cols - 1, "e"), (F.col("r") == 0, "n"), (F.col("r") == meta.rows - 1, "s"))
+    at = ((F.col("c") == 0, "_w"), (F.col("c") == meta.cols - 1, "_e"), (F.col("r") == 0, "_n"), (F.col("r") == meta.rows - 1, "_s"))
     return tuple(F.when(edge, v).otherwise(F.col(k)) for edge, k in at)
 
 
@@ -111,7 +111,7 @@ def surface_complexity(grid: DataFrame, meta: GridMeta, value: str = "z") -> Dat
 
 def direction_of(value: str = "z") -> Column:
     """The code of the steepest way down; of equals the first in ``D8``; 0 for pits, flats and nodata."""
-    names = {(-1, -1): "nw", (-1, 0): "n", (-1, 1): "ne", (0, -1): "w", (0, 1): "e", (1, -1): "sw", (1, 0): "s", (1, 1): "se"}
+    names = {(-1, -1): "_nw", (-1, 0): "_n", (-1, 1): "_ne", (0, -1): "_w", (0, 1): "_e", (1, -1): "_sw", (1, 0): "_s", (1, 1): "_se"}
     drops = [((F.col(value) - F.col(names[dr, dc])) / d, code) for code, dr, dc, d in D8]
     most = F.greatest(*[d for d, _ in drops])
     pick = F.when(most.isNull() | (most <= 0), 0)
