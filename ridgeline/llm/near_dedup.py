@@ -41,7 +41,7 @@ from ridgeline.llm.shingles import shingle_sets, slices
 from ridgeline.operators.graph import connected_components
 from ridgeline.storage import materialise
 
-SKETCH, KEYS, BLOCK = 64, 8, 512
+SKETCH, KEYS, BLOCK = 64, 8, 1024
 _PAD = np.uint64(2**64 - 1)
 _BULK = 1 << 14
 _PRE = 16
