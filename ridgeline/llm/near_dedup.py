@@ -288,9 +288,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, i
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with the input's columns: one of each group."""
+    """The documents that stay, with the input's columns: one of each group.
+
+    Rows without an id can't be named by a group: of those with one text, one stays.
+    """
     kept = near_duplicates(docs, threshold, id_col=id_col, text_col=text_col).filter("kept").select(F.col("id").alias(id_col)).distinct()
-    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
+    named = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
+    return named.unionByName(docs.filter(F.col(id_col).isNull()).dropDuplicates([text_col]))
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

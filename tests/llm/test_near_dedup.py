@@ -68,3 +68,4 @@ def test_edges(spark):
     got = sorted(((r.id, r.component_id, r.kept) for r in nd.near_duplicates(df).collect()), key=str)
     assert got == sorted([(None, 3, False), (3, 3, True), (None, None, True), (4, 4, True)], key=str)
     assert nd.near_duplicates(df.limit(0)).count() == 0
+    assert sorted(map(str, (r.doc_id for r in nd.keep_one(df.union(df)).collect()))) == ["3", "4", "None", "None"]
