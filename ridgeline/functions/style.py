@@ -30,7 +30,7 @@ def ramp(value: Column, stops: list[tuple[Column, tuple[int, ...]]]) -> Column:
         out = F.when(value <= at[0][0], F.lit(float(at[0][1])))
         for (v0, c0), (v1, c1) in zip(at, at[1:], strict=False):
             out = out.when(value <= v1, c0 + (value - v0) / (v1 - v0) * (c1 - c0))
-        return F.floor(out.otherwise(float(at[-1][1]))).cast("int")
+        return F.floor(out.otherwise(float(at[-1][1])) + 1e-6).cast("int")
 
     full = [(v, (*c, 255)[:4]) for v, c in stops]
     stops = full

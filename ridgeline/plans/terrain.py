@@ -283,7 +283,7 @@ def threshold_points(spark, sf_dir: str) -> DataFrame:
     return out.select("x", "y", _r("value").alias("value"))
 
 
-_CHANNEL = "floor(CASE WHEN fs <= 0 THEN {0} WHEN fs <= 1 THEN {0} + (fs - 0) * ({1} - {0}) WHEN fs <= 2 THEN {1} + (fs - 1) * ({2} - {1}) WHEN fs <= 3 THEN {2} + (fs - 2) * ({3} - {2}) WHEN fs <= 4 THEN {3} + (fs - 3) * ({4} - {3}) ELSE {4} END)::INTEGER"
+_CHANNEL = "floor(CASE WHEN fs <= 0 THEN {0} WHEN fs <= 1 THEN {0} + (fs - 0) * ({1} - {0}) WHEN fs <= 2 THEN {1} + (fs - 1) * ({2} - {1}) WHEN fs <= 3 THEN {2} + (fs - 2) * ({3} - {2}) WHEN fs <= 4 THEN {3} + (fs - 3) * ({4} - {3}) ELSE {4} END + 1e-6)::INTEGER"
 
 
 @query(f"{_NEAR}, f AS (SELECT r AS row_no, c AS col_no, {fx.FS_SQL} AS fs FROM slopes) SELECT row_no, col_no, {_CHANNEL.format(215, 245, 206, 166, 26)} AS red, {_CHANNEL.format(25, 251, 234, 217, 150)} AS green, {_CHANNEL.format(28, 182, 144, 106, 65)} AS blue, 255 AS alpha FROM f WHERE fs IS NOT NULL")
@@ -296,8 +296,8 @@ def colour_ramp(spark, sf_dir: str) -> DataFrame:
 @query(
     """WITH v AS (SELECT o_orderkey AS k, o_totalprice AS v FROM orders), m AS (SELECT min(v) AS lo, max(v) AS hi FROM v),
 s AS (SELECT k, v, lo, hi, pow(10.0, log10(lo) + (log10(hi) - log10(lo)) * 0.5) AS mid FROM v, m)
-SELECT k, CASE WHEN v <= lo THEN 0 WHEN v <= mid THEN floor((v - lo) / (mid - lo) * 89)::INTEGER WHEN v <= hi THEN floor(89 + (v - mid) / (hi - mid) * 166)::INTEGER ELSE 255 END AS alpha,
-CASE WHEN v <= lo THEN 255 WHEN v <= mid THEN floor(255 + (v - lo) / (mid - lo) * (220 - 255))::INTEGER WHEN v <= hi THEN floor(220 + (v - mid) / (hi - mid) * (150 - 220))::INTEGER ELSE 150 END AS red FROM s"""
+SELECT k, CASE WHEN v <= lo THEN 0 WHEN v <= mid THEN floor((v - lo) / (mid - lo) * 89 + 1e-6)::INTEGER WHEN v <= hi THEN floor(89 + (v - mid) / (hi - mid) * 166 + 1e-6)::INTEGER ELSE 255 END AS alpha,
+CASE WHEN v <= lo THEN 255 WHEN v <= mid THEN floor(255 + (v - lo) / (mid - lo) * (220 - 255) + 1e-6)::INTEGER WHEN v <= hi THEN floor(220 + (v - mid) / (hi - mid) * (150 - 220) + 1e-6)::INTEGER ELSE 150 END AS red FROM s"""
 )
 def colour_ramp_dynamic(spark, sf_dir: str) -> DataFrame:
     values = fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))
