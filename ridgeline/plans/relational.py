@@ -292,3 +292,23 @@ def grid_info(spark, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     text = F.format_string("%d x %d px | %.2f m/px | EPSG:%d", k % 900 + 1, k % 700 + 1, k % 11 / 2.0 + 0.5, 32600 + k % 60 + 1)
     return fx.table(spark, sf_dir, "customer").select(k.alias("k"), text.alias("info"))
+
+
+# The inverse series' coefficients for the ellipsoid (see rasters.utm_lonlat), spelled out for SQL.
+_UTM_SQL = """m AS (SELECT 0.0016792203946287448::DOUBLE AS n),
+k AS (SELECT n / 2 - 2 * n * n / 3 + 37 * n * n * n / 96 AS b1, n * n / 48 + n * n * n / 15 AS b2, 17 * n * n * n / 480 AS b3, 2 * n - 2 * n * n / 3 - 2 * n * n * n AS d1, 7 * n * n / 3 - 8 * n * n * n / 5 AS d2, 56 * n * n * n / 15 AS d3, 0.9996 * 6378137.0 / (1 + n) * (1 + n * n / 4 + n * n * n * n / 64) AS a FROM m),
+g AS (SELECT r, c, (3938965.0::DOUBLE - (r + 0.5) * 4) / a AS x, (381960.0::DOUBLE + (c + 0.5) * 4 - 500000) / a AS y, k.* FROM range(0, 60) p(r), range(0, 120) q(c), k),
+s AS (SELECT *, x - b1 * sin(2 * x) * cosh(2 * y) - b2 * sin(4 * x) * cosh(4 * y) - b3 * sin(6 * x) * cosh(6 * y) AS u, y - b1 * cos(2 * x) * sinh(2 * y) - b2 * cos(4 * x) * sinh(4 * y) - b3 * cos(6 * x) * sinh(6 * y) AS v FROM g),
+h AS (SELECT *, asin(sin(u) / cosh(v)) AS chi FROM s),
+l AS (SELECT r, c, 141 + degrees(atan2(sinh(v), cos(u))) AS lon, degrees(chi + d1 * sin(2 * chi) + d2 * sin(4 * chi) + d3 * sin(6 * chi)) AS lat FROM h),
+f AS (SELECT r, c, (lon / 180 * 20037508.342789244::DOUBLE - 15551000) / 5 - 0.5 AS fc, (ln(tan(radians(45 + lat / 2))) / pi() * 20037508.342789244::DOUBLE - 4244000) / -5 - 0.5 AS fr FROM l)"""
+
+
+@query(f"{_DEM}, {_UTM_SQL} SELECT f.r::INTEGER AS r, f.c::INTEGER AS c, CASE WHEN count(dem.z) = 4 THEN round(sum(dem.z * (1 - abs(fr - dem.r)) * (1 - abs(fc - dem.c))), 3) END AS z FROM f LEFT JOIN dem ON dem.r BETWEEN floor(fr) AND floor(fr) + 1 AND dem.c BETWEEN floor(fc) AND floor(fc) + 1 GROUP BY f.r, f.c")
+def reproject_utm(spark, sf_dir: str) -> DataFrame:
+    """The grid as if it were in Web Mercator, on a grid of UTM zone 54."""
+    rows = fx.dem_meta(spark, sf_dir).rows
+    source = GridMeta(rows, fx.COLS, 5.0, 15551000.0, 4244000.0, 5.0, -5.0, 3857)
+    target = GridMeta(60, 120, 4.0, 381960.0, 3938965.0, 4.0, -4.0, 32654)
+    out = rasters.reproject_to_utm(fx.dem(spark, sf_dir), source, 54, target)
+    return out.select("r", "c", _r("z", 3).alias("z"))
