@@ -57,13 +57,41 @@ def tiff_meta(data: bytes) -> tuple[GridMeta, float | None]:
     return GridMeta(tags[257][0], tags[256][0], abs(sx), tie[3] - tie[0] * sx, tie[4] + tie[1] * sy, sx, -sy, int(epsg)), nodata
 
 
+def lzw(data: bytes) -> bytes:
+    """Unpacks a strip in TIFF's variable-length code: 256 clears the table, 257 ends."""
+    table: list[bytes] = []
+    out, last = [], b""
+    bits = held = 0
+    width = 9
+    for octet in data:
+        bits, held = (bits << 8) | octet, held + 8
+        if held < width:
+            continue
+        held -= width
+        code, bits = bits >> held, bits & ((1 << held) - 1)
+        if code == 257:
+            break
+        if code == 256:
+            table, width, last = [bytes([k]) for k in range(256)] + [b"", b""], 9, b""
+            continue
+        word = table[code] if code < len(table) else last + last[:1]
+        out.append(word)
+        if last:
+            table.append(last + word[:1])
+        last = word
+        # The width grows one code early.
+        width = min(12, max(9, (len(table) + 1).bit_length()))
+    return b"".join(out)
+
+
 def tiff_pixels(data: bytes) -> np.ndarray:
-    """Band 1 as doubles, nodata as NaN; strips or tiles, raw or deflated."""
+    """Band 1 as doubles, nodata as NaN; strips or tiles, raw, deflated or LZW."""
     order, tags = tiff_tags(data)
     cols, rows, bands = tags[256][0], tags[257][0], tags.get(277, (1,))[0]
     packing = tags.get(259, (1,))[0]
-    if packing not in (1, 8, 32946) or tags.get(317, (1,))[0] != 1:
-        raise ValueError("only raw and deflated TIFF without a predictor is read")
+    unpack = {1: bytes, 5: lzw, 8: zlib.decompress, 32946: zlib.decompress}.get(packing)
+    if unpack is None or tags.get(317, (1,))[0] != 1:
+        raise ValueError("only raw, deflated and LZW TIFF without a predictor is read")
     kind = np.dtype(f"{order}{_KINDS[tags.get(339, (1,))[0]]}{tags[258][0] // 8}")
     out = np.full((rows, cols), np.nan)
     if 324 in tags:
@@ -72,7 +100,7 @@ def tiff_pixels(data: bytes) -> np.ndarray:
         width, height, places, sizes = cols, tags.get(278, (rows,))[0], tags[273], tags[279]
     across = -(-cols // width)
     for k, (at, size) in enumerate(zip(places, sizes, strict=True)):
-        raw = data[at : at + size] if packing == 1 else zlib.decompress(data[at : at + size])
+        raw = unpack(data[at : at + size])
         r0, c0 = k // across * height, k % across * width
         if r0 >= rows:
             break

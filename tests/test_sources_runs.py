@@ -47,6 +47,41 @@ def test_geotiff_round_trip(spark, tmp_path):
     assert rs.raster_catalog(spark, f"{tmp_path}/bad.tif").first().rows is None
 
 
+def packed(data):
+    """TIFF's LZW by its definition, with the table cleared before it is full."""
+    bits, table, width, word = "", {}, 9, b""
+
+    def put(code):
+        nonlocal bits
+        bits += format(code, f"0{width}b")
+
+    put(256)
+    table = {bytes([k]): k for k in range(256)} | {None: 256, False: 257}
+    for k in range(len(data)):
+        longer = word + data[k : k + 1]
+        if longer in table:
+            word = longer
+            continue
+        put(table[word])
+        table[longer] = len(table)
+        word = data[k : k + 1]
+        width = max(9, (len(table)).bit_length())
+        if len(table) >= 4094:
+            put(table[word])
+            width = min(12, len(table).bit_length())
+            put(256)
+            table, width, word = {bytes([k]): k for k in range(256)} | {None: 256, False: 257}, 9, b""
+    if word:
+        put(table[word])
+    put(257)
+    return int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8))
+
+
+@pytest.mark.parametrize("data", [b"", b"a", b"aaaaaaaa" * 50, b"abcabcabd" * 200, bytes(range(256)) * 3])
+def test_lzw(data):
+    assert rs.lzw(packed(data)) == data
+
+
 def test_las_and_surface(spark, tmp_path):
     rng = np.random.default_rng(1)
     xyz = rng.integers(0, 2000, (500, 3)).astype("<i4")
