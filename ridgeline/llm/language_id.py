@@ -31,6 +31,8 @@ from pyspark.sql import types as T
 BUCKETS = 1 << 14
 _SHIFT = np.uint32(32 - 14)
 ROUNDS = 20
+#: More languages than this are taken for a mistaken column; it bounds the model to 64 MB.
+MAX_LANGUAGES = 512
 
 
 def gram_buckets(text: str) -> np.ndarray:
@@ -82,7 +84,9 @@ def mixture(p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float]:
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows_per_language: int = 5000, smoothing: float = 0.5) -> LanguageModel:
     """Counts 3-grams by language; the driver gets languages x 16384 sums."""
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages in {lang_col}")
     if not sizes:
         return LanguageModel([], np.zeros((0, BUCKETS)))
     rate = F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(min(1.0, rows_per_language / v)))])
