@@ -148,7 +148,7 @@ def repeated_runs(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _with_bytes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The wanted runs with their bytes, read from the documents anew."""
+    """The wanted runs with their bytes, read from the documents anew, and their anchor's number of classes."""
     key = F.xxhash64("anchor", "content", "doc", "sub", "start")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +168,7 @@ def _with_bytes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
     shared = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted.select("anchor", "content", "doc", "sub", "start").mapInArrow(keyed, "key long"), "key"))
     # The bitmap lets a few others through.
-    return docs.mapInArrow(runs, _RUN + ", bytes binary").withColumn("key", key).join(wanted.select(key.alias("key")), "key", "left_semi").drop("key")
+    return docs.mapInArrow(runs, _RUN + ", bytes binary").withColumn("key", key).join(wanted.select(key.alias("key"), "classes"), "key").drop("key")
 
 
 def repeated_windows(rows: list[tuple[int, int, int, int, bytes]], length: int) -> Iterator[tuple[int, int, int, int]]:
@@ -246,10 +246,10 @@ def repeated_ranges(docs: DataFrame, length: int = 100) -> DataFrame:
     later = runs.join(copied, ["anchor", "content"]).filter(place != F.col("first")).select("doc", "sub", "start", (F.col("start") + F.col("windows") - 1 + length).alias("stop"))
     crowds = firsts.groupBy("anchor").agg(F.count("*").alias("classes")).filter("classes > 1")
     wanted = materialise(firsts.join(crowds, "anchor").select("anchor", "content", "first.*", "windows", "classes"), "repeat-crowds")
-    ranges = later.unionByName(_by_transform(_with_bytes(docs, wanted.filter(F.col("classes") <= HOT), length), length))
-    hot = wanted.filter(F.col("classes") > HOT)
-    if not hot.isEmpty():
-        ranges = ranges.unionByName(_by_hash(_with_bytes(docs, hot, length), length))
+    runs = materialise(_with_bytes(docs, wanted, length), "repeat-bytes")
+    ranges = later.unionByName(_by_transform(runs.filter(F.col("classes") <= HOT), length))
+    if not wanted.filter(F.col("classes") > HOT).isEmpty():
+        ranges = ranges.unionByName(_by_hash(runs.filter(F.col("classes") > HOT), length))
     return ranges
 
 
