@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.grid import GridMeta
@@ -218,6 +218,19 @@ def utm_lonlat(e: Column, n: Column, zone: int, south: bool = False) -> tuple[Co
     return lon0 + F.degrees(F.atan2(F.sinh(y), F.cos(x))), F.degrees(phi)
 
 
+def utm_target(spark: SparkSession, meta: GridMeta, zone: int, cell: float) -> GridMeta:
+    """The UTM grid, on multiples of its cell, that covers a whole Web Mercator grid: its border's extent."""
+    down, across = 2 * (meta.rows + 1), 2 * (meta.cols + 1)
+    k = F.col("id")
+    r = F.when(k < down, F.floor(k / 2)).otherwise((k - down) % 2 * meta.rows)
+    c = F.when(k < down, k % 2 * meta.cols).otherwise(F.floor((k - down) / 2))
+    lon, lat = mercator_lonlat(meta.x0 + c * meta.px, meta.y0 + r * meta.py)
+    e, n = transverse_mercator(lon, lat, zone * 6 - 183)
+    b = spark.range(down + across).select(e.alias("e"), n.alias("n")).agg(F.min("e"), F.max("e"), F.min("n"), F.max("n")).first()
+    x0, y0 = math.floor(b[0] / cell) * cell, math.ceil(b[3] / cell) * cell
+    return GridMeta(math.ceil((y0 - b[2]) / cell), math.ceil((b[1] - x0) / cell), cell, x0, y0, cell, -cell, 32600 + zone)
+
+
 def reproject_to_utm(grid: DataFrame, meta: GridMeta, zone: int, target: GridMeta, value: str = "z") -> DataFrame:
     """A Web Mercator grid on a UTM grid, by four taps each: one join on source cells.
 

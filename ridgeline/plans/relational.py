@@ -312,3 +312,24 @@ def reproject_utm(spark, sf_dir: str) -> DataFrame:
     target = GridMeta(60, 120, 4.0, 381960.0, 3938965.0, 4.0, -4.0, 32654)
     out = rasters.reproject_to_utm(fx.dem(spark, sf_dir), source, 54, target)
     return out.select("r", "c", _r("z", 3).alias("z"))
+
+
+# The target of the whole grid: the extent of its border by the forward series (see rasters.utm_target).
+_HEAD, _TAIL = _UTM_SQL.split("\ng AS ")
+_BORDER_SQL = """sz AS (SELECT max(r) + 1 AS nr FROM dem),
+bp AS (SELECT i AS pr, j AS pc FROM sz, unnest(range(0, nr + 1)) p(i), (VALUES (0), (150)) q(j) UNION ALL SELECT i, j FROM sz, unnest([0, nr]) p(i), range(0, 151) q(j)),
+bl AS (SELECT radians((15551000 + pc * 5) / 20037508.342789244::DOUBLE * 180 - 141) AS lam, sin(atan(sinh((4244000 - pr * 5) / 20037508.342789244::DOUBLE * pi()))) AS s, 2 * sqrt(n) / (1 + n) AS e, k.a, m.n FROM bp, k, m),
+bt AS (SELECT *, sinh(0.5 * ln((1 + s) / (1 - s)) - e * 0.5 * ln((1 + e * s) / (1 - e * s))) AS t FROM bl),
+bx AS (SELECT *, atan2(t, cos(lam)) AS xi, 0.5 * ln((1 + sin(lam) / sqrt(1 + t * t)) / (1 - sin(lam) / sqrt(1 + t * t))) AS eta, n / 2 - 2 * n * n / 3 + 5 * n * n * n / 16 AS a1, 13 * n * n / 48 - 3 * n * n * n / 5 AS a2, 61 * n * n * n / 240 AS a3 FROM bt),
+be AS (SELECT 500000 + a * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta)) AS e, a * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta)) AS n FROM bx),
+bb AS (SELECT floor(min(e) / 4) * 4 AS tx, ceil(max(n) / 4) * 4 AS ty, max(e) AS east, min(n) AS south FROM be),
+tgt AS (SELECT tx, ty, ceil((ty - south) / 4)::BIGINT AS trows, ceil((east - tx) / 4)::BIGINT AS tcols FROM bb),"""
+_WHOLE_UTM_SQL = f"{_HEAD}\n{_BORDER_SQL}\ng AS " + _TAIL.replace("3938965.0::DOUBLE", "ty").replace("381960.0::DOUBLE", "tx").replace("range(0, 60) p(r), range(0, 120) q(c)", "tgt, unnest(range(0, trows)) p(r), unnest(range(0, tcols)) q(c)")
+
+
+@query(f"{_DEM}, {_WHOLE_UTM_SQL} SELECT f.r::INTEGER AS r, f.c::INTEGER AS c, CASE WHEN count(dem.z) = 4 THEN round(sum(dem.z * (1 - abs(fr - dem.r)) * (1 - abs(fc - dem.c))), 3) END AS z FROM f CROSS JOIN (VALUES (0), (1)) i(i) CROSS JOIN (VALUES (0), (1)) j(j) LEFT JOIN dem ON dem.r = floor(fr)::INTEGER + i AND dem.c = floor(fc)::INTEGER + j GROUP BY f.r, f.c")
+def reproject_utm_whole(spark, sf_dir: str) -> DataFrame:
+    """The whole grid as if it were in Web Mercator, on the grid of UTM zone 54 that covers it."""
+    source = GridMeta(fx.dem_meta(spark, sf_dir).rows, fx.COLS, 5.0, 15551000.0, 4244000.0, 5.0, -5.0, 3857)
+    out = rasters.reproject_to_utm(fx.dem(spark, sf_dir), source, 54, rasters.utm_target(spark, source, 54, 4.0))
+    return out.select("r", "c", _r("z", 3).alias("z"))

@@ -241,3 +241,14 @@ def test_plan_has_two_exchanges(spark):
     df, meta = frame(spark, surface(1))
     plan = terrain(spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select(F.lit(0).alias("r"), F.lit(0).alias("c"), F.col("o_totalprice").alias("z")), meta)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 2 and "Python" not in plan
+
+
+def test_utm_target_covers_the_source(spark):
+    for rows in (10, 700):
+        source = GridMeta(rows, 150, 5.0, 15551000.0, 4244000.0, 5.0, -5.0, 3857)
+        target = rasters.utm_target(spark, source, 54, 4.0)
+        cells = spark.range(rows * 150).select((F.col("id") / 150).cast("int").alias("r"), (F.col("id") % 150).cast("int").alias("c"))
+        e, n = rasters.transverse_mercator(*rasters.mercator_lonlat(source.x(), source.y()), 141.0)
+        b = cells.select(e.alias("e"), n.alias("n")).agg(F.min("e"), F.max("e"), F.min("n"), F.max("n")).first()
+        xmin, ymin, xmax, ymax = target.extent
+        assert 0 <= b[0] - xmin < 12 and 0 <= xmax - b[1] < 12 and 0 <= b[2] - ymin < 12 and 0 <= ymax - b[3] < 12
