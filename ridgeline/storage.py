@@ -40,3 +40,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def rows_in(table: DataFrame) -> int:
+    """Rows of a written table; Parquet's footers know them."""
+    return table.count()
+
+
+#: Bytes that a task should get of what is dealt out by key.
+TASK_BYTES = 64 << 20
+
+
+def enough(spark: SparkSession, size: float) -> int:
+    """Partitions for ``size`` bytes: adaptive execution lowers their number and never raises it."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size / TASK_BYTES) + 1)
+
+
+def in_groups(df: DataFrame, column: str, size: float) -> DataFrame:
+    """Deals about ``size`` bytes of rows out by ``column`` and brings equal ones next to each other."""
+    default = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = enough(df.sparkSession, size)
+    return (df.repartition(parts, column) if parts > default else df.repartition(column)).sortWithinPartitions(column)
