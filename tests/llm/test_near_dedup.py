@@ -68,4 +68,42 @@ def test_edges(spark):
     got = sorted(((r.id, r.component_id, r.kept) for r in nd.near_duplicates(df).collect()), key=str)
     assert got == sorted([(None, 3, False), (3, 3, True), (None, None, True), (4, 4, True)], key=str)
     assert nd.near_duplicates(df.limit(0)).count() == 0
-    assert sorted(map(str, (r.doc_id for r in nd.keep_one(df.union(df)).collect()))) == ["3", "4", "None", "None"]
+    assert sorted(map(str, (r.doc_id for r in nd.keep_one(df.union(df)).collect()))) == ["3", "4", "None"]
+
+
+def test_keep_one_tells_rows_of_one_id_apart(spark):
+    rows = [(1, "a b c d e f g", "x"), (1, "quite another text of seven words", "y"), (1, "quite another text of seven words", "y"), (2, "A b c d e f g", "z"), (None, None, "n"), (None, None, "n"), (None, "", "e"), (5, None, "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _key string")
+    got = nd.keep_one(df)
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[0], rows[1], rows[4], rows[6], rows[7]], key=str)
+
+
+def test_hot_value_and_chains(spark, monkeypatch):
+    """A boilerplate of many texts makes no links; a chain over the blocks of one list is one group."""
+    rng = random.Random(7)
+    boiler = [f"b{i}" for i in range(12)]
+    texts = [" ".join([*boiler, *(f"u{k}_{i}" for i in range(rng.randint(1, 30)))]) for k in range(600)]
+    chain = [f"c{i}" for i in range(120)]
+    for k in range(150):
+        chain[(k * 7) % 120] = f"d{k}"
+        texts.append(" ".join(chain))
+    rows = list(enumerate(texts))
+    monkeypatch.setattr(nd, "BLOCK", 32)
+    monkeypatch.setattr(nd, "HUBS", 2)
+    for threshold in (0.85, 0.5):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        got = {r.id: (r.n_shingles, r.component_id) for r in nd.near_duplicates(df, threshold).collect()}
+        assert got == brute(rows, threshold)
+
+
+def test_least_overlap_is_a_bound():
+    rng = random.Random(3)
+    for threshold in (0.85, 0.5):
+        for _ in range(2000):
+            n = rng.randint(1, 90)
+            a = {rng.random() for _ in range(n)}
+            b = set(rng.sample(sorted(a), max(1, round(n * rng.uniform(threshold, 1)))))
+            if len(a & b) >= threshold * len(a | b):
+                common = len(set(sorted(a)[: nd.SKETCH]) & set(sorted(b)[: nd.SKETCH]))
+                assert common >= max(nd.least_overlap(len(a), threshold), nd.least_overlap(len(b), threshold))
