@@ -19,7 +19,8 @@ longer than ``BLOCK`` are dealt to blocks, which share about ``HUBS`` of the lis
 classes, so that the blocks of a group of copies are joined through them. The second
 time come all pairs that have not met yet: in a long list, the classes outside its
 largest component against all of the list, block by block; in the other lists, classes
-of different longest lists. Pairs that links already join need no second look. So a
+of different longest lists. Pairs that links already join need no second look, and any
+pair is looked at in the longest list alone that both are in. So a
 group of copies costs in proportion to its size, but for members that link to few others:
 those are compared with the whole group. No task holds more than two blocks.
 
@@ -44,10 +45,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ridgeline.llm.bitmaps import bitmap, has
 from ridgeline.llm.native import mark_members, member_filter
 from ridgeline.llm.shingles import shingle_sets, slices
 from ridgeline.operators.graph import connected_components
-from ridgeline.storage import in_groups, materialise, rows_in
+from ridgeline.storage import bucketed, in_groups, materialise, rows_in
 
 SKETCH, SLACK, BLOCK, HUBS = 64, 6, 1024, 64
 _PAD = np.uint64(2**64 - 1)
@@ -93,24 +95,47 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(sign, "id long, n long, set_hash binary, sketch array<long>")
 
 
-def rare_values(classes: DataFrame, threshold: float) -> DataFrame:
-    """Rows (rep, n, sketch) to (rep, n, keys): of each class's shared values the rarest, as many as the lists need."""
-    values = classes.select("rep", F.col("n").cast("int").alias("n"), F.explode("sketch").alias("key"))
-    shared = values.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1")
-    found = values.join(shared.hint("merge"), "key").groupBy("rep").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("times", "key"))).alias("values"))
-    size = F.least("n", F.lit(SKETCH))
+def _short_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        values = batch.column(0).flatten().to_numpy()
+        yield pa.RecordBatch.from_pydict({"key": pa.array((values & 0xFFFFFFFF).astype(np.uint32).view(np.int32))})
+
+
+def shared_values(classes: DataFrame) -> DataFrame:
+    """Rows (rep, n, sketch) to (rep, n, key): the retained values that another class may have too."""
+    # A short hash is enough to tell values that can be left out.
+    twice = classes.select("sketch").mapInArrow(_short_values, "key int").groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = classes.sparkSession.sparkContext.broadcast(bitmap(twice.select(F.col("key").cast("long").alias("key")), "key"))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sketch = batch.column(2)
+            values = sketch.flatten().to_numpy()
+            hit = has(shared.value, values.view(np.uint64))
+            row = np.repeat(np.arange(len(batch)), sketch.value_lengths().to_numpy())[hit]
+            yield pa.RecordBatch.from_pydict({"rep": batch.column(0).take(pa.array(row)), "n": batch.column(1).take(pa.array(row)), "key": pa.array(values[hit])})
+
+    return classes.select("rep", "n", "sketch").mapInArrow(pick, "rep long, n long, key long")
+
+
+def rare_values(values: DataFrame, threshold: float) -> DataFrame:
+    """Rows (rep, n, key) to (rep, n, keys): of each class's shared values the rarest, as many as the lists need."""
+    times = values.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1")
+    found = values.join(times, "key").groupBy("rep").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("times", "key"))).alias("values"))
+    size = F.least("n", F.lit(SKETCH)).cast("int")
     least = F.element_at(F.array(*[F.lit(least_overlap(s, threshold)) for s in range(1, SKETCH + 1)]), size)
     # The values without a list are the rarest of all.
     take = size - least + 1 - (size - F.size("values"))
     return found.withColumn("take", take).filter("take > 0").select("rep", "n", F.slice("values", 1, F.col("take")).getField("key").alias("keys"))
 
 
-def _lists(rare: DataFrame) -> DataFrame:
-    """Rows (rep, n, keys) to (list, rep, n, listed); of lists with the same members one."""
+def ranked_lists(rare: DataFrame) -> DataFrame:
+    """Rows (rep, n, keys) to (rep, n, lists): the lists of each class, the longest first; of lists with the same members one."""
     keyed = rare.select(F.explode("keys").alias("key"), "rep", "n")
     lists = keyed.groupBy("key").agg(F.count("*").alias("listed"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("s"), F.expr("bit_xor(xxhash64(rep, 1))").alias("x")).filter("listed > 1")
     lists = lists.groupBy("listed", "s", "x").agg(F.min("key").alias("key")).select("key", "listed")
-    return keyed.join(lists, "key").select(F.col("key").alias("list"), "rep", "n", "listed")
+    ranked = keyed.join(lists, "key").groupBy("rep").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("listed", "key")), asc=False).alias("lists"))
+    return ranked.select("rep", "n", F.col("lists").getField("key").alias("lists"))
 
 
 def _block(blocks) -> Column:
@@ -122,27 +147,31 @@ def _weight() -> Column:
     return F.expr(f"1 + n div {_LARGE}")
 
 
+def _none() -> Column:
+    return F.array().cast("array<long>")
+
+
 def _blocks(weight: Column) -> Column:
     return F.ceil(weight / BLOCK).cast("int")
 
 
 def _first_tasks(tops: DataFrame) -> DataFrame:
-    """Rows (list, rep, n, blocks, size) to (task, side, rep, part, label); side 2 is compared with itself."""
+    """Rows (list, rep, n, blocks, size) to (task, side, rep, part, label, above); side 2 is compared with itself."""
     hub = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("list", "rep"), F.col("blocks") * BLOCK) < HUBS)
     block = F.explode(F.when(hub, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(_block(F.col("blocks")))))
     rows = tops.filter("size > 1").withColumn("block", block)
-    return rows.select(F.xxhash64("list", "block").alias("task"), F.lit(2).alias("side"), "rep", F.col("rep").alias("part"), F.col("rep").alias("label"))
+    return rows.select(F.xxhash64("list", "block").alias("task"), F.lit(2).alias("side"), "rep", F.col("rep").alias("part"), F.col("rep").alias("label"), _none().alias("above"))
 
 
 def _other_tasks(rows: DataFrame) -> DataFrame:
-    """Rows (list, rep, n, part, label) to tasks that bring together all of a list that differ in both."""
+    """Rows (list, rep, n, part, label, above) to tasks that bring together all of a list that differ in part and label."""
     parts = rows.groupBy("list", "part").agg(F.sum(_weight()).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
     lists = parts.groupBy("list").agg(
         F.sum("size").alias("total"), F.max("size").alias("largest"), F.max_by("part", F.struct("size", "part")).alias("main"),
         F.count("*").alias("parts"), F.min("low").alias("low"), F.max("high").alias("high"),
     ).filter("parts > 1 AND low < high").drop("parts", "low", "high")
     rows = rows.join(lists, "list").withColumns({"rest": _blocks(F.col("total") - F.col("largest")), "all": _blocks(F.col("total"))})
-    short = rows.filter("all = 1").select(F.xxhash64("list").alias("task"), F.lit(2).alias("side"), "rep", "part", "label")
+    short = rows.filter("all = 1").select(F.xxhash64("list").alias("task"), F.lit(2).alias("side"), "rep", "part", "label", "above")
     long = rows.filter("all > 1")
 
     def task(side: int, i: Column, j: Column) -> Column:
@@ -151,7 +180,7 @@ def _other_tasks(rows: DataFrame) -> DataFrame:
     as_rest = F.transform(F.sequence(F.lit(0), F.col("all") - 1), lambda j: task(0, _block(F.col("rest")), j))
     as_any = F.transform(F.sequence(F.lit(0), F.col("rest") - 1), lambda i: task(1, i, _block(F.col("all"))))
     dealt = F.when(F.col("part") == F.col("main"), as_any).otherwise(F.concat(as_rest, as_any))
-    return short.unionByName(long.withColumn("t", F.explode(dealt)).select("t.task", "t.side", "rep", "part", "label"))
+    return short.unionByName(long.withColumn("t", F.explode(dealt)).select("t.task", "t.side", "rep", "part", "label", "above"))
 
 
 class Group:
@@ -163,6 +192,7 @@ class Group:
         self.rep: list[int] = []
         self.part: list[int] = []
         self.label: list[int] = []
+        self.above: list[list[int]] = []
         self.n: list[int] = []
         self.values: list[np.ndarray] = []
 
@@ -175,7 +205,16 @@ class Group:
         """The pairs to compare; each once where a side is compared with itself."""
         part, label = np.array(self.part), np.array(self.label)
         out = (part[a][:, None] != part[b][None, :]) & (label[a][:, None] != label[b][None, :])
-        return np.triu(out, 1) if a is b else out
+        out = np.triu(out, 1) if a is b else out
+        # A pair is looked at in the longest of the lists that both are in.
+        if len(self.rep) <= _SMALL:
+            lists = [set(x) for x in self.above]
+            for x, y in zip(*np.nonzero(out), strict=True):
+                out[x, y] = lists[a[x]].isdisjoint(lists[b[y]])
+        elif any(self.above):
+            lists = [np.array(x, np.int64) for x in self.above]
+            out &= common_counts([lists[k] for k in a], [lists[k] for k in b]) == 0
+        return out
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         left = [self.values[k] for k in a]
@@ -183,10 +222,10 @@ class Group:
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[Group]:
-    """Columns task, side, rep, part, label, n, values, sorted by task; a task may go over batches."""
+    """Columns task, side, rep, part, label, above, n, values, sorted by task; a task may go over batches."""
     group = None
     for batch in batches:
-        for task, side, rep, part, label, n, values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for task, side, rep, part, label, above, n, values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if group is None or task != group.task:
                 if group is not None:
                     yield group
@@ -195,6 +234,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[Group]:
             group.rep.append(rep)
             group.part.append(part)
             group.label.append(label)
+            group.above.append(above)
             group.n.append(n)
             group.values.append(np.frombuffer(values, np.uint64))
     if group is not None:
@@ -304,15 +344,16 @@ def _links(group: Group, threshold: float) -> list[tuple[int, int]]:
     return found
 
 
-_TASK = "task long, side int, rep long, part long, label long"
+_TASK = "task long, side int, rep long, part long, label long, above array<long>"
+_KINDS = {"side": pa.int32(), "above": pa.list_(pa.int64())}
 
 
 def _scan_partners(threshold: float):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(groups: list[Group]) -> pa.RecordBatch:
             rows = flagged(groups, threshold)
-            named = {"task": [g.task for g, _ in rows]} | {k: [getattr(g, k)[r] for g, r in rows] for k in ("side", "rep", "part", "label")}
-            return pa.RecordBatch.from_pydict({k: pa.array(v, pa.int32() if k == "side" else pa.int64()) for k, v in named.items()})
+            named = {"task": [g.task for g, _ in rows]} | {k: [getattr(g, k)[r] for g, r in rows] for k in ("side", "rep", "part", "label", "above")}
+            return pa.RecordBatch.from_pydict({k: pa.array(v, _KINDS.get(k, pa.int64())) for k, v in named.items()})
 
         held, pairs = [], 0
         for group in _groups(batches):
@@ -338,26 +379,27 @@ def _scan_links(threshold: float):
 
 
 def _link(tasks: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Confirmed links (a, b) between the classes of each task."""
+    """Confirmed links (a, b) between the classes of each task; ``sets`` lies in buckets, so only tasks move to them."""
     wide = materialise(tasks, "near-tasks")
-    sides = [F.col(c) for c in ("task", "side", "rep", "part", "label")]
+    sides = [F.col(c) for c in ("task", "side", "rep", "part", "label", "above")]
     sketched = in_groups(wide.join(sets.select("rep", "n", "sketch"), "rep").select(*sides, "n", "sketch"), "task", rows_in(wide) * 8 * SKETCH)
     partners = materialise(sketched.mapInArrow(_scan_partners(threshold), _TASK), "near-partners")
     full = partners.join(sets.select("rep", "n", "set"), "rep").select(*sides, "n", "set")
-    weight = partners.join(sets.select("rep", "n"), "rep").agg(F.sum("n")).first()[0] or 0
-    return materialise(in_groups(full, "task", weight * 8).mapInArrow(_scan_links(threshold), "a long, b long"), "near-links")
+    shingles = partners.join(sets.select("rep", "n"), "rep").agg(F.sum("n")).first()[0] or 0
+    return materialise(in_groups(full, "task", shingles * 8).mapInArrow(_scan_links(threshold), "a long, b long"), "near-links")
 
 
-def _all_links(lists: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    tops = lists.groupBy("rep").agg(F.first("n").alias("n"), F.max_by("list", F.struct("listed", "list")).alias("list"))
+def _all_links(ranked: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    tops = ranked.select("rep", "n", F.col("lists")[0].alias("list"))
     sizes = tops.groupBy("list").agg(_blocks(F.sum(_weight())).alias("blocks"), F.count("*").alias("size"))
     tops = materialise(tops.join(sizes, "list"), "near-tops")
     first = _link(_first_tasks(tops), sets, threshold)
     labels = connected_components(first, "near-labels").select(F.col("id").alias("rep"), "component")
-    named = materialise(tops.join(labels, "rep", "left").select("rep", F.col("list").alias("top"), "n", "blocks", F.coalesce("component", "rep").alias("label")), "near-named")
+    named = materialise(tops.select("rep", "n", "list", "blocks").join(labels, "rep", "left").select("rep", "n", "list", "blocks", F.coalesce("component", "rep").alias("label")), "near-named")
     # In a list of one block all pairs have met.
-    within = named.filter("blocks > 1").select(F.xxhash64(F.lit(1), "top").alias("list"), "rep", "n", F.col("label").alias("part"), "label")
-    across = lists.select("list", "rep").join(named, "rep").select(F.xxhash64(F.lit(2), "list").alias("list"), "rep", "n", F.col("top").alias("part"), "label")
+    within = named.filter("blocks > 1").select(F.xxhash64(F.lit(1), "list").alias("list"), "rep", "n", F.col("label").alias("part"), "label", _none().alias("above"))
+    placed = ranked.select("rep", "lists", F.posexplode("lists").alias("place", "at")).join(named.select("rep", "n", "label"), "rep")
+    across = placed.select(F.xxhash64(F.lit(2), "at").alias("list"), "rep", "n", F.col("lists")[0].alias("part"), "label", F.slice("lists", F.lit(1), F.col("place")).alias("above"))
     return first.unionByName(_link(_other_tasks(within.unionByName(across)), sets, threshold))
 
 
@@ -367,9 +409,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, i
     signed = materialise(signatures(rows, shingle), "near-signatures")
     classes = materialise(signed.filter("n > 0").groupBy("set_hash").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "near-classes")
     named = classes.filter("rep IS NOT NULL")
-    rare = materialise(rare_values(named, threshold), "near-rare")
-    lists = materialise(_lists(rare), "near-lists")
-    wanted = lists.select("rep").distinct()
+    values = materialise(shared_values(named), "near-values")
+    ranked = materialise(ranked_lists(rare_values(values, threshold)), "near-lists")
+    wanted = ranked.select("rep")
     marked = mark_members(rows, F.xxhash64("id"), member_filter(wanted.select(F.xxhash64("rep").alias("key")), "key"), "wanted").filter("wanted").select("id", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,8 +422,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, i
     full = marked.mapInArrow(sets, "rep long, set_hash binary, set binary")
     # Rows that share an id may have other sets than the class it names; alike rows are taken once.
     full = full.join(named.select("rep", "set_hash", "n").join(wanted, "rep", "left_semi"), ["rep", "set_hash"]).dropDuplicates(["rep", "set_hash"])
-    full = materialise(full.select("rep", "n", F.substring("set", 1, 8 * SKETCH).alias("sketch"), "set"), "near-sets")
-    labels = connected_components(_all_links(lists, full, threshold), "near-components")
+    shingles = ranked.agg(F.sum("n")).first()[0] or 0
+    full = bucketed(full.select("rep", "n", F.substring("set", 1, 8 * SKETCH).alias("sketch"), "set"), "near_sets", "rep", shingles * 8)
+    labels = connected_components(_all_links(ranked, full, threshold), "near-components")
     found = classes.select("set_hash", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
     # Empty sets get a key each, so that they spread.
     key = F.coalesce("set_hash", F.concat(F.lit("#"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"))

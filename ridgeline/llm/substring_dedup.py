@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ridgeline.llm.bitmaps import bitmap, has
 from ridgeline.llm.bwt import class_starts
 from ridgeline.llm.native import mark_members, member_filter
 from ridgeline.llm.shingles import _BYTE, _power_tables, mix64, slices
@@ -40,8 +41,6 @@ from ridgeline.storage import materialise
 
 KMER = 40
 HOT = 2000
-#: The bitmap of repeated anchors: 2^27 bits, 16 MB at any input size.
-ANCHOR_BITS = 27
 _NO_ID = -(1 << 63)
 _TEXT_BYTES = 1 << 20
 _END = 255  # a byte that UTF-8 never has
@@ -91,21 +90,6 @@ def _documents(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[int], li
         yield ids[a:b], [zlib.crc32(t) for t in texts[a:b]], texts[a:b]
 
 
-def _bitmap(keys: DataFrame, column: str) -> np.ndarray:
-    """Bits of hashed keys; at most 2^27 of them reach the driver."""
-    place = F.pmod(F.col(column), F.lit(1 << ANCHOR_BITS)) + 1
-    parts = keys.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
-    bits = np.zeros((1 << ANCHOR_BITS) // 8, np.uint8)
-    for r in parts.toLocalIterator():
-        bits[(r.bucket - 1) * 4096 : r.bucket * 4096] = np.frombuffer(r.bits, np.uint8)
-    return bits
-
-
-def _has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    place = (keys & np.uint64((1 << ANCHOR_BITS) - 1)).astype(np.int64)
-    return bits[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1
-
-
 def _run_key(anchor: np.ndarray, content: np.ndarray, ids: np.ndarray, sub: np.ndarray, start: np.ndarray) -> np.ndarray:
     return mix64(anchor ^ mix64(content ^ mix64(ids.astype(np.uint64) ^ mix64((sub << 32 ^ start).astype(np.uint64)))))
 
@@ -136,13 +120,13 @@ def repeated_runs(docs: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"anchor": pa.array((found & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))})
 
     twice = docs.mapInArrow(anchors, "anchor int").groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(twice.select(F.col("anchor").cast("long").alias("anchor")), "anchor"))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(twice.select(F.col("anchor").cast("long").alias("anchor")), "anchor"))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, subs, texts in _documents(batch):
                 found = runs_of(texts, length)
-                yield pa.RecordBatch.from_pydict(_run_columns(ids, subs, found, np.flatnonzero(_has(shared.value, found[3]))))
+                yield pa.RecordBatch.from_pydict(_run_columns(ids, subs, found, np.flatnonzero(has(shared.value, found[3]))))
 
     return materialise(docs.mapInArrow(runs, _RUN), "repeat-runs")
 
@@ -157,7 +141,7 @@ def _with_bytes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 found = runs_of(texts, length)
                 text, start, windows = found[:3]
                 keys = _run_key(found[3], found[4], np.array(ids, np.int64)[text], np.array(subs, np.int64)[text], start)
-                keep = np.flatnonzero(_has(shared.value, keys))
+                keep = np.flatnonzero(has(shared.value, keys))
                 data = [texts[t][s : s + w - 1 + length] for t, s, w in zip(text[keep].tolist(), start[keep].tolist(), windows[keep].tolist(), strict=True)]
                 yield pa.RecordBatch.from_pydict(_run_columns(ids, subs, found, keep) | {"bytes": pa.array(data, pa.binary())})
 
@@ -166,7 +150,7 @@ def _with_bytes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             anchor, content, doc, sub, start = (c.to_numpy() for c in batch.columns[:5])
             yield pa.RecordBatch.from_pydict({"key": pa.array(_run_key(anchor.view(np.uint64), content.view(np.uint64), doc, sub, start).view(np.int64))})
 
-    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted.select("anchor", "content", "doc", "sub", "start").mapInArrow(keyed, "key long"), "key"))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select("anchor", "content", "doc", "sub", "start").mapInArrow(keyed, "key long"), "key"))
     # The bitmap lets a few others through.
     return docs.mapInArrow(runs, _RUN + ", bytes binary").withColumn("key", key).join(wanted.select(key.alias("key"), "classes"), "key").drop("key")
 
