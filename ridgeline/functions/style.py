@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Stops of the fixed ramps, colours of the dynamic ones.
@@ -53,3 +53,42 @@ def blur_sigma(mode: str) -> float:
     return {"weak": 2.0, "strong": 3.0}[mode]
 
 
+
+
+#: Fill (r g b a) of a zone layer, and outlines as colour and width in mm or, negative, in pixels.
+ZONES = {
+    "valley_zones": ((30, 80, 220, 120), [((35, 35, 35, 255), 0.26), ((30, 80, 220, 52), -6.0)]),
+    "unstable_zones": ((220, 0, 0, 140), []),
+    "integrated_high_risk": ((200, 0, 0, 160), []),
+}
+
+#: The layers of a run by analysis: name, title, kind, suffix of its file; and the analyses' order, the lowest first.
+LAYERS = [
+    ("stability", "stability_fs", "Slope Stability FS", "raster", ".tif"),
+    ("valley", "valley_zones", "Valley Terrain", "vector", ".gpkg"),
+    ("wetland", "twi", "Wetland Terrain", "raster", ".tif"),
+    ("flow", "flow_peak", "Peak Flow: Qp[m³/s]", "raster", ".tif"),
+    ("flow", "flow_mean", "Mean Flow: Qm[m³/s]", "raster", ".tif"),
+    ("flow", "flow_vtotal", "Total Flow Vol.: V[m³]", "raster", ".tif"),
+    ("integrated", "integrated_risk_index", "Overall Risk Index", "raster", ".tif"),
+    ("integrated", "integrated_high_risk", "High Risk Areas", "vector", ".gpkg"),
+]
+RANK = {"stability": 0, "integrated": 1, "wetland": 2, "valley": 3, "flow": 4}
+
+
+def zone_fill(layer: Column) -> Column:
+    """A struct r g b a, null for a layer without a style of its own."""
+    out = F.lit(None).cast("struct<r:int,g:int,b:int,a:int>")
+    for name, (fill, _) in ZONES.items():
+        out = F.when(layer == name, F.struct(*[F.lit(v).alias(k) for v, k in zip(fill, "rgba", strict=True)])).otherwise(out)
+    return out
+
+
+def layer_table(spark: SparkSession) -> DataFrame:
+    """analysis, layer, title, kind, suffix, rank: one row for each layer that a run can have."""
+    return spark.createDataFrame([(*x, RANK[x[0]]) for x in LAYERS], "analysis string, layer string, title string, kind string, suffix string, rank int")
+
+
+def describe_layers(layers: DataFrame, column: str = "layer") -> DataFrame:
+    """Names of stored layers with what the table says of them; unknown ones are left out."""
+    return layers.join(F.broadcast(layer_table(layers.sparkSession)).withColumnRenamed("layer", column), column)  # a row a layer

@@ -13,6 +13,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: What is said of a grid: columns, rows, cell and CRS.
+INFO = "%d x %d px | %.2f m/px | EPSG:%d"
+
+
+def info_text(cols: Column, rows: Column, cell: Column, epsg: Column) -> Column:
+    """``GridMeta.info`` for the rows of a catalogue."""
+    return F.format_string(INFO, cols, rows, cell, epsg)
+
+
 @dataclass(frozen=True)
 class GridMeta:
     rows: int
@@ -32,7 +41,7 @@ class GridMeta:
 
     @property
     def info(self) -> str:
-        return f"{self.cols} x {self.rows} px | {self.cell:.2f} m/px | EPSG:{self.epsg}"
+        return INFO % (self.cols, self.rows, self.cell, self.epsg)
 
     def x(self) -> Column:
         return F.lit(self.x0) + (F.col("c") + 0.5) * self.px
@@ -44,6 +53,10 @@ class GridMeta:
         r, c = (F.col(v) if isinstance(v, str) else v for v in (r, c))
         return r.cast("long") * self.cols + c
 
+    def stamped(self, epsg: int) -> GridMeta:
+        """With a CRS, if it has none."""
+        return self if self.epsg else replace(self, epsg=epsg)
+
     def with_cell(self, cell: float) -> GridMeta:
         return replace(self, cell=cell)
 

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ridgeline.grid import GridMeta
 
 
+#: The CRS of survey texts and of survey files that name none.
+SURVEY_EPSG = 6676
+
+
 def surface_meta(points: DataFrame, cell: float = 0.5) -> GridMeta:
     """The grid of a point cloud: one cell more than its extent needs."""
     b = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.ceil((F.max("x") - F.min("x")) / cell), F.ceil((F.max("y") - F.min("y")) / cell)).first()
@@ -42,7 +46,7 @@ def xyz_meta(points: DataFrame, cell: float = 0.5) -> GridMeta:
     """The grid whose cell centres the points are; sizes are rounded half to even."""
     b = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     half = cell / 2
-    return GridMeta(round((b[3] - b[2] + cell) / cell), round((b[1] - b[0] + cell) / cell), cell, b[0] - half, b[3] + half, cell, -cell, 6676)
+    return GridMeta(round((b[3] - b[2] + cell) / cell), round((b[1] - b[0] + cell) / cell), cell, b[0] - half, b[3] + half, cell, -cell, SURVEY_EPSG)
 
 
 def latest(points: DataFrame, meta: GridMeta, order: str = "line_no") -> DataFrame:
@@ -52,3 +56,22 @@ def latest(points: DataFrame, meta: GridMeta, order: str = "line_no") -> DataFra
     r = meta.rows - 1 - F.rint((F.col("y") - ymin - meta.cell / 2) / meta.cell).cast("int")
     inside = points.withColumns({"r": r, "c": c}).filter(F.col("r").between(0, meta.rows - 1) & F.col("c").between(0, meta.cols - 1))
     return inside.groupBy("r", "c").agg(F.max_by("z", order).cast("float").alias("z"))
+
+
+def xyz_catalog(points: DataFrame, cell: float = 0.5) -> DataFrame:
+    """``xyz_meta`` for each file of points (file, x, y), a row each, as raster catalogues have them."""
+    b = points.groupBy("file").agg(F.min("x").alias("_x"), F.max("x").alias("_xx"), F.min("y").alias("_y"), F.max("y").alias("_yy"))
+    size = lambda low, high: F.rint((F.col(high) - F.col(low) + cell) / cell).cast("int")
+    half = cell / 2
+    out = b.select("file", size("_y", "_yy").alias("rows"), size("_x", "_xx").alias("cols"), F.lit(cell).alias("cell"), F.lit(SURVEY_EPSG).alias("epsg"), (F.col("_x") - half).alias("x0"), (F.col("_yy") + half).alias("y0"), F.lit(cell).alias("px"), F.lit(-cell).alias("py"))
+    return out.withColumns({"xmin": F.col("x0"), "ymin": F.col("y0") - F.col("rows") * cell, "xmax": F.col("x0") + F.col("cols") * cell, "ymax": F.col("y0")})
+
+
+def latest_of_files(points: DataFrame, cell: float = 0.5, order: str = "line_no") -> tuple[DataFrame, DataFrame]:
+    """``latest`` for each file on a grid of its own: cells (file, r, c, z FLOAT), and the files' catalogue."""
+    catalogue = xyz_catalog(points, cell)
+    at = points.join(catalogue.select("file", "rows", "cols", "x0", "ymin"), "file")
+    c = F.rint((F.col("x") - F.col("x0") - cell / 2) / cell).cast("int")
+    r = F.col("rows") - 1 - F.rint((F.col("y") - F.col("ymin") - cell / 2) / cell).cast("int")
+    inside = at.withColumns({"r": r, "c": c}).filter((F.col("r") >= 0) & (F.col("r") < F.col("rows")) & (F.col("c") >= 0) & (F.col("c") < F.col("cols")))
+    return inside.groupBy("file", "r", "c").agg(F.max_by("z", order).cast("float").alias("z")), catalogue

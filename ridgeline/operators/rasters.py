@@ -87,6 +87,41 @@ def mosaic(sources: DataFrame, value: str = "z", order: str = "src_ord") -> Data
     return sources.groupBy("r", "c").agg(F.max_by(value, known).alias(value))
 
 
+def merged_meta(catalogue: DataFrame) -> GridMeta:
+    """The grid over the extents of all files, with the smallest of their cells. All must have one CRS (0 fits any)."""
+    b = catalogue.agg(F.min("xmin"), F.min("ymin"), F.max("xmax"), F.max("ymax"), F.min(F.abs("px")), F.min(F.abs("py")), F.min("cell"), F.max("epsg"), F.min(F.when(F.col("epsg") > 0, F.col("epsg")))).first()
+    if b[0] is None:
+        raise ValueError("no file with a georeference")
+    if b[7] and b[7] != b[8]:
+        raise ValueError(f"files in EPSG:{b[8]} and EPSG:{b[7]}; reproject them first")
+    return GridMeta(max(1, round((b[3] - b[1]) / b[5])), max(1, round((b[2] - b[0]) / b[4])), b[6], b[0], b[3], b[4], -b[5], b[7] or 0)
+
+
+def rebase(cells: DataFrame, catalogue: DataFrame, target: GridMeta) -> DataFrame:
+    """Cells (path, r, c, z) of files with origins of their own, by their catalogue, on one grid: (path, r, c, z).
+
+    A target cell takes the source cell that its centre is in, so larger source cells fill
+    several and smaller ones are passed over.
+    """
+
+    def span(index: str, origin: str, step: str, start: float, size: float, n: int) -> Column:
+        # Edges of the source cell in target cells; centres lie at halves.
+        a, b = ((F.col(origin) + (F.col(index) + k) * F.col(step) - start) / size for k in (0, 1))
+        first = F.greatest(F.lit(0), F.ceil(F.least(a, b) - 0.5 - 1e-6).cast("int"))
+        last = F.least(F.lit(n - 1), (F.ceil(F.greatest(a, b) - 0.5 - 1e-6) - 1).cast("int"))
+        return F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>")))
+
+    at = cells.join(catalogue.select("path", "x0", "y0", "px", "py"), "path")
+    by_row = at.withColumn("_r", span("r", "y0", "py", target.y0, target.py, target.rows))
+    return by_row.withColumn("_c", span("c", "x0", "px", target.x0, target.px, target.cols)).select("path", F.col("_r").alias("r"), F.col("_c").alias("c"), "z")
+
+
+def merge(cells: DataFrame, catalogue: DataFrame) -> tuple[DataFrame, GridMeta]:
+    """Files of cells on the grid over all of them; where they overlap the last path with data wins."""
+    target = merged_meta(catalogue)
+    return mosaic(rebase(cells, catalogue, target), order="path"), target
+
+
 def first_usable(sources: DataFrame, value: str = "z", priority: str = "priority") -> DataFrame:
     """The cells of the source with the least priority number that has any data."""
     best = sources.groupBy(priority).agg(F.count(value).alias("n")).filter("n > 0").agg(F.min(priority).alias(priority))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MANIFEST = "dem_path string, analyses array<string>, duration_h double, rainfall_mmh double, total_mm double, runoff double, velocity_coef double, phi_deg double, c_kpa double, z_m double, m_sat double, fs_thresh double, twi_thresh double, min_area double"
+#: The time in names of outputs that aren't to be replaced, for Python and for Spark (fixed values).
+STAMP, SPARK_STAMP = "%Y%m%d_%H%M%S", "yyyyMMdd_HHmmss"
 _NAME = r"^\d{4}(\+\d+)?$"
 
 
@@ -15,6 +17,20 @@ def run_name(seq: Column, files: Column) -> Column:
     return F.when(files <= 9, F.concat(number, files.cast("string"))).otherwise(F.concat(number, F.lit("0+"), (files - 10).cast("string")))
 
 
+#: Layers that are written but don't count in a run's name (fixed values).
+UNCOUNTED = ("slope", "shc")
+
+
+def counted(layers: Column) -> Column:
+    """How many of a run's layers its name counts."""
+    return F.size(F.filter(layers, lambda k: ~k.isin(*UNCOUNTED)))
+
+
+def stamped_name(name: Column, suffix: Column, at: Column) -> Column:
+    """``name_20240131_235959.tif``: the name of an output that replaces none."""
+    return F.concat(name, F.lit("_"), F.date_format(at, SPARK_STAMP), suffix)
+
+
 def is_run(name: Column) -> Column:
     return name.rlike(_NAME)
 
@@ -28,10 +44,13 @@ def sorted_runs(names: DataFrame, column: str = "name") -> DataFrame:
 
 
 def next_sequence(names: DataFrame, overwrite: bool = False, column: str = "name") -> DataFrame:
-    """One row: the next three-digit sequence number. Overwriting takes the last one again; nothing is deleted here."""
+    """One row: the next sequence number, of three digits; after 999 comes 1000, which no run's name can have.
+
+    Overwriting takes the last one again; nothing is deleted here.
+    """
     last = sorted_runs(names, column).agg(F.max("seq").alias("last"))
     number = F.col("last") + (0 if overwrite else 1)
-    return last.select(F.lpad(F.coalesce(number, F.lit(1)).cast("string"), 3, "0").alias("seq"))
+    return last.select(F.format_string("%03d", F.coalesce(number, F.lit(1))).alias("seq"))
 
 
 def parse_manifest(text: Column) -> Column:
@@ -39,7 +58,7 @@ def parse_manifest(text: Column) -> Column:
 
 
 def condition_text(text: str) -> Column:
-    """Lines on the conditions of a run from its manifest's JSON; a null is a run without one."""
+    """Lines on the conditions of a run from its manifest's JSON; a null is a run without one. The wording is fixed."""
     p = F.from_json(F.col(text), MANIFEST)
     field = lambda k: F.coalesce(p[k].cast("string"), F.lit("-"))
     ran = lambda k: F.array_contains(F.coalesce(p["analyses"], F.array().cast("array<string>")), k)

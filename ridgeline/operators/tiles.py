@@ -83,3 +83,10 @@ def tile_range(xmin: Column, ymin: Column, xmax: Column, ymax: Column, zoom: int
     x1, y1 = tile_of(xmax, ymin, zoom)
     held = [F.greatest(F.lit(0), F.least(F.lit(last), v)) for v in (x0, y0, x1, y1)]
     return held[0], held[1], held[2], held[3]
+
+
+def years_summary(resolved: DataFrame) -> DataFrame:
+    """One row of (code, year): the number of tiles and the distinct years as text, in order."""
+    years = F.array_join(F.transform(F.array_sort(F.collect_set("year")), lambda y: y.cast("string")), ", ")
+    tiles = F.count("*")
+    return resolved.agg(tiles.alias("tiles"), years.alias("years"), F.format_string("%d tile(s), year(s): %s", tiles, years).alias("text"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions import terrain as t
 from ridgeline.grid import GridMeta
-from ridgeline.operators.drainage import concentration_hours, flow_accumulation
+from ridgeline.operators.drainage import drain, flow_accumulation
 from ridgeline.operators.stencil import direction_of, gradients, slope_of, surface_complexity
 from ridgeline.storage import materialise
 
@@ -51,7 +51,7 @@ def terrain(grid: DataFrame, meta: GridMeta) -> DataFrame:
 
 
 def drained(grid: DataFrame, meta: GridMeta, weights: list[str] | None = None) -> DataFrame:
-    """terrain() and accumulation; the first is a table, as doubling reads it in each round."""
+    """terrain() and accumulation; the first is a table, as drainage reads it twice."""
     return flow_accumulation(materialise(terrain(grid, meta), "terrain"), meta, weights)
 
 
@@ -70,7 +70,10 @@ def analyse(grid: DataFrame, meta: GridMeta, params: AnalysisParams | None = Non
         c, v = t.canopy_coefficients(F.col(canopy))
         cells = cells.withColumns({"c_coef": c.cast("double"), "v_coef": v.cast("double")})
         weights, speed = ["c_coef"], F.col("v_coef")
-    cells = drained(cells, meta, weights)
+    cells = terrain(cells, meta)
+    if p.flow:
+        cells = cells.withColumn("hours", t.travel_hours(F.col("dzdx"), F.col("dzdy"), F.col("fdir"), meta.cell, speed))
+    cells = drain(materialise(cells, "terrain"), meta, weights, hours="hours" if p.flow else None)
     if canopy:
         runoff = F.col("accum_c_coef") / F.greatest(F.col("accum"), F.lit(1.0))
     layers = {}
@@ -80,8 +83,6 @@ def analyse(grid: DataFrame, meta: GridMeta, params: AnalysisParams | None = Non
         layers["twi"] = t.wetness_index(F.col("accum"), F.col("slope"), meta.cell)
     cells = cells.withColumns(layers)
     if p.flow:
-        cells = cells.withColumn("hours", t.travel_hours(F.col("dzdx"), F.col("dzdy"), F.col("fdir"), meta.cell, speed))
-        cells = concentration_hours(materialise(cells, "hours"), meta)
         peak, mean, volume = t.routed_metrics(F.col("accum"), F.col("tc"), meta.cell, p.duration_h, p.rainfall_mmh, runoff, p.total_mm)
         known = F.col("z").isNotNull() if p.mask_nodata else F.lit(True)
         cells = cells.withColumns({"flow_peak": F.when(known, peak), "flow_mean": F.when(known, mean), "flow_vtotal": F.when(known, volume)})

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.functions import style
 from ridgeline.functions import tiles as tf
-from ridgeline.grid import GridMeta
+from ridgeline.grid import GridMeta, info_text
 from ridgeline.operators import points as pt
 from ridgeline.operators import rasters, runs, tiles
 from ridgeline.plans import fixtures as fx
@@ -233,8 +234,9 @@ def dsm_max_grid(spark, sf_dir: str) -> DataFrame:
     return pt.highest(cloud, meta, cloud.agg(F.min("y")).first()[0])
 
 
-@query("""WITH k AS (SELECT o_orderkey AS k, o_custkey % 2 AS file, (o_orderkey // 2) % 900 AS cell, (floor(o_totalprice)::INTEGER % 1000) / 10.0::DOUBLE AS z FROM orders WHERE o_orderkey % 50 <> 7)
-SELECT ('f' || file) AS file, (29 - cell // 30)::INTEGER AS r, (cell % 30)::INTEGER AS c, arg_max(z, k)::FLOAT::DOUBLE AS z FROM k GROUP BY file, cell""")
+@query("""WITH k AS (SELECT o_orderkey AS k, o_custkey % 2 AS file, (o_orderkey // 2) % 900 AS cell, (floor(o_totalprice)::INTEGER % 1000) / 10.0::DOUBLE AS z FROM orders WHERE o_orderkey % 50 <> 7),
+b AS (SELECT file, max(cell // 30) AS top, min(cell % 30) AS low FROM k GROUP BY file)
+SELECT ('f' || k.file) AS file, (top - cell // 30)::INTEGER AS r, (cell % 30 - low)::INTEGER AS c, arg_max(z, k)::FLOAT::DOUBLE AS z FROM k JOIN b ON b.file = k.file GROUP BY k.file, top, low, cell""")
 def xyz_grid_last(spark, sf_dir: str) -> DataFrame:
     """Two texts of points, one of each layout, with broken lines; the last line of a cell wins."""
     k, cell = F.col("o_orderkey"), F.floor(F.col("o_orderkey") / 2) % 900
@@ -243,12 +245,7 @@ def xyz_grid_last(spark, sf_dir: str) -> DataFrame:
     parts = [v.cast("string") for v in (x, y, z)]
     line = F.when(k % 50 == 7, "broken line here now").when(F.col("o_custkey") % 2 == 0, F.concat_ws(" ", *parts)).otherwise(F.concat(k.cast("string"), F.lit(","), F.concat_ws(",", *parts), F.lit(",1")))
     lines = fx.table(spark, sf_dir, "orders").select(F.concat(F.lit("f"), (F.col("o_custkey") % 2).cast("string")).alias("file"), k.alias("line_no"), line.alias("line"))
-    points = pt.parse_xyz(lines)
-    meta = GridMeta(30, 30, 0.5, 0.0, 15.0, 0.5, -0.5, 6676)
-    c = F.rint((F.col("x") - 0.25) / 0.5).cast("int")
-    r = 29 - F.rint((F.col("y") - 0.25) / 0.5).cast("int")
-    assert meta.cols == 30
-    return points.groupBy("file", r.alias("r"), c.alias("c")).agg(F.max_by("z", "line_no").cast("float").cast("double").alias("z"))
+    return pt.latest_of_files(pt.parse_xyz(lines))[0].select("file", "r", "c", F.col("z").cast("double").alias("z"))
 
 
 _RUNS = "n AS (SELECT o_orderkey AS k, o_orderkey % 999 + 1 AS seq, o_custkey % 25 AS files FROM orders), names AS (SELECT k, seq, files, CASE WHEN files <= 9 THEN lpad(seq::VARCHAR, 3, '0') || files ELSE lpad(seq::VARCHAR, 3, '0') || '0+' || (files - 10) END AS name FROM n)"
@@ -273,9 +270,9 @@ def run_sort(spark, sf_dir: str) -> DataFrame:
     return runs.sorted_runs(names).select("k", "name", "seq", "files", place.cast("long").alias("place"))
 
 
-@query(f"WITH {_RUNS} SELECT lpad((max(seq) + 1)::VARCHAR, 3, '0') AS seq FROM names WHERE seq < 900")
+@query(f"WITH {_RUNS} SELECT printf('%03d', max(seq) + 1) AS seq FROM names")
 def next_sequence(spark, sf_dir: str) -> DataFrame:
-    return runs.next_sequence(_runs(spark, sf_dir).filter("number < 900"))
+    return runs.next_sequence(_runs(spark, sf_dir))
 
 
 @query("""SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN 'No condition data (legacy run)' WHEN o_orderkey % 7 = 1 THEN 'No conditions'
@@ -290,8 +287,82 @@ def condition_text(spark, sf_dir: str) -> DataFrame:
 @query("SELECT c_custkey AS k, printf('%d x %d px | %.2f m/px | EPSG:%d', c_custkey % 900 + 1, c_custkey % 700 + 1, c_custkey % 11 / 2.0 + 0.5, 32600 + c_custkey % 60 + 1) AS info FROM customer")
 def grid_info(spark, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
-    text = F.format_string("%d x %d px | %.2f m/px | EPSG:%d", k % 900 + 1, k % 700 + 1, k % 11 / 2.0 + 0.5, 32600 + k % 60 + 1)
-    return fx.table(spark, sf_dir, "customer").select(k.alias("k"), text.alias("info"))
+    return fx.table(spark, sf_dir, "customer").select(k.alias("k"), info_text(k % 900 + 1, k % 700 + 1, k % 11 / 2.0 + 0.5, 32600 + k % 60 + 1).alias("info"))
+
+
+@query("""WITH s AS (SELECT o_orderkey % 3 AS f, (o_orderkey // 3 // 100)::INTEGER AS r, (o_orderkey // 3 % 100)::INTEGER AS c, CASE WHEN o_custkey % 4 <> 1 THEN o_totalprice END AS z FROM orders),
+t AS (SELECT f, r + f * 7 AS r, c + f * 40 AS c, z FROM s) SELECT r, c, arg_max(z, CASE WHEN z IS NOT NULL THEN f END) AS z FROM t GROUP BY r, c""")
+def mosaic_rebased(spark, sf_dir: str) -> DataFrame:
+    """Three files that lie 40 columns and 7 rows apart, on the grid over all of them."""
+    k = F.col("o_orderkey")
+    cell, name = F.floor(k / 3), F.concat(F.lit("f"), (k % 3).cast("string"))
+    cells = fx.table(spark, sf_dir, "orders").select(name.alias("path"), F.floor(cell / 100).cast("int").alias("r"), (cell % 100).cast("int").alias("c"), F.when(F.col("o_custkey") % 4 != 1, F.col("o_totalprice")).alias("z"))
+    f = F.substring("path", 2, 1).cast("int")
+    x0, y0 = f * 20.0 + 500.0, 9000.0 - f * 3.5
+    sizes = cells.groupBy("path").agg((F.max("r") + 1).alias("rows"), (F.max("c") + 1).alias("cols"))
+    catalogue = sizes.select("path", "rows", "cols", F.lit(0.5).alias("cell"), F.lit(6676).alias("epsg"), x0.alias("x0"), y0.alias("y0"), F.lit(0.5).alias("px"), F.lit(-0.5).alias("py"), x0.alias("xmin"), (y0 - F.col("rows") * 0.5).alias("ymin"), (x0 + F.col("cols") * 0.5).alias("xmax"), y0.alias("ymax"))
+    return rasters.merge(cells, catalogue)[0]
+
+
+@query(f"{_DEM}, m AS (SELECT (max(r) + 1) // 5 AS n FROM dem) SELECT r // 5 AS r, c // 5 AS c, round(avg(z), 6) AS z FROM dem, m WHERE r < n * 5 GROUP BY r // 5, c // 5")
+def auto_resample(spark, sf_dir: str) -> DataFrame:
+    """A grid of 0.1 m becomes one of 0.5 m."""
+    out, _ = rasters.auto_resample(fx.dem(spark, sf_dir), fx.dem_meta(spark, sf_dir).with_cell(0.1))
+    return out.select("r", "c", _r("z").alias("z"))
+
+
+@query("SELECT 'las/' || c_custkey || CASE WHEN c_custkey % 2 = 0 THEN '.las' ELSE '_dsm.tif' END AS path FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 0)")
+def stale_surfaces(spark, sf_dir: str) -> DataFrame:
+    """Point clouds and surfaces that no stored run refers to."""
+    path = lambda k: F.concat(F.lit("las/"), F.col(k).cast("string"), F.when(F.col(k) % 2 == 0, ".las").otherwise("_dsm.tif"))
+    files = fx.table(spark, sf_dir, "customer").select(path("c_custkey").alias("path"))
+    used = fx.table(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0").select(path("o_custkey").alias("dem_path"))
+    return tiles.unreferenced(files, used)
+
+
+@query(f"WITH {fx.CATALOG_SQL}, y AS (SELECT code, max(year) AS year FROM catalog WHERE lp_type = 'Grid' GROUP BY code), t AS (SELECT count(*) AS tiles, (SELECT string_agg(year::VARCHAR, ', ' ORDER BY year) FROM (SELECT DISTINCT year FROM y)) AS years FROM y) SELECT tiles, years, tiles || ' tile(s), year(s): ' || years AS text FROM t")
+def years_summary(spark, sf_dir: str) -> DataFrame:
+    return tiles.years_summary(tiles.resolve_years(fx.codes(spark, sf_dir), fx.catalog(spark, sf_dir)))
+
+
+@query("SELECT event_id AS k, 'twi_' || strftime(ts, '%Y%m%d_%H%M%S') || '.tif' AS name FROM events")
+def stamped_names(spark, sf_dir: str) -> DataFrame:
+    return fx.table(spark, sf_dir, "events").select(F.col("event_id").alias("k"), runs.stamped_name(F.lit("twi"), F.lit(".tif"), F.col("ts")).alias("name"))
+
+
+@query("SELECT o_orderkey AS k, (o_orderkey % 5 + 1)::INTEGER AS n FROM orders")
+def counted_layers(spark, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    layers = F.concat(F.array(F.lit("slope"), F.lit("shc")), F.slice(F.array(*[F.lit(x) for x in ("twi", "tc", "flow_peak", "flow_mean", "stability_fs")]), F.lit(1), (k % 5 + 1).cast("int")))
+    return fx.table(spark, sf_dir, "orders").select(k.alias("k"), runs.counted(layers).alias("n"))
+
+
+@query("SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 > 0 THEN (o_custkey % 9 + 1)::DOUBLE END AS duration_h, CASE WHEN o_orderkey % 4 > 0 THEN 2 ELSE 1 END::INTEGER AS analyses, CASE WHEN o_orderkey % 4 = 0 THEN 8.5::DOUBLE END AS twi_thresh FROM orders")
+def parse_manifest(spark, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    text = F.when(k % 4 == 0, '{"analyses": ["valley"], "twi_thresh": 8.5}').otherwise(F.concat(F.lit('{"analyses": ["flow", "stability"], "duration_h": '), (F.col("o_custkey") % 9 + 1).cast("string"), F.lit(".0}")))
+    p = runs.parse_manifest(text)
+    return fx.table(spark, sf_dir, "orders").select(k.alias("k"), p["duration_h"].alias("duration_h"), F.size(p["analyses"]).alias("analyses"), p["twi_thresh"].alias("twi_thresh"))
+
+
+_LAYERS = ", ".join(f"('{a}', '{n}', '{t}', '{k}', '{s}', {style.RANK[a]})" for a, n, t, k, s in style.LAYERS)
+_FILLS = ", ".join(f"('{n}', {f[0]}, {f[1]}, {f[2]}, {f[3]})" for n, (f, _) in style.ZONES.items())
+_STORED = "s AS (SELECT o_orderkey AS k, (['stability_fs', 'valley_zones', 'twi', 'slope', 'flow_vtotal', 'integrated_high_risk', 'unstable_zones'])[(o_orderkey % 7 + 1)::INTEGER] AS layer FROM orders)"
+
+
+def _stored(spark, sf_dir: str) -> DataFrame:
+    names = F.array(*[F.lit(x) for x in ("stability_fs", "valley_zones", "twi", "slope", "flow_vtotal", "integrated_high_risk", "unstable_zones")])
+    return fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.get(names, (F.col("o_orderkey") % 7).cast("int")).alias("layer"))
+
+
+@query(f"WITH {_STORED} SELECT k, s.layer, analysis, title, kind, suffix, rank::INTEGER AS rank FROM s JOIN (VALUES {_LAYERS}) t(analysis, layer, title, kind, suffix, rank) ON t.layer = s.layer")
+def layer_catalogue(spark, sf_dir: str) -> DataFrame:
+    return style.describe_layers(_stored(spark, sf_dir))
+
+
+@query(f"WITH {_STORED} SELECT k, s.layer, r::INTEGER AS r, g::INTEGER AS g, b::INTEGER AS b, a::INTEGER AS a FROM s LEFT JOIN (VALUES {_FILLS}) t(layer, r, g, b, a) ON t.layer = s.layer")
+def zone_styles(spark, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir).withColumn("f", style.zone_fill(F.col("layer"))).select("k", "layer", *[F.col("f")[x].alias(x) for x in "rgba"])
 
 
 # The inverse series' coefficients for the ellipsoid (see rasters.utm_lonlat), spelled out for SQL.

@@ -1,13 +1,15 @@
 """Runs on disk: layers of cells, a manifest, zones, and what integrates stored layers.
 
 A run is written to a hidden folder and renamed once it is whole, so a run that is seen
-is complete. Files of a run that failed are removed.
+is complete. Files of a run that failed are removed. Runs that are overwritten stand aside
+until the new one is in place.
 """
 
 from __future__ import annotations
 
 import argparse
 import json
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,8 +20,6 @@ from ridgeline.operators import runs, zones
 from ridgeline.plans.analysis import AnalysisParams
 
 LAYERS = ("slope", "shc", "stability_fs", "twi", "tc", "flow_peak", "flow_mean", "flow_vtotal", "integrated_risk_index")
-#: Written, but not part of the number of files in a run's name.
-UNCOUNTED = ("slope", "shc")
 
 
 def _fs(spark: SparkSession, path: str):
@@ -40,11 +40,13 @@ def save_run(cells: DataFrame, meta: GridMeta, params: AnalysisParams, out_dir:
     spark = cells.sparkSession
     names = spark.createDataFrame([(n,) for n in run_names(spark, out_dir)], "name string")
     seq = runs.next_sequence(names, overwrite).first().seq
+    if len(seq) > 3:
+        raise ValueError("all run numbers are taken")
     layers = [k for k in LAYERS if k in cells.columns]
     kinds = {"unstable": "unstable_zones", "valley": "valley_zones", "high_risk": "integrated_high_risk"}
     masks = [k for k in kinds if k in cells.columns]
-    n = sum(k not in UNCOUNTED for k in layers) + len(masks)
-    name = spark.range(1).select(runs.run_name(F.lit(seq), F.lit(n)).alias("name")).first().name
+    n = runs.counted(F.array(*[F.lit(k) for k in (*layers, *masks)]))
+    name = spark.range(1).select(runs.run_name(F.lit(seq), n).alias("name")).first().name
     hidden = f"{out_dir}/.tmp_{seq}"
     files, tmp = _fs(spark, hidden)
     files.delete(tmp, True)
@@ -57,16 +59,53 @@ def save_run(cells: DataFrame, meta: GridMeta, params: AnalysisParams, out_dir:
         text = json.dumps(params.manifest(dem_path) | {"meta": vars(meta)})
         spark.range(1).select(F.lit(text).alias("value")).coalesce(1).write.text(f"{hidden}/params")
         old = [x for x in run_names(spark, out_dir) if overwrite and x[:3] == seq]
-        for x in old:
-            files.delete(_fs(spark, f"{out_dir}/{x}")[1], True)
-        if not files.rename(tmp, _fs(spark, f"{out_dir}/{name}")[1]):
-            raise OSError(f"{out_dir}/{name} is there already")
+        _replace(spark, out_dir, old, tmp, name)
     except BaseException:
         files.delete(tmp, True)
         raise
     return name
 
 
+def _replace(spark: SparkSession, out_dir: str, old: list[str], new, name: str) -> None:
+    """Puts the folder ``new`` in the place of old runs: they are moved aside, and deleted once it stands, or moved back."""
+    files, target = _fs(spark, f"{out_dir}/{name}")
+    aside = [(_fs(spark, f"{out_dir}/{x}")[1], _fs(spark, f"{out_dir}/.old_{x}")[1]) for x in old]
+    moved = []
+    try:
+        for run, place in aside:
+            if not files.rename(run, place):
+                raise OSError(f"{run} can't be moved")
+            moved.append((run, place))
+        if files.exists(target) or not files.rename(new, target):
+            raise OSError(f"{out_dir}/{name} is there already")
+    except BaseException:
+        for run, place in moved:
+            files.rename(place, run)
+        raise
+    for _, place in moved:
+        files.delete(place, True)
+
+
+def latest_path(spark: SparkSession, out_dir: str, patterns: list[str]) -> str | None:
+    """Of all that match any of the patterns the path that sorts last; None where nothing does."""
+    found = []
+    for pattern in patterns:
+        files, path = _fs(spark, f"{out_dir}/{pattern}")
+        found += [s.getPath().toString() for s in files.globStatus(path) or ()]
+    return max(found, default=None)
+
+
+def prefixed_path(spark: SparkSession, out_dir: str, prefix: str, name: str, suffix: str) -> str | None:
+    """The path of a file with a prefix before its name; None where it isn't there."""
+    files, path = _fs(spark, f"{out_dir}/{prefix}{name}{suffix}")
+    return path.toString() if files.exists(path) else None
+
+
+def output_path(out_dir: str, name: str, suffix: str, overwrite: bool, now: datetime | None = None) -> str:
+    """A fixed name where what is there may be replaced, else one with the time."""
+    return f"{out_dir}/{name}{suffix}" if overwrite else f"{out_dir}/{name}_{now or datetime.now():{runs.STAMP}}{suffix}"
+
+
 def load_run(spark: SparkSession, out_dir: str, name: str | None = None) -> tuple[DataFrame, dict]:
     """Cells and manifest of a run, by default the last."""
     if name is None:

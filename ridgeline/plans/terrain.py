@@ -155,9 +155,9 @@ def travel_time(spark, sf_dir: str) -> DataFrame:
 
 def _timed(spark, sf_dir: str, holes: bool) -> tuple[DataFrame, object]:
     meta = fx.dem_meta(spark, sf_dir)
-    cells = drained(fx.dem(spark, sf_dir, holes), meta)
+    cells = terrain(fx.dem(spark, sf_dir, holes), meta)
     cells = cells.withColumn("hours", t.travel_hours(F.col("dzdx"), F.col("dzdy"), F.col("fdir"), meta.cell))
-    return drainage.concentration_hours(materialise(cells, "timed"), meta), meta
+    return drainage.drain(materialise(cells, "timed"), meta, hours="hours"), meta
 
 
 _TC = _with("{dem}", fx.NEAR_SQL, fx.DRAIN_SQL, fx.TC_SQL)

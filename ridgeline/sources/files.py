@@ -12,3 +12,27 @@ def save(folder: str, name: str, data: bytes) -> str:
     with files.open_output_stream(f"{path}/{name}", compression=None) as out:
         out.write(data)
     return f"{folder.rstrip('/')}/{name}"
+
+
+class Ranges:
+    """A file that is open for reads by range."""
+
+    def __init__(self, file):
+        self.file = file
+
+    def read_at(self, size: int, offset: int) -> bytes:
+        self.file.seek(offset)
+        return self.file.read(size)
+
+    def __enter__(self) -> Ranges:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.file.close()
+
+
+def open_at(path: str) -> Ranges:
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    files, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    return Ranges(files.open_input_file(inner))

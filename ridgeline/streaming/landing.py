@@ -7,26 +7,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ridgeline.grid import GridMeta
+from ridgeline.operators.points import highest
 
 
 def point_stream(spark: SparkSession, folder: str, schema: str = "x double, y double, z float") -> DataFrame:
     return spark.readStream.schema(schema).parquet(folder)
 
 
-def highest_so_far(points: DataFrame, meta: GridMeta, ymin: float) -> DataFrame:
-    """The highest point of each cell: one value of state a cell, whatever the number of points."""
-    c = F.floor((F.col("x") - meta.x0) / meta.cell).cast("int")
-    r = meta.rows - 1 - F.floor((F.col("y") - ymin) / meta.cell).cast("int")
-    return points.groupBy(r.alias("r"), c.alias("c")).agg(F.max("z").alias("z"))
-
-
 def keep_surface(points: DataFrame, meta: GridMeta, ymin: float, path: str, checkpoint: str) -> StreamingQuery:
-    """Writes the changed cells of each batch under its number; the last batch of a cell holds."""
+    """Writes the changed cells of each batch under its number; the last batch of a cell holds.
+
+    State is one value a cell, whatever the number of points.
+    """
 
     def put(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return highest_so_far(points, meta, ymin).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return highest(points, meta, ymin).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def surface(spark: SparkSession, path: str) -> DataFrame:

@@ -4,6 +4,7 @@ import io
 import struct
 import zipfile
 import zlib
+from datetime import datetime
 
 import numpy as np
 import pytest
@@ -14,6 +15,7 @@ from ridgeline.functions import tiles as tf
 from ridgeline.grid import GridMeta, cell_metres
 from ridgeline.operators import points as pt
 from ridgeline.operators import runs, tiles
+from ridgeline.operators.rasters import merge, rebase
 from ridgeline.plans import store
 from ridgeline.plans.analysis import AnalysisParams, analyse
 from ridgeline.sources import raster as rs
@@ -29,24 +31,125 @@ def test_geotiff_round_trip(spark, tmp_path):
     z[3, 4] = np.nan
     z[5, 6] = np.inf
     meta = GridMeta(23, 17, 0.5, 100.0, 900.0, 0.5, -0.5, 6676)
-    paths = [r.path for r in rs.write_geotiff(grid(spark, z), meta, str(tmp_path), "dem", rows_per_file=10).collect()]
-    assert len(paths) == 3
-    got = {(r.path[-9:-4], r.r, r.c): r.z for r in rs.read_geotiff(spark, f"{tmp_path}/*.tif").collect()}
-    for (k, r, c), v in got.items():
-        want = z[int(k) * 10 + r, c]
+    paths = [r.path for r in rs.write_geotiff(grid(spark, z), meta, str(tmp_path), "dem", tile=10).collect()]
+    assert len(paths) == 6
+    got = {(r.path[-15:-10], r.path[-9:-4], r.r, r.c): r.z for r in rs.read_geotiff(spark, f"{tmp_path}/*.tif").collect()}
+    assert len(got) == z.size
+    for (i, k, r, c), v in got.items():
+        want = z[int(i) * 10 + r, int(k) * 10 + c]
         assert (v is None and np.isnan(want)) or v == want
     first = rs.raster_catalog(spark, f"{tmp_path}/*.tif").first()
-    assert (first.rows, first.cols, first.epsg, first.xmin, first.ymax) == (10, 17, 6676, 100.0, 900.0)
+    assert (first.rows, first.cols, first.epsg, first.xmin, first.ymax) == (10, 10, 6676, 100.0, 900.0)
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as f:
         f.writestr("notes.md", "x")
         f.write(paths[0], "sub/a.TIF")
         f.writestr("b_dem.txt", "1 2 3")
     assert rs.zip_members(spark, f"{tmp_path}/a.zip").first().member == "sub/a.TIF"
-    assert rs.read_zipped(spark, f"{tmp_path}/a.zip").count() == 170
+    assert rs.read_zipped(spark, f"{tmp_path}/a.zip")[0].count() == 100
+    cells, catalogue = rs.read_geotiff(spark, f"{tmp_path}/*.tif"), rs.raster_catalog(spark, f"{tmp_path}/*.tif")
+    whole, merged = merge(cells, catalogue)
+    assert merged == meta
+    assert {(r.r, r.c): r.z for r in whole.collect()} == {(r, c): None if np.isnan(v) else v for (r, c), v in np.ndenumerate(z)}
     (tmp_path / "bad.tif").write_bytes(b"nonsense")
     assert rs.raster_catalog(spark, f"{tmp_path}/bad.tif").first().rows is None
 
 
+def tiff(pixels, tags, big=False, predictor=1):
+    """A raw TIFF of one strip, classic or large, with further tags (number, kind, values)."""
+    body = pixels.tobytes()
+    code = {"H": 3, "I": 4, "d": 12}
+    size = pixels.dtype.itemsize
+    head, wide = (16, 8) if big else (8, 4)
+    all_tags = sorted([(256, "I", (pixels.shape[1],)), (257, "I", (pixels.shape[0],)), (258, "H", (8 * size,)), (259, "H", (1,)), (273, "I", (head,)), (277, "H", (1,)), (278, "I", (pixels.shape[0],)), (279, "I", (len(body),)), (317, "H", (predictor,)), (339, "H", ({"i": 2, "u": 1, "f": 3}[pixels.dtype.kind],)), *tags])
+    at = head + len(body)
+    extra_at = at + (8 if big else 2) + len(all_tags) * (20 if big else 12) + wide
+    entries = extra = b""
+    for tag, kind, values in all_tags:
+        data = struct.pack(f"<{len(values)}{kind}", *values)
+        if len(data) > wide:
+            field = struct.pack("<Q" if big else "<I", extra_at + len(extra))
+            extra += data
+        else:
+            field = data.ljust(wide, b"\0")
+        entries += struct.pack("<HHQ" if big else "<HHI", tag, code[kind], len(values)) + field
+    start = struct.pack("<2sHHHQ", b"II", 43, 8, 0, at) if big else struct.pack("<2sHI", b"II", 42, at)
+    return start + body + struct.pack("<Q" if big else "<H", len(all_tags)) + entries + b"\0" * wide + extra
+
+
+def test_large_tiff_and_predictors():
+    rng = np.random.default_rng(2)
+    z = rng.integers(-3000, 3000, (5, 7)).astype("<i2")
+    assert np.array_equal(rs.tiff_pixels(tiff(z, [], big=True)), z)
+    steps = np.diff(z, axis=1, prepend=np.int16(0)).astype("<i2")
+    assert np.array_equal(rs.tiff_pixels(tiff(steps, [], predictor=2)), z)
+    f = rng.normal(size=(4, 6)).astype("<f4")
+    planes = f.astype(">f4").view(np.uint8).reshape(4, 6, 4).transpose(0, 2, 1).reshape(4, 24)
+    stored = np.diff(planes, axis=1, prepend=np.uint8(0)).astype(np.uint8)
+    assert np.array_equal(rs.tiff_pixels(tiff(np.ascontiguousarray(stored).view("<f4"), [], predictor=3)), f)
+
+
+def test_cells_in_metres():
+    z = np.zeros((10, 10), "<f4")
+    place = [(33550, "d", (0.001, 0.001, 0.0)), (33922, "d", (0.0, 0.0, 0.0, 138.0, 60.005, 0.0))]
+    degrees, _ = rs.tiff_meta(tiff(z, [*place, (34735, "H", (1, 1, 0, 2, 1024, 0, 1, 2, 2048, 0, 1, 4326))]))
+    assert degrees.epsg == 4326 and degrees.cell == pytest.approx(0.001 * 111320 * 0.5, rel=1e-3) and degrees.px == 0.001
+    metres, _ = rs.tiff_meta(tiff(z, [*place, (34735, "H", (1, 1, 0, 2, 1024, 0, 1, 1, 3072, 0, 1, 6676))]))
+    assert metres.cell == 0.001
+    world, _ = rs.tiff_meta(tiff(z, []), "0.5\n0\n0\n-0.5\n100.25\n899.75\n")
+    assert (world.x0, world.y0, world.px, world.py) == (100.0, 900.0, 0.5, -0.5)
+
+
+def test_zipped_texts_and_merge(spark, tmp_path):
+    """Neighbouring survey tiles, one as XYZ and one as a TIFF with a world file, as one grid; the last name wins in an archive."""
+    xyz = "".join(f"{c * 0.5 + 0.25} {r * 0.5 + 0.25} {10 * r + c}\n" for r in range(4) for c in range(4))
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as f:
+        f.writestr("old.txt", "0.25 0.25 1\n")
+        f.writestr("x_dem.txt", xyz)
+    z = np.arange(16, dtype="<f4").reshape(4, 4) + 100
+    with zipfile.ZipFile(tmp_path / "b.zip", "w") as f:
+        f.writestr("T/b.tif", tiff(z, []))
+        f.writestr("T/B.TFW", "0.5\n0\n0\n-0.5\n1.75\n1.75\n")
+    grid_, meta = rs.merge_zips(spark, str(tmp_path))
+    assert (meta.rows, meta.cols, meta.x0, meta.y0, meta.epsg) == (4, 7, 0.0, 2.0, 6676)
+    got = {(r.r, r.c): r.z for r in grid_.collect()}
+    assert got == {(r, c): float(z[r, c - 3]) if c >= 3 else 10.0 * (3 - r) + c for r in range(4) for c in range(7)}
+    assert rs.zip_members(spark, f"{tmp_path}/a.zip", last=True).first().member == "x_dem.txt"
+    assert rs.zip_members(spark, f"{tmp_path}/a.zip").first().member == "x_dem.txt"
+    with zipfile.ZipFile(tmp_path / "c.zip", "w") as f:
+        f.writestr("x_dem.txt", xyz)
+        f.writestr("z.txt", "0.25 0.25 7\n")
+    assert rs.zip_members(spark, f"{tmp_path}/c.zip", last=True).first().member == "z.txt"
+    with zipfile.ZipFile(tmp_path / "d.zip", "w") as f:
+        f.writestr("readme.md", "x")
+    with pytest.raises(Exception, match="no TIF"):
+        rs.read_zipped(spark, f"{tmp_path}/d.zip")[0].collect()
+
+
+def test_rebase_with_other_cells(spark):
+    cells = spark.createDataFrame([("coarse", 0, 0, 1.0), ("coarse", 0, 1, 2.0), *(("fine", r, c, 10.0 * r + c) for r in range(2) for c in range(2))], "path string, r int, c int, z double")
+    catalogue = spark.createDataFrame([("coarse", 0.0, 4.0, 2.0, -2.0), ("fine", 4.0, 4.0, 1.0, -1.0)], "path string, x0 double, y0 double, px double, py double")
+    got = {(r.path, r.r, r.c): r.z for r in rebase(cells, catalogue, GridMeta(2, 6, 1.0, 0.0, 4.0, 1.0, -1.0)).collect()}
+    assert got == {("coarse", r, c): 1.0 + c // 2 for r in range(2) for c in range(4)} | {("fine", r, 4 + c): 10.0 * r + c for r in range(2) for c in range(2)}
+    wide = rebase(cells.filter("path = 'fine'"), catalogue, GridMeta(1, 3, 2.0, 0.0, 4.0, 2.0, -2.0)).collect()
+    assert [(r.r, r.c) for r in wide] == [(0, 2)]
+
+
+def test_directory_scan(spark, tmp_path):
+    place = lambda x: [(33550, "d", (1.0, 1.0, 0.0)), (33922, "d", (0.0, 0.0, 0.0, x, 10.0, 0.0))]
+    for name, x in (("a.tif", 0.0), ("b.TIF", 500.0)):
+        (tmp_path / name).write_bytes(tiff(np.zeros((10, 10), "<f4"), place(x)))
+    (tmp_path / "broken.tif").write_bytes(b"?")
+    (tmp_path / "notes.txt").write_bytes(b"?")
+    for folder in ("", "m1", "m2"):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        with zipfile.ZipFile(tmp_path / folder / "z.zip", "w") as f:
+            f.writestr("x", "y")
+    name = lambda df: [(r.path.rsplit("/", 1)[1], r.kind) for r in df.collect()]
+    assert name(rs.scan_directory(spark, str(tmp_path))) == [("a.tif", "tif"), ("b.TIF", "tif"), ("broken.tif", "tif"), ("z.zip", "zip")]
+    assert name(rs.scan_directory(spark, str(tmp_path), (5.0, 5.0, 20.0, 20.0))) == [("a.tif", "tif"), ("broken.tif", "tif"), ("z.zip", "zip")]
+    assert [(r.folder.rsplit("/", 1)[1], r.files) for r in rs.merge_folders(spark, str(tmp_path)).collect()] == [("m1", 1), ("m2", 1)]
+
+
 def packed(data):
     """TIFF's LZW by its definition, with the table cleared before it is full."""
     bits, table, width, word = "", {}, 9, b""
@@ -91,7 +194,12 @@ def test_las_and_surface(spark, tmp_path):
     struct.pack_into("<H", head, 105, 20)
     struct.pack_into("<I", head, 107, 500)
     struct.pack_into("<6d", head, 131, 0.01, 0.01, 0.01, 5.0, 6.0, 7.0)
-    (tmp_path / "a.las").write_bytes(bytes(head) + b"".join(p.tobytes() + bytes(8) for p in xyz))
+    plain = bytes(head) + b"".join(p.tobytes() + bytes(8) for p in xyz)
+    struct.pack_into("<H", head, 94, 227)
+    plain = bytes(head) + plain[227:]
+    stamped = rs.stamp_las(plain)
+    assert len(stamped) == len(plain) + 54 + 24 and rs.stamp_las(stamped) == stamped
+    (tmp_path / "a.las").write_bytes(stamped)
     cloud = rs.read_las(spark, f"{tmp_path}/a.las")
     pts = xyz * 0.01 + [5.0, 6.0, 7.0]
     meta = pt.surface_meta(cloud, 0.5)
@@ -152,6 +260,7 @@ def test_run_names(spark):
     assert [(r.name, r.seq, r.files) for r in runs.sorted_runs(df).collect()] == [("0019", 1, 9), ("0010+0", 1, 10), ("0010+2", 1, 12), ("0021", 2, 1)]
     assert runs.next_sequence(df).first().seq == "003" and runs.next_sequence(df, overwrite=True).first().seq == "002"
     assert runs.next_sequence(df.limit(0)).first().seq == "001"
+    assert runs.next_sequence(spark.createDataFrame([("9993",)], "name string")).first().seq == "1000"
     text = spark.createDataFrame([(None,), ("{}",), ("oops",), ('{"analyses": ["valley"], "twi_thresh": 8}',)], "j string").select(runs.condition_text("j").alias("t")).collect()
     assert [r.t for r in text] == ["No condition data (legacy run)", "No conditions", "Error reading condition file", "Valley: TWI≥8.0 · min area - m²"]
 
@@ -162,7 +271,7 @@ def test_ramps(spark):
     assert [tuple(r.s) if r.s else None for r in rows] == [(60, 180, 60, 255), (157, 200, 30, 255), (255, 130, 0, 255), (200, 0, 0, 255), None]
 
 
-def test_stored_runs(spark, tmp_path):
+def test_stored_runs(spark, tmp_path, monkeypatch):
     z = np.random.default_rng(4).normal(size=(9, 8)).cumsum(1)
     meta = GridMeta(9, 8, 2.0, 0.0, 18.0, 2.0, -2.0)
     cells = analyse(grid(spark, z), meta)
@@ -175,6 +284,14 @@ def test_stored_runs(spark, tmp_path):
     assert risk == {(r.r, r.c): r.integrated_risk_index for r in cells.collect()}
     assert store.save_run(cells, meta, AnalysisParams(), out) == "0026"
     assert store.save_run(cells, meta, AnalysisParams(), out, overwrite=True) == "0026" and len(store.run_names(spark, out)) == 2
+    assert [p.name for p in tmp_path.iterdir() if p.name.startswith(".")] == []
+    monkeypatch.setattr(store.runs, "run_name", lambda seq, files: F.lit("0016"))  # a name that is taken: the new run can't be placed
+    with pytest.raises(OSError):
+        store.save_run(cells, meta, AnalysisParams(), out, overwrite=True)
+    assert store.run_names(spark, out) == ["0016", "0026"] and store.load_run(spark, out)[0].count() == 72
+    assert store.latest_path(spark, out, ["00*", "nothing*"]).endswith("/0026") and store.latest_path(spark, out, ["x*"]) is None
+    assert store.prefixed_path(spark, out, "002", "6", "").endswith("/0026") and store.prefixed_path(spark, out, "9", "6", "") is None
+    assert store.output_path("o", "twi", ".tif", True) == "o/twi.tif" and store.output_path("o", "twi", ".tif", False, datetime(2024, 1, 31, 23, 59, 58)) == "o/twi_20240131_235958.tif"
     store.main([out, "--multiplicative"])
     assert spark.read.parquet(f"{out}/integrated_risk").count() == 72
     names = spark.createDataFrame([("b.las", "../b.las"), ("a.las", "../a.las")], "filename string, relative string")

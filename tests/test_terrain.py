@@ -99,8 +99,9 @@ def test_blur(spark, shape):
     assert np.allclose(array(stencil.gaussian_blur(df, meta, "z"), shape, "blurred"), np.where(np.isnan(z), np.nan, v), equal_nan=True)
 
 
-@pytest.mark.parametrize("seed,holes", [(1, 0.08), (2, 0.0)])
-def test_drainage(spark, seed, holes):
+@pytest.mark.parametrize("seed,holes,tile", [(1, 0.08, 256), (2, 0.0, 3), (3, 0.05, 4), (4, 0.0, 1)])
+def test_drainage(spark, seed, holes, tile, monkeypatch):
+    monkeypatch.setattr(drainage, "TILE", tile)
     z = surface(seed, (14, 17), holes)
     df, meta = frame(spark, z)
     to = plain_receivers(plain_d8(z))
@@ -128,6 +129,8 @@ def test_drainage(spark, seed, holes):
             most[to[k]] = most[k]
     got = array(drainage.concentration_hours(cells, meta), z.shape, "tc")
     assert np.allclose(got, most - cum, equal_nan=True)
+    both = drainage.drain(cells.drop("accum", "accum_w"), meta, ["w"], "hours")
+    assert np.allclose(array(both, z.shape, "tc"), most - cum, equal_nan=True) and np.array_equal(array(both, z.shape, "accum_w"), total)
 
 
 def test_formulas(spark):
