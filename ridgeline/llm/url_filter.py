@@ -4,7 +4,9 @@ A rule (verdict, host, path) fits its host and all subdomains where the url's pa
 starts with the rule's path; of those that fit, the longest wins. A url that no rule
 fits is judged by logistic regression on hashed character n-grams of host and path,
 trained from a small table of labelled urls. All of it are DataFrame operations and
-Spark's own feature hashing and regression.
+Spark's own feature hashing and regression. The table is made of words that name such
+sites and of ordinary words, in hosts of its own (not those of any table to be judged):
+no table of labels for urls is given. It can't know a site that none of its words names.
 
 The host is what stands after the first ``://`` up to ``/``, ``?``, ``#`` or the end,
 with A-Z lower-cased; the path goes on up to ``?``, ``#`` or the end. A null url or one
@@ -26,23 +28,30 @@ from ridgeline.llm.native import ascii_lower
 
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
-_BLOCKED = ("casino-win", "casino-bonus", "poker-online", "free-bets", "sport-bets", "bets-today", "adult-x", "adult-video", "xxx-cams", "spam-farm", "link-farm", "seo-spam", "cheap-pills", "win-money", "fast-loans", "free-slots")
-_ALLOWED = ("thering", "tionble", "therst", "museum", "library", "garden", "news", "school", "weather", "recipes", "travel", "thread", "history", "science", "station", "ththing")
+#: Subjects of sites to be blocked, and of ordinary ones. A label's host joins a subject and an affix.
+_BLOCKED = ("casino", "poker", "roulette", "slots", "jackpot", "bets", "betting", "adult", "xxx", "cams", "escorts", "pills", "pharma", "viagra", "spam", "seo", "backlinks", "ads", "adserver", "track", "tracking", "clicks", "loans", "replica")
+_ALLOWED = ("museum", "library", "garden", "gathering", "weather", "history", "theatre", "bakery", "station", "nation", "mother", "school", "recipes", "travel", "thread", "earth", "north", "science", "mountain", "ration", "thistle", "cathedral", "health", "table",
+            "river", "forest", "music", "poetry", "football", "cooking", "knitting", "railway", "harbour", "village", "council", "church", "hospital", "university", "physics", "chemistry", "biology", "letters", "culture", "orchard", "sailing", "cycling", "hiking", "camera", "pottery", "theory", "authors", "brother", "father", "sister", "children", "weathering", "thermal", "lighthouse", "another", "northern", "southern", "together", "education", "relation", "tradition", "exhibition", "nutrition", "translation", "foundation", "federation")
+_AFFIXES = ("my", "top", "city", "daily", "open", "great", "hub", "zone", "world", "24")
 
 
-def labelled_urls() -> list[tuple[str, int]]:
-    """The labelled table, 1 to be blocked: subdomains, domains and paths are alike for both labels."""
+def host_names(subjects: Sequence[str], affixes: Sequence[str]) -> list[str]:
+    """Each subject before and after some of the affixes, with and without a hyphen."""
+    return [(f"{x}-{s}", f"{s}-{x}", f"{s}{x}", f"{x}{s}")[(i + j) % 4] for i, s in enumerate(subjects) for j, x in enumerate(affixes) if (i + j) % 3 != 1]
+
+
+def labelled_urls(affixes: Sequence[str] = _AFFIXES) -> list[tuple[str, int]]:
+    """The labelled table, 1 to be blocked: affixes, subdomains, domains and paths are alike for both labels."""
     rows = []
-    for label, names in ((1, _BLOCKED), (0, _ALLOWED)):
-        for i, name in enumerate(names):
-            for j, sub in enumerate(("", "www.", "m.", "blog.")):
-                tld, lang = ("com", "net", "org")[(i + j) % 3], ("en", "de", "fr", "es")[(i + 3 * j) % 4]
-                rows.append((f"https://{sub}{name}.example.{tld}/{lang}/{(i * 197 + j * 61) % 997}{('', '/', '.html')[j % 3]}", label))
+    for label, subjects in ((1, _BLOCKED), (0, _ALLOWED)):
+        for i, name in enumerate(host_names(subjects, affixes)):
+            sub, tld, lang = ("", "www.", "m.", "blog.")[i % 4], ("com", "net", "org")[i % 3], ("en", "de", "fr", "es")[i // 2 % 4]
+            rows.append((f"https://{sub}{name}.example.{tld}/{lang}/{i * 197 % 9973}{('', '/', '.html')[i // 3 % 3]}", label))
     return rows
 
 
 NGRAMS = (3, 4, 5)
-BUCKETS = 1 << 12
+BUCKETS = 1 << 15
 
 
 def host_of(url: Column) -> Column:
@@ -61,8 +70,11 @@ def _after_scheme(url: Column) -> Column:
 def grams(host: Column, path: Column) -> Column:
     """Character n-grams of ``^host|path$``; none where both are empty."""
     text = F.concat(F.lit("^"), host, F.lit("|"), path, F.lit("$"))
-    each = [F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(text) - (n - 1), F.lit(1))), lambda i, n=n: F.substring(text, i, F.lit(n))) for n in NGRAMS]
-    return F.when((host == "") & (path == ""), F.array().cast("array<string>")).otherwise(F.concat(*each))
+
+    def each(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(text) - (n - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
+
+    return F.when((host == "") & (path == ""), F.array().cast("array<string>")).otherwise(F.concat(*[each(n) for n in NGRAMS]))
 
 
 def _hashed(df: DataFrame) -> DataFrame:
@@ -73,7 +85,7 @@ def train(spark: SparkSession, labelled: Sequence[tuple[str, int]] | None = None
     """Fits the labelled table, which is small by contract and stays in one partition."""
     table = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(u).alias("url"), F.lit(float(y)).alias("label")) for u, y in labelled or labelled_urls()])))
     rows = _hashed(table.select("label", grams(host_of(F.col("url")), path_of(F.col("url"))).alias("grams")))
-    return LogisticRegression(regParam=0.01, maxIter=60, standardization=False).fit(rows)
+    return LogisticRegression(regParam=0.001, maxIter=60, standardization=False).fit(rows)
 
 
 def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> tuple[Column, Column]:

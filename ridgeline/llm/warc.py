@@ -12,7 +12,8 @@ the largest id is the response, the others are revisits that refer to it and car
 payload. Equal means: same length and same SHA-256. Null payloads count as empty;
 null ids are smaller than all others and written without an id. Rows that repeat both
 the largest id and its payload are all responses. Null urls give no target. An empty
-table gives no archive. Other columns are ignored.
+table gives no archive. Other columns are ignored. The index has a row for each record:
+records without an id, or with a repeated one, share it there and in their header.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.llm import blobs
+from ridgeline.llm.native import mark_members, member_filter
 from ridgeline.storage import materialise, scratch
 
 FRAME_BYTES = 1 << 18
@@ -34,11 +36,12 @@ _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "2024-01-01T00:00:00Z"
 _URN = "urn:x-page:"
+_NO_ID = -(1 << 63)
 
 
-def _record(kind: str, key: int | None, url: str | None, digest: str, length: int, payload: bytes, refers: int | None) -> bytes:
+def _record(kind: str, key: int | None, url: str | None, digest: str, length: int, payload: bytes | None, refers: int | None) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
-    block = http + (payload if kind == "response" else b"")
+    block = http + (payload or b"")
     head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{_URN}{'' if key is None else key}>", f"WARC-Date: {_DATE}"]
     if url is not None:
         head.append("WARC-Target-URI: " + re.sub(r"[\r\n]", lambda m: f"%{ord(m[0]):02X}", url))
@@ -123,17 +126,29 @@ def _key(urn: str | None) -> int | None:
 
 
 def choose_responses(pages: DataFrame, id_col: str, url_col: str, payload_col: str, min_revisit_bytes: int) -> DataFrame:
-    """Rows (id, url, payload, refers_to): refers_to is null for responses."""
+    """Rows (id, url, payload, digest, length, refers_to): refers_to is null for responses, payload for revisits.
+
+    Who refers to whom is found on ids and digests. Payloads stay where they are read,
+    but for the few that a full bitmap can't tell from revisits.
+    """
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), payload.alias("payload"))
-    large = F.octet_length("payload") >= min_revisit_bytes
-    # Small payloads get a key of their own each, so they neither meet nor pile up.
-    digest = F.concat_ws(":", F.octet_length("payload"), F.sha2("payload", 256))
-    keyed = rows.withColumn("key", F.when(large, digest).otherwise(F.concat(F.lit("#"), F.coalesce(F.col("id").cast("string"), F.xxhash64("url").cast("string")))))
-    groups = keyed.filter(large).select("key", "id").groupBy("key").agg(F.max("id").alias("best"), F.count("*").alias("n")).filter("n > 1").select("key", "best")
-    joined = keyed.join(groups, "key", "left")
-    refers = F.when(~F.col("id").eqNullSafe(F.col("best")), F.col("best"))
-    return joined.select("id", "url", "payload", refers.alias("refers_to"))
+    # An id that is null is no larger than any other.
+    key, place = F.concat_ws(":", F.octet_length("payload"), F.sha2("payload", 256)), F.coalesce("id", F.lit(_NO_ID))
+    rows = rows.withColumns({"digest": F.sha1("payload"), "length": F.octet_length("payload").cast("long"), "large": F.octet_length("payload") >= min_revisit_bytes})
+    large = materialise(rows.filter("large").select("id", place.alias("place"), "url", "digest", "length", key.alias("key")), "warc-digests")
+    groups = large.groupBy("key").agg(F.max("place").alias("best"), F.count("*").alias("n")).filter("n > 1").select("key", "best")
+    revisits = materialise(large.join(groups, "key").filter("place < best"), "warc-revisits")
+    row = F.xxhash64("key", "place")
+    unsure = mark_members(large.withColumn("row", row), F.col("row"), member_filter(revisits.select(row.alias("row")), "row"), "hit").filter("hit")
+    unsure = materialise(unsure.join(revisits.select("key", "place").distinct(), ["key", "place"], "left_anti").select("row"), "warc-unsure")
+    keyed = rows.withColumn("row", F.when(F.col("large"), F.xxhash64(key, place)))
+    marked = mark_members(keyed, F.col("row"), member_filter(revisits.select(row.alias("row")), "row"), "hit")
+    marked = mark_members(marked, F.col("row"), member_filter(unsure, "row"), "doubt")
+    plain = marked.filter("NOT hit").select("id", "url", "payload", "digest", "length")
+    rescued = marked.filter("hit AND doubt").withColumn("key", key).withColumn("place", place).join(revisits.select("key", "place").distinct(), ["key", "place"], "left_anti").select("id", "url", "payload", "digest", "length")
+    responses = plain.unionByName(rescued).withColumn("refers_to", F.lit(None).cast("long"))
+    return responses.unionByName(revisits.select("id", "url", F.lit(None).cast("binary").alias("payload"), "digest", "length", F.col("best").alias("refers_to")))
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit_bytes: int = 1000) -> DataFrame:
@@ -146,10 +161,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
                 name = blobs.fresh_name("pages", ".warc.zst")
                 writer = BundleWriter(folder, name)
             ids, places = batch.column(0).to_pylist(), []
-            for key, url, payload, refers in zip(ids, batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
-                data = payload.as_buffer().to_pybytes()
-                kind = "response" if refers is None else "revisit"
-                places.append(writer.add(_record(kind, key, url, hashlib.sha1(data).hexdigest(), len(data), data, refers)))
+            for key, url, payload, digest, length, refers in zip(ids, *(batch.column(k).to_pylist() for k in range(1, 6)), strict=True):
+                places.append(writer.add(_record("response" if refers is None else "revisit", key, url, digest, length, payload, refers)))
             frame, offset, length = zip(*places, strict=True) if places else ((), (), ())
             yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "file": pa.array([name] * len(ids), pa.string()), "frame": pa.array(frame, pa.int32()), "offset": pa.array(offset, pa.int64()), "length": pa.array(length, pa.int64())})
         if writer is not None:
@@ -188,10 +201,11 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
                     c = list(zip(*rows, strict=True))
                     yield pa.RecordBatch.from_pydict({"id": pa.array(c[0], pa.int64()), "payload_bytes": pa.array(c[1], pa.int64()), "payload_digest": pa.array(c[2], pa.string()), "record_type": pa.array(c[3], pa.string()), "refers_to": pa.array(c[4], pa.int64()), "url": pa.array(c[5], pa.string()), "file": pa.array(c[6], pa.string()), "frame": pa.array(c[7], pa.int32())})
 
-    files = index.select("file").distinct()
+    # Ranges of names that differ: a task for each file. Hashing names, or a plain count, would leave tasks empty or merge them.
+    files = materialise(index.select("file").distinct(), "warc-files")
     n = max(1, files.count())
     schema = "id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, file string, frame int"
-    return files.repartition(n, "file").mapInArrow(read, schema)
+    return files.repartitionByRange(n, "file").mapInArrow(read, schema)
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
