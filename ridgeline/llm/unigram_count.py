@@ -14,8 +14,16 @@ U+2581 into units whose counts add up (scores begin at 0 for each unit); a line
 where no piece has one, also splits. Units are remembered for each worker up to
 ``CACHE_UNITS``; later ones are computed each time.
 
-Null texts count as empty, and an empty text has no piece.
-Repeated rows and ids have their own counts. Other columns are ignored.
+The counts are those of the tokenizers library's unigram model over the pieces and scores
+of the file. The public file at hand, ``piece_bpe_32k.model``, holds a BPE model, whose
+scores are merge ranks (0, -1, -2, ...): over it the counts are exact for that unigram
+model, but they aren't those of the BPE tokenizer that the file was made for. No unigram
+vocabulary is at hand, and tokenizers are not trained here.
+
+Null texts count as empty, and an empty text has no piece. Very long texts are counted
+whole, unit by unit; one unit of n characters takes memory of some 100 n bytes. Repeated
+rows and ids have their own counts. An empty table gives an empty result. Other columns
+are ignored.
 """
 
 from __future__ import annotations

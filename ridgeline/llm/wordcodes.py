@@ -3,11 +3,13 @@
 The tokenizer drops white space and no piece of it crosses white space, so a text's
 ids are those of its white-space separated words, one after another. A cache of
 word to ids therefore gives exactly the ids of the whole text. Texts that hold the
-start of a special token's string go through the tokenizer whole.
+start of a special token's string go through the tokenizer whole, and so does every text
+where the tokenizer's file has other rules than the ones this rests on.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -18,9 +20,29 @@ CACHE_WORDS = 600_000
 #: Words that need no normalising but lower case: Latin letters and one mark at the end.
 _PLAIN = re.compile(r"([a-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
 
+#: The rules that make words independent of each other, as the tokenizer's file spells them (fixed values).
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
+def by_words(path: str) -> bool:
+    """Whether a tokenizer's file has the rules under which a text's ids are those of its words."""
+    with open(path, encoding="utf-8") as f:
+        rules = json.load(f)
+    model, added = rules["model"], rules["added_tokens"]
+    return (
+        rules["normalizer"] == _NORMALIZER
+        and rules["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [_SPLIT, _BYTES]}
+        and model["type"] == "BPE"
+        and not (model.get("dropout") or model.get("continuing_subword_prefix") or model.get("ignore_merges"))
+        and all(t["special"] and not t["normalized"] and not t["lstrip"] and not t["rstrip"] for t in added)
+        and not rules.get("truncation")
+    )
+
+
 def _byte_letters() -> list[str]:
     """The letter that stands for each byte in a byte-level vocabulary."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -36,6 +58,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        self.words = by_words(path)
         self.model = self.whole.model
         self.letters = _byte_letters()
         self.specials = tuple({t.content[:2].lower().encode() for t in self.whole.get_added_tokens_decoder().values()})
@@ -68,6 +91,8 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, in UTF-8, as bytes."""
+        if not self.words:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
         cache = self.cache
         split = [None if any(s in t for s in self.specials) else t.split() for t in (x.lower() for x in texts)]
         new = set().union(*[x for x in split if x]).difference(cache)
