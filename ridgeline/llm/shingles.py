@@ -23,12 +23,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * _P)
+BYTE_HASH = mix64(np.arange(1, 257, dtype=np.uint64) * _P)
 _INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
+def power_tables(n: int) -> list[np.ndarray]:
     if len(_powers[0]) < n:
         size = max(n, SLICE_BYTES + (1 << 18))
         for i, base in enumerate((_P, _INVERSE)):
@@ -57,8 +57,8 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     word = ~_SPACE[buffer]
     edge = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]]).view(np.int8)))
     first, last = edge[::2], edge[1::2]
-    up, down = _power_tables(len(buffer) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[buffer] * up[: len(buffer)], dtype=np.uint64)])
+    up, down = power_tables(len(buffer) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_HASH[buffer] * up[: len(buffer)], dtype=np.uint64)])
     hashes = mix64((sums[last] - sums[first]) * down[first])
     return hashes, np.searchsorted(first, begins)
 
