@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from ridgeline.grid import GridMeta
 from ridgeline.operators.stencil import D8
-from ridgeline.storage import materialise
+from ridgeline.storage import materialise, materialise_with
 
 TILE = 256
 
@@ -117,10 +117,15 @@ def _borders(cells: DataFrame, sums: list[str], time: str | None) -> DataFrame:
     return materialise(cells.select("tile", "_id", "_p", "r", "c", *sums, *([time] if time else [])).groupBy("tile").applyInArrow(scan, schema), "borders")
 
 
-def doubled(state: DataFrame, up: dict[str, Callable], down: list[str]) -> DataFrame:
-    """Rows (id, p, values): ``up`` columns gathered over the row and all that lead to it (F.sum or F.max), ``down`` columns summed along its path."""
-    state = materialise(state, "rounds")
-    while not state.filter("p IS NOT NULL").isEmpty():
+def doubled(state: DataFrame, up: dict[str, Callable], down: list[str], pointers: int | None = None) -> DataFrame:
+    """Rows (id, p, values): ``up`` columns gathered over the row and all that lead to it (F.sum or F.max), ``down`` columns summed along its path.
+
+    ``pointers`` tells how many rows of a written table have a p; without it the table is written first.
+    """
+    if pointers is None:
+        state, seen = materialise_with(state, "rounds", live=F.count("p"))
+        pointers = seen["live"]
+    while pointers:
         live, done = state.filter("p IS NOT NULL"), state.filter("p IS NULL")
         ahead = state.select(F.col("id").alias("p"), F.col("p").alias("_p"), *[F.col(d).alias("_" + d) for d in down])
         moved = live.join(ahead, "p").select("id", F.col("_p").alias("p"), *up, *[(F.col(d) + F.col("_" + d)).alias(d) for d in down])
@@ -129,7 +134,8 @@ def doubled(state: DataFrame, up: dict[str, Callable], down: list[str]) -> DataF
             gained = live.groupBy(F.col("p").alias("id")).agg(*[f(v).alias("_" + v) for v, f in up.items()])
             both = {v: F.greatest(v, "_" + v) if f is F.max else F.col(v) + F.coalesce("_" + v, F.lit(0.0)) for v, f in up.items()}
             moved = moved.join(gained, "id", "left").select("id", "p", *[x.alias(v) for v, x in both.items()], *down)
-        state = materialise(moved, "rounds")
+        state, seen = materialise_with(moved, "rounds", live=F.count("p"))
+        pointers = seen["live"]
     return state
 
 
@@ -159,8 +165,8 @@ def drain(grid: DataFrame, meta: GridMeta, weights: list[str] | None = None, hou
     exits = border.filter("exit IS NOT NULL").drop("root", "_below")
     entries = border.select(F.col("_id").alias("exit"), "root", *(["_below"] if time else []))
     # An exit leads to the exit that its receiver's path ends in.
-    tree = materialise(exits.join(entries, "exit").select(F.col("_id").alias("id"), F.col("root").alias("p"), "exit", *inner, *(["_below"] if time else [])), "exits")
-    totals = doubled(tree.drop("exit"), {s: F.sum for s in inner}, ["_below"] if time else [])
+    tree, seen = materialise_with(exits.join(entries, "exit").select(F.col("_id").alias("id"), F.col("root").alias("p"), "exit", *inner, *(["_below"] if time else [])), "exits", live=F.count("p"))
+    totals = doubled(tree.drop("exit"), {s: F.sum for s in inner}, ["_below"] if time else [], seen["live"])
     arrived = totals.join(tree.select("id", "exit"), "id").groupBy(F.col("exit").alias("_id")).agg(*[F.sum(s).alias(s) for s in inner], F.lit(None).cast("double").alias("_below"), F.lit(None).cast("boolean").alias("_cut")) if sums else None
     known = [F.lit(None).cast("double").alias(s) for s in inner]
     extra = totals.select(F.col("id").alias("_id"), *known, "_below", F.col("_below").isNull().alias("_cut")) if time else None

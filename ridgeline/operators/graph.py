@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.storage import materialise
+from ridgeline.storage import materialise_with
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _written(edges: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+    """The edges as a table, and their number and a sum of hashes, which tell whether a round changed any."""
+    table, seen = materialise_with(edges, name, n=F.count(F.lit(1)), hashes=F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
+    return table, (seen["n"], seen["hashes"])
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -35,11 +37,9 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     growing plan. Loops and repeated edges are allowed; edges with a null are ignored.
     """
     loops = edges.filter("a = b").select("a").distinct()
-    edges = materialise(edges.filter("a <> b").select("a", "b").distinct(), name)
-    before = _state(edges)
+    edges, before = _written(edges.filter("a <> b").select("a", "b").distinct(), name)
     while before[0]:
-        edges = materialise(_small_star(_large_star(edges)), name)
-        now = _state(edges)
+        edges, now = _written(_small_star(_large_star(edges)), name)
         if now == before:
             break
         before = now

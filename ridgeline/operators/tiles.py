@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.functions.tiles import MAX_PIXELS, TILE_HEIGHT, TILE_WIDTH, code_extent, folder_origin, tile_of
-
-FOLDERS = tuple(a + b for a in "LMNOP" for b in "BCDEF")
+from ridgeline.functions.tiles import MAX_PIXELS, TILE_HEIGHT, TILE_WIDTH, code_extent, tile_of
 
 
 def tiles_for_extents(extents: DataFrame) -> DataFrame:
@@ -16,11 +14,16 @@ def tiles_for_extents(extents: DataFrame) -> DataFrame:
     Codes of both numbering schemes are made by exploding ranges; all are then held to
     the extent of the row-and-column scheme, touching alone not counting.
     """
-    folders = F.explode(F.array(*[F.lit(f) for f in FOLDERS]))
-    at = extents.withColumn("folder", folders)
-    x0, y0 = folder_origin(F.col("folder"))
-    at = at.withColumns({"x0": x0, "y0": y0})
-    at = at.filter((F.col("xmax") >= F.col("x0")) & (F.col("xmin") <= F.col("x0") + 40000) & (F.col("ymax") >= F.col("y0") - 30000) & (F.col("ymin") <= F.col("y0")))
+
+    def folders(first: Column, last: Column, low: int, high: int) -> Column:
+        a, b = F.greatest(F.lit(low), F.ceil(first).cast("int")), F.least(F.lit(high), F.floor(last).cast("int"))
+        return F.explode(F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>")))
+
+    # The folders whose area the extent meets, by number: columns B to F are -3 to 1, rows L to P are 1 to 5.
+    at = extents.withColumn("fc", folders(F.col("xmin") / 40000 - 1, F.col("xmax") / 40000, -3, 1))
+    at = at.withColumn("fr", folders(-F.col("ymax") / 30000 - 1, -F.col("ymin") / 30000, 1, 5))
+    at = at.withColumn("folder", F.concat(F.substring(F.lit("LMNOP"), F.col("fr"), F.lit(1)), F.substring(F.lit("BCDEF"), F.col("fc") + 4, F.lit(1))))
+    at = at.withColumns({"x0": F.col("fc") * 40000, "y0": F.col("fr") * -30000})
 
     def index(distance: Column, size: int, most: int) -> tuple[Column, Column]:
         i = (distance / size).cast("int")
@@ -37,7 +40,8 @@ def tiles_for_extents(extents: DataFrame) -> DataFrame:
     def scheme(width: int, height: int, most: int, number: Column) -> DataFrame:
         cells = at.withColumn("gc", span(F.col("xmin") - F.col("bx"), F.col("xmax") - F.col("bx"), width, most))
         cells = cells.withColumn("gr", span(F.col("by") - F.col("ymax"), F.col("by") - F.col("ymin"), height, most))
-        code = F.format_string("08%s%02d%02d", "folder", F.col("yr") * 10 + F.col("xc"), number)
+        two = lambda n: F.lpad(n.cast("string"), 2, "0")
+        code = F.concat(F.lit("08"), F.col("folder"), two(F.col("yr") * 10 + F.col("xc")), two(number))
         return cells.select("ext_id", "xmin", "ymin", "xmax", "ymax", code.alias("code"))
 
     gr, gc = F.col("gr"), F.col("gc")

@@ -360,9 +360,9 @@ def layer_catalogue(spark, sf_dir: str) -> DataFrame:
     return style.describe_layers(_stored(spark, sf_dir))
 
 
-@query(f"WITH {_STORED} SELECT k, s.layer, r::INTEGER AS r, g::INTEGER AS g, b::INTEGER AS b, a::INTEGER AS a FROM s LEFT JOIN (VALUES {_FILLS}) t(layer, r, g, b, a) ON t.layer = s.layer")
+@query(f"WITH {_STORED} SELECT k, s.layer, r::INTEGER AS r, g::INTEGER AS g, b::INTEGER AS b, a::INTEGER AS a FROM s JOIN (VALUES {_FILLS}) t(layer, r, g, b, a) ON t.layer = s.layer")
 def zone_styles(spark, sf_dir: str) -> DataFrame:
-    return _stored(spark, sf_dir).withColumn("f", style.zone_fill(F.col("layer"))).select("k", "layer", *[F.col("f")[x].alias(x) for x in "rgba"])
+    return _stored(spark, sf_dir).withColumn("f", style.zone_fill(F.col("layer"))).filter("f IS NOT NULL").select("k", "layer", *[F.col("f")[x].alias(x) for x in "rgba"])
 
 
 # The inverse series' coefficients for the ellipsoid (see rasters.utm_lonlat), spelled out for SQL.

@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _LOCAL: dict[str, str] = {}
 
@@ -42,6 +42,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialise_with(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """``materialise``, and aggregates of what is written, taken on the way without a job of their own."""
+    seen = Observation()
+    first, *rest = [c.alias(k) for k, c in measures.items()]
+    # The observed rows are those written; an empty table has no row to observe.
+    table = materialise(df.observe(seen, first, *rest), name)
+    return table, seen.get
+
+
 def rows_in(table: DataFrame) -> int:
     """Rows of a written table; Parquet's footers know them."""
     return table.count()
