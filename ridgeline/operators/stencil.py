@@ -129,18 +129,24 @@ def gaussian_blur(grid: DataFrame, meta: GridMeta, value: str, sigma: float = 2.
     """Adds blurred: nodata counts as 0 and stays nodata; the edge mirrors; the kernel ends at 4 sigma."""
     radius = int(4 * sigma + 0.5)
     raw = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]
-    kernel = F.array(*[F.lit(x / sum(raw)) for x in raw])
+    kernel = [x / sum(raw) for x in raw]
 
-    def line(column: str, window, index: str, n: int) -> Column:
-        near = F.collect_list(column).over(window.rowsBetween(-radius, radius))
-        i, first = F.col(index), F.greatest(F.lit(0), F.col(index) - radius)
-
-        def mirrored(k: Column) -> Column:
-            at = F.pmod(i + k, F.lit(2 * n))
-            return F.when(at < n, at).otherwise(2 * n - 1 - at) - first
+    def weight(k: int) -> float:
+        return kernel[k + radius] if abs(k) <= radius else 0.0
 
-        steps = F.sequence(F.lit(-radius), F.lit(radius))
-        return F.aggregate(steps, F.lit(0.0), lambda s, k: s + F.get(kernel, k + radius) * F.get(near, mirrored(k)))
+    def line(column: str, window, index: str, n: int) -> Column:
+        i, turns = F.col(index), range(-(radius // n) - 2, radius // n + 3)
+        back = [t for t in turns if 2 * n * t - 1 >= -radius and 2 * n * (t - 1) + 1 <= radius]
+        table = F.array(*[F.lit(x) for x in kernel])
+        edge = (i < radius) | (i >= n - radius)
+        total = F.lit(0.0)
+        for d in range(-min(radius, n - 1), min(radius, n - 1) + 1):
+            near = F.col(column) if d == 0 else (F.lead if d > 0 else F.lag)(column, abs(d)).over(window)
+            # What stands d cells on is met there, and where the line is mirrored at its ends.
+            own = sum(weight(d + 2 * n * t) for t in turns)
+            mirrored = sum((F.coalesce(F.get(table, 2 * n * t - 1 - d - 2 * i + radius), F.lit(0.0)) for t in back), F.lit(0.0))
+            total = total + F.coalesce(near * (own + F.when(edge, mirrored).otherwise(0.0)), F.lit(0.0))
+        return total
 
     filled = grid.withColumn("_v", F.coalesce(F.col(value).cast("double"), F.lit(0.0)))
     across = filled.withColumn("_h", line("_v", _row(), "c", meta.cols))
