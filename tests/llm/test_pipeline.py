@@ -78,3 +78,27 @@ def test_stages_keep_columns(spark):
     for name, stage in cp.STAGES[:-1]:
         out = stage(spark, docs, "/root/testdata/sf0.001")
         assert out.columns == docs.columns, name
+
+
+def test_repeated_ids_clashing_columns_and_long_texts(spark, tmp_path):
+    rng = random.Random(9)
+    words = [f"word{i}" for i in range(900)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    long = prose(60_000)
+    texts = [(1, prose(40)), (1, prose(50)), (1, None), (2, long), (None, prose(30)), (None, prose(35)), (3, "12 !")]
+    texts += [texts[0], texts[4]]  # alike in id and text
+    texts += [(4, prose(20) + " the item stands here as it is " + prose(5))]
+    rows = [(d, t, "en", "s", 0, f"p{i}", 0.5, "u", i) for i, (d, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, COLUMNS + ", lang_pred string, score double, _key string, unit long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "the item stands here as it is")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in cp.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == [*(c.split()[0] for c in COLUMNS.split(", ")), "lang_pred", "score", "_key", "unit"]
+    left = [(r.doc_id, r.text, r.lang_pred) for r in docs.collect()]
+    assert sorted((d, t) for d, t, _ in left if d is not None) == sorted([texts[0], texts[1], texts[3]])
+    assert sorted(t for d, t, _ in left if d is None) == sorted([texts[4][1], texts[5][1]])
+    assert all(p in {f"p{i}" for i, x in enumerate(texts) if x == (d, t)} for d, t, p in left)
+    assert len(cp.run(spark, str(tmp_path)).collect()) == 5
+    unlabelled = spark.createDataFrame([(d, t, None, "s", 0) for d, t in texts], COLUMNS)
+    assert cp.language(spark, unlabelled, "").count() == 8
