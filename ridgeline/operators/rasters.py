@@ -128,14 +128,36 @@ def first_usable(sources: DataFrame, value: str = "z", priority: str = "priority
     return sources.join(F.broadcast(best), priority)  # one row
 
 
-def sample_points(points: DataFrame, grid: DataFrame, meta: GridMeta, value: str = "z") -> DataFrame:
-    """Adds the value of the cell each point is in; null outside and on nodata.
+def reprojected(x: Column, y: Column, source: int, target: int) -> tuple[Column, Column]:
+    """Coordinates in another CRS, through longitude and latitude. Known are degrees (4326), Web Mercator (3857), UTM, and as a target the survey's plane (6676)."""
+    if source == target:
+        return x, y
+    if 32600 < source <= 32660 or 32700 < source <= 32760:
+        lon, lat = utm_lonlat(x, y, source % 100, south=source > 32700)
+    elif source in (4326, 3857):
+        lon, lat = (x, y) if source == 4326 else mercator_lonlat(x, y)
+    else:
+        raise ValueError(f"no way from EPSG:{source}")
+    if target == 4326:
+        return lon, lat
+    if target == 3857:
+        return lonlat_mercator(lon, lat)
+    if 32600 < target <= 32660 or 32700 < target <= 32760:
+        return transverse_mercator(lon, lat, target % 100 * 6 - 183, north=10000000.0 if target > 32700 else 0.0)
+    if target == 6676:
+        return transverse_mercator(lon, lat, 138.5, 36.0, 0.9999, 0.0)
+    raise ValueError(f"no way to EPSG:{target}")
+
+
+def sample_points(points: DataFrame, grid: DataFrame, meta: GridMeta, value: str = "z", epsg: int | None = None) -> DataFrame:
+    """Adds the value of the cell each point is in; null outside and on nodata. ``epsg`` is the points' CRS, if it isn't the grid's.
 
     Indices are cut toward zero, so points up to one cell left of or above the grid
     count as its first column or row.
     """
-    c = ((F.col("x") - meta.x0) / meta.px).cast("int")
-    r = ((F.col("y") - meta.y0) / meta.py).cast("int")
+    x, y = reprojected(F.col("x"), F.col("y"), epsg or meta.epsg, meta.epsg)
+    c = ((x - meta.x0) / meta.px).cast("int")
+    r = ((y - meta.y0) / meta.py).cast("int")
     return points.withColumns({"r": r, "c": c}).join(grid.select("r", "c", value), ["r", "c"], "left").drop("r", "c")
 
 

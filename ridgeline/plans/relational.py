@@ -80,6 +80,24 @@ def sample_points(spark, sf_dir: str) -> DataFrame:
     return rasters.sample_points(points, fx.dem(spark, sf_dir), fx.dem_meta(spark, sf_dir)).select("k", "l", "e", "z")
 
 
+_HALF = 20037508.342789244
+
+
+@query(
+    f"""{_DEM}, p AS (SELECT l_orderkey AS k, l_linenumber AS l, l_extendedprice AS e, (15551000 + l_partkey % 800 - 4.0::DOUBLE + l_discount + 0.013) / {_HALF}::DOUBLE * 180 AS lon, degrees(atan(sinh((4244000 - (l_suppkey * 3 % 600 + l_tax + 0.013)) / {_HALF}::DOUBLE * pi()))) AS lat FROM lineitem),
+q AS (SELECT k, l, e, (lon / 180 * {_HALF}::DOUBLE - 15551000) / 5 AS fc, (ln(tan(radians(45 + lat / 2))) / pi() * {_HALF}::DOUBLE - 4244000) / -5 AS fr FROM p)
+SELECT k, l, e, z FROM q LEFT JOIN dem ON dem.c = trunc(fc)::INTEGER AND dem.r = trunc(fr)::INTEGER"""
+)
+def sample_points_lonlat(spark, sf_dir: str) -> DataFrame:
+    """Points in degrees on a grid in Web Mercator."""
+    meta = GridMeta(fx.dem_meta(spark, sf_dir).rows, fx.COLS, 5.0, 15551000.0, 4244000.0, 5.0, -5.0, 3857)
+    x = F.lit(15551000) + F.col("l_partkey") % 800 - F.lit(4.0) + F.col("l_discount") + 0.013
+    y = F.lit(4244000) - (F.col("l_suppkey") * 3 % 600 + F.col("l_tax") + 0.013)
+    lon, lat = rasters.mercator_lonlat(x, y)
+    points = fx.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("l"), F.col("l_extendedprice").alias("e"), lon.alias("x"), lat.alias("y"))
+    return rasters.sample_points(points, fx.dem(spark, sf_dir), meta, epsg=4326).select("k", "l", "e", "z")
+
+
 @query(f"{_DEM} SELECT round(min(z), 6) AS min, round(max(z), 6) AS max, round(avg(z), 6) AS mean, round(stddev_pop(z), 6) AS std, count(z) AS n FROM dem")
 def band_stats(spark, sf_dir: str) -> DataFrame:
     out = rasters.band_statistics(fx.dem(spark, sf_dir))
