@@ -49,7 +49,7 @@ from ridgeline.llm.bitmaps import bitmap, has
 from ridgeline.llm.native import mark_members, member_filter
 from ridgeline.llm.shingles import shingle_sets, slices
 from ridgeline.operators.graph import connected_components
-from ridgeline.storage import bucketed, in_groups, materialise, rows_in
+from ridgeline.storage import bucketed, in_groups, materialise, materialise_with
 
 SKETCH, SLACK, BLOCK, HUBS = 64, 6, 1024, 64
 _PAD = np.uint64(2**64 - 1)
@@ -344,7 +344,7 @@ def _links(group: Group, threshold: float) -> list[tuple[int, int]]:
     return found
 
 
-_TASK = "task long, side int, rep long, part long, label long, above array<long>"
+_TASK = "task long, side int, rep long, part long, label long, above array<long>, n long"
 _KINDS = {"side": pa.int32(), "above": pa.list_(pa.int64())}
 
 
@@ -352,7 +352,7 @@ def _scan_partners(threshold: float):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(groups: list[Group]) -> pa.RecordBatch:
             rows = flagged(groups, threshold)
-            named = {"task": [g.task for g, _ in rows]} | {k: [getattr(g, k)[r] for g, r in rows] for k in ("side", "rep", "part", "label", "above")}
+            named = {"task": [g.task for g, _ in rows]} | {k: [getattr(g, k)[r] for g, r in rows] for k in ("side", "rep", "part", "label", "above", "n")}
             return pa.RecordBatch.from_pydict({k: pa.array(v, _KINDS.get(k, pa.int64())) for k, v in named.items()})
 
         held, pairs = [], 0
@@ -380,13 +380,12 @@ def _scan_links(threshold: float):
 
 def _link(tasks: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Confirmed links (a, b) between the classes of each task; ``sets`` lies in buckets, so only tasks move to them."""
-    wide = materialise(tasks, "near-tasks")
+    wide, seen = materialise_with(tasks, "near-tasks", rows=F.count(F.lit(1)))
     sides = [F.col(c) for c in ("task", "side", "rep", "part", "label", "above")]
-    sketched = in_groups(wide.join(sets.select("rep", "n", "sketch"), "rep").select(*sides, "n", "sketch"), "task", rows_in(wide) * 8 * SKETCH)
-    partners = materialise(sketched.mapInArrow(_scan_partners(threshold), _TASK), "near-partners")
-    full = partners.join(sets.select("rep", "n", "set"), "rep").select(*sides, "n", "set")
-    shingles = partners.join(sets.select("rep", "n"), "rep").agg(F.sum("n")).first()[0] or 0
-    return materialise(in_groups(full, "task", shingles * 8).mapInArrow(_scan_links(threshold), "a long, b long"), "near-links")
+    sketched = in_groups(wide.join(sets.select("rep", "n", "sketch"), "rep").select(*sides, "n", "sketch"), "task", seen["rows"] * 8 * SKETCH)
+    partners, seen = materialise_with(sketched.mapInArrow(_scan_partners(threshold), _TASK), "near-partners", shingles=F.sum("n"))
+    full = partners.join(sets.select("rep", "set"), "rep").select(*sides, "n", "set")
+    return materialise(in_groups(full, "task", (seen["shingles"] or 0) * 8).mapInArrow(_scan_links(threshold), "a long, b long"), "near-links")
 
 
 def _all_links(ranked: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -410,7 +409,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, i
     classes = materialise(signed.filter("n > 0").groupBy("set_hash").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "near-classes")
     named = classes.filter("rep IS NOT NULL")
     values = materialise(shared_values(named), "near-values")
-    ranked = materialise(ranked_lists(rare_values(values, threshold)), "near-lists")
+    ranked, seen = materialise_with(ranked_lists(rare_values(values, threshold)), "near-lists", shingles=F.sum("n"))
     wanted = ranked.select("rep")
     marked = mark_members(rows, F.xxhash64("id"), member_filter(wanted.select(F.xxhash64("rep").alias("key")), "key"), "wanted").filter("wanted").select("id", "text")
 
@@ -422,8 +421,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, i
     full = marked.mapInArrow(sets, "rep long, set_hash binary, set binary")
     # Rows that share an id may have other sets than the class it names; alike rows are taken once.
     full = full.join(named.select("rep", "set_hash", "n").join(wanted, "rep", "left_semi"), ["rep", "set_hash"]).dropDuplicates(["rep", "set_hash"])
-    shingles = ranked.agg(F.sum("n")).first()[0] or 0
-    full = bucketed(full.select("rep", "n", F.substring("set", 1, 8 * SKETCH).alias("sketch"), "set"), "near_sets", "rep", shingles * 8)
+    full = bucketed(full.select("rep", "n", F.substring("set", 1, 8 * SKETCH).alias("sketch"), "set"), "near_sets", "rep", (seen["shingles"] or 0) * 8)
     labels = connected_components(_all_links(ranked, full, threshold), "near-components")
     found = classes.select("set_hash", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
     # Empty sets get a key each, so that they spread.
