@@ -51,11 +51,6 @@ def materialise_with(df: DataFrame, name: str, **measures: Column) -> tuple[Data
     return table, seen.get
 
 
-def rows_in(table: DataFrame) -> int:
-    """Rows of a written table; Parquet's footers know them."""
-    return table.count()
-
-
 #: Bytes that a task should get of what is dealt out by key.
 TASK_BYTES = 64 << 20
 
