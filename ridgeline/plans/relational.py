@@ -309,7 +309,7 @@ def grid_info(spark, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH s AS (SELECT o_orderkey % 3 AS f, (o_orderkey // 3 // 100)::INTEGER AS r, (o_orderkey // 3 % 100)::INTEGER AS c, CASE WHEN o_custkey % 4 <> 1 THEN o_totalprice END AS z FROM orders),
-t AS (SELECT f, r + f * 7 AS r, c + f * 40 AS c, z FROM s) SELECT r, c, arg_max(z, CASE WHEN z IS NOT NULL THEN f END) AS z FROM t GROUP BY r, c""")
+t AS (SELECT f, (r + f * 7)::INTEGER AS r, (c + f * 40)::INTEGER AS c, z FROM s) SELECT r, c, arg_max(z, CASE WHEN z IS NOT NULL THEN f END) AS z FROM t GROUP BY r, c""")
 def mosaic_rebased(spark, sf_dir: str) -> DataFrame:
     """Three files that lie 40 columns and 7 rows apart, on the grid over all of them."""
     k = F.col("o_orderkey")
