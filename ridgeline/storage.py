@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
@@ -67,9 +69,16 @@ def in_groups(df: DataFrame, column: str, size: float) -> DataFrame:
     return (df.repartition(parts, column) if parts > default else df.repartition(column)).sortWithinPartitions(column)
 
 
-def bucketed(df: DataFrame, name: str, column: str, size: float) -> DataFrame:
-    """Writes about ``size`` bytes as a table in buckets of a column, in the shared folder: joins on it move only the other side."""
+@contextmanager
+def bucketed(df: DataFrame, name: str, column: str, size: float) -> Iterator[DataFrame]:
+    """Writes about ``size`` bytes as a table in buckets of a column, in the shared folder: joins on it move only the other side.
+
+    The catalogue knows the table while the context lasts.
+    """
     spark = df.sparkSession
     parts, table = enough(spark, size), f"{name}_{uuid.uuid4().hex}"
     df.repartition(parts, column).write.bucketBy(parts, column).option("path", scratch(spark, name)).format("parquet").saveAsTable(table)
-    return spark.table(table)
+    try:
+        yield spark.table(table)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
