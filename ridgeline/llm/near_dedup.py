@@ -421,8 +421,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, i
     full = marked.mapInArrow(sets, "rep long, set_hash binary, set binary")
     # Rows that share an id may have other sets than the class it names; alike rows are taken once.
     full = full.join(named.select("rep", "set_hash", "n").join(wanted, "rep", "left_semi"), ["rep", "set_hash"]).dropDuplicates(["rep", "set_hash"])
-    full = bucketed(full.select("rep", "n", F.substring("set", 1, 8 * SKETCH).alias("sketch"), "set"), "near_sets", "rep", (seen["shingles"] or 0) * 8)
-    labels = connected_components(_all_links(ranked, full, threshold), "near-components")
+    full = full.select("rep", "n", F.substring("set", 1, 8 * SKETCH).alias("sketch"), "set")
+    with bucketed(full, "near_sets", "rep", (seen["shingles"] or 0) * 8) as placed:
+        links = _all_links(ranked, placed, threshold)
+    labels = connected_components(links, "near-components")
     found = classes.select("set_hash", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
     # Empty sets get a key each, so that they spread.
     key = F.coalesce("set_hash", F.concat(F.lit("#"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"))
