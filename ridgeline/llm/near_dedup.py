@@ -53,10 +53,10 @@ from ridgeline.storage import bucketed, in_groups, materialise, materialise_with
 
 SKETCH, SLACK, BLOCK, HUBS = 64, 6, 1024, 64
 _PAD = np.uint64(2**64 - 1)
-_BULK = 1 << 14
+_BULK = 1 << 12
 #: Groups of up to this many classes are compared together with others.
 _SMALL = 24
-_COLUMNS = 4096
+_COLUMNS = 1024
 #: Shingles for which a set counts as one more in a block.
 _LARGE = 4096
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _M = np.uint64(0xD1342543DE82EF95)
@@ -39,7 +39,7 @@ def power_tables(n: int) -> list[np.ndarray]:
 
 
 def slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about a megabyte; a longer text has a range of its own."""
+    """Ranges of texts of about a quarter of a megabyte, for which a worker needs some 20 MB; a longer text has a range of its own."""
     start = size = 0
     for i, t in enumerate(texts):
         if size and size + len(t) > SLICE_BYTES:
