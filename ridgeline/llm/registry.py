@@ -5,6 +5,7 @@ from __future__ import annotations
 from ridgeline.llm.decontaminate import op5_decontaminate
 from ridgeline.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from ridgeline.llm.language_id import op7_language_id
+from ridgeline.llm.line_dedup import OP11_SQL, op11_line_dedup
 from ridgeline.llm.mixing import OP9_SQL, op9_mixing
 from ridgeline.llm.near_dedup import op6_near_dedup
 from ridgeline.llm.substring_dedup import op10_substring_dedup
@@ -24,10 +25,12 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_mixing": op9_mixing,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_line_dedup": op11_line_dedup,
 }
 
 ORACLES = {
     "op2_warc": OP2_SQL,
     "op4_exact_dedup": OP4_SQL,
     "op9_mixing": OP9_SQL,
+    "op11_line_dedup": OP11_SQL,
 }
