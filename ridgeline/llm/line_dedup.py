@@ -46,19 +46,15 @@ RESIDENT, PROBES = 96 << 20, 1 << 21
 _NO_ID = -(1 << 63)
 
 
-def line_hashes(lines: Column, min_chars: int) -> Column:
-    """Two 64-bit hashes of each line's key; null for keys that are too short."""
-
-    def each(line: Column) -> Column:
-        key = ascii_lower(F.btrim(line, F.lit(_SPACE)))
-        return F.when(F.char_length(key) >= min_chars, F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(1), key).alias("b")))
-
-    return F.transform(lines, each)
+def line_hashes(text: Column, min_chars: int) -> Column:
+    """Two 64-bit hashes of the key of each line; null for keys that are too short."""
+    keys = F.transform(F.split(ascii_lower(text), "\n", -1), lambda line: F.btrim(line, F.lit(_SPACE)))
+    return F.transform(keys, lambda k: F.when(F.char_length(k) >= min_chars, F.struct(F.xxhash64(k).alias("a"), F.xxhash64(F.lit(1), k).alias("b"))))
 
 
 def _hashed(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1).alias("lines"))
-    return rows.withColumn("hashes", line_hashes(F.col("lines"), min_chars))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows.select("id", "text", line_hashes(F.col("text"), min_chars).alias("hashes"))
 
 
 def _write_shard(folder: str):
@@ -90,7 +86,9 @@ class LineIndex:
 def build_index(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", shard_keys: int = SHARD_KEYS) -> LineIndex:
     """Indexes the keys that two documents or more share; the driver gets the shards' names alone."""
     spark = docs.sparkSession
-    each = _hashed(docs, id_col, text_col, min_chars).select("id", F.explode(F.array_distinct(F.filter("hashes", lambda h: h.isNotNull()))).alias("h"))
+    # In order, equal hashes stand together; array_distinct would compare all pairs of structs.
+    ordered = _hashed(docs, id_col, text_col, min_chars).select("id", F.sort_array(F.filter("hashes", lambda h: h.isNotNull())).alias("hs"))
+    each = ordered.select("id", F.explode(F.filter("hs", lambda h, i: (i == 0) | (h != F.get("hs", i - 1)))).alias("h"))
     counted = each.groupBy("h.a", "h.b").agg(F.count("*").alias("docs"), F.max("id").alias("keep")).filter("docs > 1")
     counted = materialise(counted, "line-counts")
     shards, folder = counted.count() // shard_keys + 1, scratch(spark, "line-shards")
@@ -150,10 +148,10 @@ def drop_lines(docs: DataFrame, index: LineIndex, min_docs: int = MIN_DOCS, min_
     """One row per document: id, n_lines, n_dropped, kept_text. ``min_docs`` is 2 at least."""
     if min_docs < 2:
         raise ValueError("a line that one document alone holds isn't indexed")
-    judged = _hashed(docs, id_col, text_col, min_chars).withColumn("gone", _prober(index, min_docs)("id", "hashes")).drop("hashes")
-    kept = F.array_join(F.filter("lines", lambda line, i: ~F.get("gone", i)), "\n")
-    out = judged.select(F.nullif("id", F.lit(_NO_ID)).alias("id"), F.size("lines").cast("long").alias("n_lines"), F.size(F.filter("gone", lambda g: g)).cast("long").alias("n_dropped"), "lines", "gone")
-    return out.select("id", "n_lines", "n_dropped", F.when(F.col("n_dropped") == 0, F.array_join("lines", "\n")).otherwise(kept).alias("kept_text"))
+    judged = _hashed(docs, id_col, text_col, min_chars).withColumn("gone", _prober(index, min_docs)("id", "hashes"))
+    out = judged.select("id", "text", "gone", F.size("gone").cast("long").alias("n_lines"), F.size(F.filter("gone", lambda g: g)).cast("long").alias("n_dropped"))
+    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda line, i: ~F.get("gone", i)), "\n")
+    return out.select(F.nullif("id", F.lit(_NO_ID)).alias("id"), "n_lines", "n_dropped", F.when(F.col("n_dropped") == 0, F.col("text")).otherwise(kept).alias("kept_text"))
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
