@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ridgeline.llm.decontaminate import op5_decontaminate
 from ridgeline.llm.exact_dedup import OP4_SQL, op4_exact_dedup
+from ridgeline.llm.hard_negatives import OP12_SQL, op12_hard_negatives
 from ridgeline.llm.language_id import op7_language_id
 from ridgeline.llm.line_dedup import OP11_SQL, op11_line_dedup
 from ridgeline.llm.mixing import OP9_SQL, op9_mixing
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_line_dedup": op11_line_dedup,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 ORACLES = {
@@ -33,4 +35,5 @@ ORACLES = {
     "op4_exact_dedup": OP4_SQL,
     "op9_mixing": OP9_SQL,
     "op11_line_dedup": OP11_SQL,
+    "op12_hard_negatives": OP12_SQL,
 }
