@@ -116,10 +116,10 @@ class Bucket:
         return found
 
 
-def _buckets(ids: np.ndarray, labels: np.ndarray, rows: np.ndarray) -> list[Bucket]:
+def _buckets(ids: np.ndarray, labels: np.ndarray, rows: np.ndarray, size: int) -> list[Bucket]:
     norms = np.sqrt((rows * rows).sum(axis=1))
     order = np.argsort(-norms, kind="stable")
-    return [Bucket(ids[at], labels[at], rows[at], norms[at]) for at in (order[i : i + BUCKET] for i in range(0, len(order), BUCKET))]
+    return [Bucket(ids[at], labels[at], rows[at], norms[at]) for at in (order[i : i + size] for i in range(0, len(order), size))]
 
 
 def _first(scores: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -187,12 +187,12 @@ def _negatives(buckets: list[Bucket], block: dict, k: int) -> Iterator[tuple]:
             yield from ((key, j, s, i) for s, i in zip(best[j][0].tolist(), best[j][1].tolist(), strict=True))
 
 
-def _written(folder: str, dims: int):
+def _written(folder: str, dims: int, size: int):
     """Writes anchors in blocks and tells the blocks' names."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for table in (batch.slice(i, BLOCK) for i in range(0, batch.num_rows, BLOCK)):
+            for table in (batch.slice(i, size) for i in range(0, batch.num_rows, size)):
                 name, data = blobs.fresh_name("anchors", ".npz"), io.BytesIO()
                 arrays = {c: table.column(c).to_numpy() for c in ("key", "id", "label")} | {"q": _matrix(table.column("q"), dims)}
                 if "positive" in table.schema.names:
@@ -209,7 +209,7 @@ def _written(folder: str, dims: int):
 def _blocks(anchors: DataFrame, dims: int, name: str) -> tuple[str, list[str]]:
     folder = scratch(anchors.sparkSession, name)
     whole = anchors.repartition(anchors.count() // BLOCK + 1)
-    made = materialise(whole.mapInArrow(_written(folder, dims), "name string"), name + "-names")
+    made = materialise(whole.mapInArrow(_written(folder, dims, BLOCK), "name string"), name + "-names")
     return folder, sorted(r.name for r in made.toLocalIterator())
 
 
@@ -226,12 +226,12 @@ _FOUND = "key long, j int, score long, found long"
 
 def _scan(rows: DataFrame, dims: int, blocks: tuple[str, list[str]], search: Callable, k: int) -> DataFrame:
     """The first ``k`` of each chunk of rows for each query of the blocks."""
-    folder, names = blocks
+    (folder, names), size, chunk = blocks, BUCKET, CHUNK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def answer(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, labels = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("id", "label"))
-            buckets = _buckets(ids, labels, np.concatenate([_matrix(b.column("q"), dims) for b in held]))
+            buckets = _buckets(ids, labels, np.concatenate([_matrix(b.column("q"), dims) for b in held]), size)
             for name in names:
                 got = list(search(buckets, _loaded(folder, name), k))
                 for i in range(0, len(got), 50_000):
@@ -242,7 +242,7 @@ def _scan(rows: DataFrame, dims: int, blocks: tuple[str, list[str]], search: Cal
         for batch in batches:
             held.append(batch)
             values += batch.num_rows * max(dims, 1)
-            if values >= CHUNK:
+            if values >= chunk:
                 yield from answer(held)
                 held, values = [], 0
         if values:

@@ -99,6 +99,7 @@ def build_index(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_
 
 def _prober(index: LineIndex, min_docs: int):
     """A UDF: which of a document's lines go."""
+    resident, probes = RESIDENT, PROBES
 
     def drops(loaded: OrderedDict, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
         gone, shard = np.zeros(len(a), bool), np.mod(a, index.shards)
@@ -109,7 +110,7 @@ def _prober(index: LineIndex, min_docs: int):
                 continue
             if k not in loaded:
                 loaded[k] = index.load(k)
-                while len(loaded) > 1 and sum(x.nbytes for s, *rest in loaded.values() for x in (s.words, s.before, *rest)) > RESIDENT:
+                while len(loaded) > 1 and sum(x.nbytes for s, *rest in loaded.values() for x in (s.words, s.before, *rest)) > resident:
                     loaded.popitem(last=False)
             loaded.move_to_end(k)
             slots, mark, docs, keep = loaded[k]
@@ -135,7 +136,7 @@ def _prober(index: LineIndex, min_docs: int):
         for ids, hashes in batches:
             held.append((ids, hashes))
             lines += len(hashes.flatten())
-            if lines >= PROBES:
+            if lines >= probes:
                 yield from answer(loaded, held)
                 held, lines = [], 0
         if held:

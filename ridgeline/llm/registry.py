@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ridgeline.llm.decontaminate import op5_decontaminate
+from ridgeline.llm.divergence import OP13_SQL, op13_source_divergence
 from ridgeline.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from ridgeline.llm.hard_negatives import OP12_SQL, op12_hard_negatives
 from ridgeline.llm.language_id import op7_language_id
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
     "op11_line_dedup": op11_line_dedup,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLES = {
@@ -36,4 +38,5 @@ ORACLES = {
     "op9_mixing": OP9_SQL,
     "op11_line_dedup": OP11_SQL,
     "op12_hard_negatives": OP12_SQL,
+    "op13_source_divergence": OP13_SQL,
 }

@@ -70,7 +70,7 @@ def test_empty(spark):
 def test_pruning_leaves_rows_out():
     rng = np.random.default_rng(4)
     rows = np.floor(256 * rng.normal(size=(5000, 16)))
-    buckets = hn._buckets(np.arange(5000), np.zeros(5000, np.int64), rows)
+    buckets = hn._buckets(np.arange(5000), np.zeros(5000, np.int64), rows, 1024)
     scores = np.sort(rows @ rows[7])[::-1]
     seen = []
     hn._search(buckets, rows[7], lambda: int(scores[9]), lambda s, i, y: seen.append(s))
