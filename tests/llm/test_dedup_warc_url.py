@@ -93,7 +93,7 @@ def brute_rule(host, path):
 
 
 def test_url_filter(spark):
-    urls = [None, "", "no scheme", "http://", "HTTP://EXAMPLE.com/en/7?x", "http://www.example.com/en/8", "http://notexample.com/en/7", "https://a.example.net/de/81#t", "https://a.example.net/de/1", "x://org/es/", "x://org?/es/", "http://a.org/es/://b", "https://casino-win.example.com/fr/3", "https://www.adult-x.example.com/es/99", "https://free-bets.example.com/es/5", "https://spam-farm.example.com/es/5", "https://tionsh.example.com/fr/5", "https://m.theston.example.com/de/512"] * 2
+    urls = [None, "", "no scheme", "http://", "HTTP://EXAMPLE.com/en/7?x", "http://www.example.com/en/8", "http://notexample.com/en/7", "https://a.example.net/de/81#t", "https://a.example.net/de/1", "x://org/es/", "x://org?/es/", "http://a.org/es/://b", "https://poker-win.example.com/fr/3", "https://www.escorts-x.example.com/es/99", "https://free-betting.example.com/es/5", "https://linkfarm-5.example.com/es/5", "https://tionsh.example.com/fr/5", "https://m.theston.example.com/de/512"] * 2
     df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")
     model = uf.train(spark)
     for r in uf.filter_urls(df, model).collect():
@@ -104,7 +104,7 @@ def test_url_filter(spark):
         if verdict is None:
             if r.host in ("org", "net", "com"):
                 continue  # no name to judge by
-            spam = re.search("casino|adult|bets|spam", url or "")
+            spam = re.search("poker|escorts|betting|linkfarm", url or "")
             verdict = "block" if spam else "allow"
         assert r.verdict == verdict, url
     assert uf.filter_urls(df.limit(0), model).count() == 0
@@ -142,23 +142,44 @@ def test_model_recomputed(spark):
             assert r.verdict == ("block" if score >= 0.5 else "allow")
 
 
-def test_regression_on_hosts_never_trained_on(spark):
-    """Other affixes than the labels', and the hosts of pages, none of which a label has."""
-    model = uf.train(spark)
-    trained = {brute_url(u)[0] for u, _ in uf.labelled_urls()}
-    other = [(i, u, y) for i, (u, y) in enumerate(uf.labelled_urls(("best", "royal", "club", "online", "net7", "our", "land")))]
-    assert not trained & {brute_url(u)[0] for _, u, _ in other}
-    got = uf.filter_urls(spark.createDataFrame(other, "page_id long, url string, y long"), model, rules=[]).collect()
-    assert sum((r.verdict == "block") == bool(other[r.id][2]) for r in got) >= 0.9 * len(got)
-    pages = uf.filter_urls(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"), model, rules=[]).collect()
-    assert not {n.removeprefix("www.").removeprefix("m.").removeprefix("blog.") for n in trained} & {r.host.removeprefix("www.").removeprefix("m.").removeprefix("blog.") for r in pages}
-    named = "casino|adult|bets|spam|ads|pills"
-    right = [(r.verdict == "block") == bool(re.search(named, r.host)) for r in pages]
-    assert sum(right) >= 0.9 * len(right), [(r.host, r.verdict) for r, ok in zip(pages, right, strict=True) if not ok]
+def test_regression_on_unseen_hosts_and_subjects(spark):
+    """Other affixes than the labels'; and every second subject, judged by the other half's model."""
+
+    def judged(model, rows):
+        df = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string")
+        got = [(r.verdict == "block", rows[r.id][1] == 1) for r in uf.filter_urls(df, model, rules=[]).collect()]
+        return sum(v for v, y in got if y) / sum(y for _, y in got), sum(v for v, y in got if not y) / sum(not y for _, y in got)
+
+    other = uf.labelled_urls(("best", "royal", "guild", "online", "net7", "our", "land"))
+    assert not {brute_url(u)[0] for u, _ in uf.labelled_urls()} & {brute_url(u)[0] for u, _ in other}
+    found, wrong = judged(uf.train(spark), other)
+    assert found >= 0.9 and wrong <= 0.05
+    for part in (0, 1):
+        found, wrong = judged(uf.train(spark, uf.labelled_urls(part=part)), uf.labelled_urls(part=1 - part))
+        print("unseen subjects:", found, wrong)
+        assert wrong <= 0.1  # a subject that no n-gram names is allowed: what is found is README's figure
+
+
+def test_no_label_word_is_a_host_of_pages(spark):
+    hosts = {w for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("url").collect() for w in re.split(r"[.-]", brute_url(r.url)[0])}
+    blocked, ordinary = uf.subjects()
+    assert not hosts & {*blocked, *ordinary}
+    assert not {*blocked} & {*ordinary} and len({*blocked, *ordinary}) == len(blocked) + len(ordinary) < 200
+
+
+def test_after_a_query_that_observes(spark):
+    """A session that was ever observed can't be sent to tasks, so no model may hold it."""
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    assert spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).count() == 3 and seen.get["n"] == 3
+    df = spark.createDataFrame([(1, "http://my-poker.example.com/fr/1")], "page_id long, url string")
+    assert uf.filter_urls(df, uf.train(spark)).count() == 1
+    assert uf.filter_urls(df, uf.train(spark)).collect()[0].verdict == "block"
 
 
 def test_long_and_repeated_urls(spark):
-    urls = ["https://casino-24.example.com/" + "x" * 50_000] * 2 + ["https://city-museum.example.com/" + "y/" * 30_000]
+    urls = ["https://poker-24.example.com/" + "x" * 50_000] * 2 + ["https://city-museum.example.com/" + "y/" * 30_000]
     df = spark.createDataFrame([(7, u) for u in urls], "page_id long, url string")
     got = uf.filter_urls(df, uf.train(spark), rules=[]).collect()
     assert sorted(len(r.path) for r in got) == [50_001, 50_001, 60_001] and len({r.score for r in got}) == 2
