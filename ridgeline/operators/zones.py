@@ -1,10 +1,7 @@
-"""Zones: 4-connected regions of a mask, their statistics and outlines."""
+"""Zones: 4-connected regions of a mask, and their statistics; ``outlines`` has their borders."""
 
 from __future__ import annotations
 
-from collections import defaultdict
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,58 +36,3 @@ def zone_statistics(zones: DataFrame, meta: GridMeta) -> DataFrame:
         F.avg("x").alias("cx"),
         F.avg("y").alias("cy"),
     )
-
-
-def _area2(ring: list[tuple[int, int]]) -> int:
-    return sum(a[1] * b[0] - b[1] * a[0] for a, b in zip(ring, ring[1:], strict=False))
-
-
-def zone_outlines(zones: DataFrame, meta: GridMeta) -> DataFrame:
-    """One row per zone: zone, value 1 and the polygon with its holes as WKT.
-
-    A zone's border cells alone go to the task that traces it, so a zone without holes
-    of a million cells sends some thousands.
-    """
-    number = meta.id()
-    cells = zones.select("r", "c", "zone", number.alias("id"))
-    keys = cells.select(F.col("id"), F.col("zone").alias("_z"))
-    steps = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr, dc in ((-1, 0), (0, 1), (1, 0), (0, -1))])
-    near = cells.select("r", "c", "zone", F.inline(steps)).withColumn("beside", F.when((F.col("c") + F.col("dc")).between(0, meta.cols - 1) & (F.col("r") + F.col("dr")).between(0, meta.rows - 1), (F.col("r") + F.col("dr")) * F.lit(meta.cols).cast("long") + F.col("c") + F.col("dc")))
-    # An edge of the outline is a side of a cell that no cell of the zone is beside.
-    sides = near.join(keys.withColumnRenamed("id", "beside"), "beside", "left").filter(F.col("_z").isNull()).select("zone", "r", "c", "dr", "dc")
-
-    def trace(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        out: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-        ends = {(-1, 0): ((0, 0), (0, 1)), (0, 1): ((0, 1), (1, 1)), (1, 0): ((1, 1), (1, 0)), (0, -1): ((1, 0), (0, 0))}
-        for r, c, dr, dc in pdf[["r", "c", "dr", "dc"]].itertuples(index=False):
-            a, b = ends[dr, dc]
-            out[r + a[0], c + a[1]].append((r + b[0], c + b[1]))
-        rings = sorted(_trace(out), key=lambda ring: -abs(_area2(ring)))
-        text = ", ".join("(" + ", ".join(f"{meta.x0 + c * meta.px:.10g} {meta.y0 + r * meta.py:.10g}" for r, c in ring) + ")" for ring in rings)
-        return pd.DataFrame({"zone": [key[0]], "value": [1], "wkt": [f"POLYGON ({text})"]})
-
-    return sides.groupBy("zone").applyInPandas(trace, "zone long, value int, wkt string")
-
-
-def _trace(out: dict[tuple[int, int], list[tuple[int, int]]]) -> list[list[tuple[int, int]]]:
-    """Closed rings of directed sides, corners only; where two meet, the right turn is taken."""
-    rings = []
-    while out:
-        start = min(out)
-        ring, at, came = [start], start, None
-        while True:
-            ways = out[at]
-            if len(ways) > 1 and came is not None:
-                right = (at[0] + at[1] - came[1], at[1] - at[0] + came[0])
-                ways.sort(key=lambda b, right=right: b != right)
-            to = ways.pop(0)
-            if not ways:
-                del out[at]
-            came, at = at, to
-            ring.append(at)
-            if at == start:
-                break
-        body = ring[:-1]
-        slim = [p for k, p in enumerate(body) if not (body[k - 1][0] == p[0] == body[(k + 1) % len(body)][0] or body[k - 1][1] == p[1] == body[(k + 1) % len(body)][1])]
-        rings.append([*slim, slim[0]])
-    return rings

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions import terrain as t
 from ridgeline.grid import GridMeta
-from ridgeline.operators import runs, zones
+from ridgeline.operators import outlines, runs, zones
 from ridgeline.plans.analysis import AnalysisParams
 
 LAYERS = ("slope", "shc", "stability_fs", "twi", "tc", "flow_peak", "flow_mean", "flow_vtotal", "integrated_risk_index")
@@ -55,7 +55,7 @@ def save_run(cells: DataFrame, meta: GridMeta, params: AnalysisParams, out_dir:
         stored = spark.read.parquet(f"{hidden}/cells")
         for k in masks:
             labelled = zones.label_zones(stored.filter(k).select("r", "c"), meta)
-            zones.zone_outlines(labelled, meta).join(zones.zone_statistics(labelled, meta).drop("value"), "zone").write.parquet(f"{hidden}/{kinds[k]}")
+            outlines.zone_outlines(labelled, meta).join(zones.zone_statistics(labelled, meta).drop("value"), "zone").write.parquet(f"{hidden}/{kinds[k]}")
         text = json.dumps(params.manifest(dem_path) | {"meta": vars(meta)})
         spark.range(1).select(F.lit(text).alias("value")).coalesce(1).write.text(f"{hidden}/params")
         old = [x for x in run_names(spark, out_dir) if overwrite and x[:3] == seq]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions import style
 from ridgeline.functions import terrain as t
-from ridgeline.operators import drainage, rasters, stencil, zones
+from ridgeline.operators import drainage, outlines, rasters, stencil, zones
 from ridgeline.plans import fixtures as fx
 from ridgeline.plans.analysis import AnalysisParams, analyse, drained, terrain
 from ridgeline.storage import materialise
@@ -265,6 +265,29 @@ def valley_zones(spark, sf_dir: str) -> DataFrame:
     return _zone_rows(valley_cells(spark, sf_dir), fx.dem_meta(spark, sf_dir))
 
 
+_ZONED = _ZONES[: _ZONES.rindex("SELECT zone, 1")].rstrip()
+_VALLEYS = f"{_DRAIN}, mask AS (SELECT r, c, flow.id FROM flow JOIN acc ON acc.id = flow.id WHERE {fx.TWI_SQL} >= 8.0 AND accum >= 40), {_ZONED}"
+
+
+@query(
+    f"""{_VALLEYS},
+cell AS (SELECT mask.id, r, c, zone FROM zoned JOIN mask ON mask.id = zoned.id),
+way AS (SELECT * FROM (VALUES (0, -1, 0, 0, 1, 0, 1), (1, 0, 1, 1, 0, 1, 1), (2, 1, 0, 0, -1, 1, 0), (3, 0, -1, -1, 0, 0, 0)) t(d, dr, dc, hr, hc, vr, vc)),
+side AS (SELECT a.id * 4 + d AS s, a.zone, d, a.r + vr AS er, a.c + vc AS ec, hr, hc,
+    CASE WHEN ah.id IS NULL THEN a.id * 4 + (d + 1) % 4 WHEN ac.id IS NULL THEN ah.id * 4 + d ELSE ac.id * 4 + (d + 3) % 4 END AS nxt
+  FROM cell a CROSS JOIN way LEFT JOIN cell n ON n.r = a.r + dr AND n.c = a.c + dc AND n.zone = a.zone
+  LEFT JOIN cell ah ON ah.r = a.r + hr AND ah.c = a.c + hc AND ah.zone = a.zone LEFT JOIN cell ac ON ac.r = a.r + hr + dr AND ac.c = a.c + hc + dc AND ac.zone = a.zone WHERE n.id IS NULL),
+walk AS (SELECT s, nxt AS onto FROM side UNION SELECT walk.s, side.nxt FROM walk JOIN side ON side.s = walk.onto),
+ring AS (SELECT s, min(onto) AS ring FROM walk GROUP BY s)
+SELECT zone, ring, count(*) FILTER (WHERE nxt % 4 <> d) AS corners, count(*) * 5.0::DOUBLE AS perimeter, sum((ec - hc) * er - ec * (er - hr)) * 12.5::DOUBLE AS area FROM side JOIN ring ON ring.s = side.s GROUP BY zone, ring"""
+)
+def zone_rings(spark, sf_dir: str) -> DataFrame:
+    """Rings of the valleys' zones; tiles of 32 cells, so that rings cross their borders."""
+    meta = fx.dem_meta(spark, sf_dir)
+    labelled = zones.label_zones(materialise(valley_cells(spark, sf_dir).select("r", "c"), "mask"), meta)
+    return outlines.zone_rings(outlines.ring_parts(labelled, meta, tile=32), meta)
+
+
 @query(
     f"{_TC_HOLES}, q AS (SELECT flow.*, accum, 0.8 * 50.0 * (accum * least(1.0, 6.0::DOUBLE / greatest(coalesce(tc, 1e-6), 1e-6)) * 25.0 / 10000.0)::DOUBLE / 360.0 AS peak FROM flow JOIN acc ON acc.id = flow.id JOIN tcs ON tcs.id = flow.id), "
     f"lay AS (SELECT *, ({fx.FS_SQL})::FLOAT::DOUBLE AS fs, ({fx.TWI_SQL})::FLOAT::DOUBLE AS twi, peak::FLOAT::DOUBLE AS flow FROM q) "

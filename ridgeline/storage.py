@@ -11,7 +11,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
 
@@ -45,12 +45,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def materialise_with(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
-    """``materialise``, and aggregates of what is written, taken on the way without a job of their own."""
-    seen = Observation()
-    first, *rest = [c.alias(k) for k, c in measures.items()]
-    # The observed rows are those written; an empty table has no row to observe.
-    table = materialise(df.observe(seen, first, *rest), name)
-    return table, seen.get
+    """``materialise``, and aggregates of the table, read from the columns that they need."""
+    table = materialise(df, name)
+    return table, table.agg(*[c.alias(k) for k, c in measures.items()]).first().asDict()
 
 
 #: Bytes that a task should get of what is dealt out by key.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions import terrain as t
 from ridgeline.grid import GridMeta, densify
-from ridgeline.operators import drainage, rasters, stencil, zones
+from ridgeline.operators import drainage, outlines, rasters, stencil, zones
 from ridgeline.plans.analysis import AnalysisParams, analyse, drained, terrain
 
 
@@ -188,7 +188,7 @@ def test_zones(spark):
     assert {(r.r, r.c): r.zone for r in labelled.collect()} == truth
     stats = {r.zone: r for r in zones.zone_statistics(labelled, meta).collect()}
     assert sum(r.n_cells for r in stats.values()) == mask.sum()
-    for r in zones.zone_outlines(labelled, meta).collect():
+    for r in outlines.zone_outlines(labelled, meta).collect():
         rings = [[tuple(map(float, p.split())) for p in ring.strip("()").split(", ")] for ring in r.wkt.removeprefix("POLYGON (").removesuffix(")").split("), (")]
         areas = [abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(x, x[1:], strict=False))) / 2 for x in rings]
         # The grid's pixels are 1 x 1 in coordinates; holes come off the outer ring.
@@ -197,6 +197,64 @@ def test_zones(spark):
     assert zones.label_zones(df.filter("z = 7"), meta).count() == 0
 
 
+def plain_rings(label):
+    """Rings of each zone by following sides one by one: zone, corners, perimeter, twice the area."""
+    rows, cols = label.shape
+    at = lambda r, c: label[r, c] if 0 <= r < rows and 0 <= c < cols else 0
+    facing, ends, out = ((-1, 0), (0, 1), (1, 0), (0, -1)), ((0, 1), (1, 1), (1, 0), (0, 0)), []
+    left = {(r, c, d) for r in range(rows) for c in range(cols) if label[r, c] for d, (dr, dc) in enumerate(facing) if at(r + dr, c + dc) != label[r, c]}
+    while left:
+        first = r, c, d = min(left, key=lambda s: (s[0] * cols + s[1]) * 4 + s[2])
+        ring, points = first, []
+        while True:
+            left.discard((r, c, d))
+            points.append((r + ends[d][0], c + ends[d][1]))
+            (dr, dc), (hr, hc), z = facing[d], facing[(d + 1) % 4], label[r, c]
+            r, c, d = (r, c, (d + 1) % 4) if at(r + hr, c + hc) != z else (r + hr + dr, c + hc + dc, (d + 3) % 4) if at(r + hr + dr, c + hc + dc) == z else (r + hr, c + hc, d)
+            if (r, c, d) == first:
+                break
+        n = len(points)
+        corners = [p for k, p in enumerate(points) if not (points[k - 1][0] == p[0] == points[(k + 1) % n][0] or points[k - 1][1] == p[1] == points[(k + 1) % n][1])]
+        area2 = sum(points[k - 1][1] * points[k][0] - points[k][1] * points[k - 1][0] for k in range(n))
+        out.append((int(label[ring[0], ring[1]]), (ring[0] * cols + ring[1]) * 4 + ring[2], len(corners), n, area2, corners))
+    return out
+
+
+@pytest.mark.parametrize("tile,density", [(4, 0.6), (5, 0.9), (64, 0.55)])
+def test_outlines_by_tiles(spark, tile, density):
+    rng = np.random.default_rng(tile)
+    mask = rng.random((23, 31)) < density
+    mask[3, 2:30] = mask[20, 2:30] = mask[3:21, 2] = mask[3:21, 29] = True  # one ring around most of it, over many tiles
+    meta = GridMeta(23, 31, 2.0, 100.0, 900.0, 2.0, -2.0)
+    # Zones that aren't connected, and neighbours of another zone.
+    label = np.where(mask, 7 + 3 * (np.arange(31) // 20)[None, :] - 20 * (np.arange(23) > 18)[:, None], 0)
+    rows = [(int(r), int(c), int(v)) for (r, c), v in np.ndenumerate(label) if v]
+    df = spark.createDataFrame(rows + rows[:5], "r int, c int, zone long")
+    parts = outlines.ring_parts(df, meta, tile)
+    want = plain_rings(label)
+    got = sorted((r.zone, r.ring, r.corners, r.perimeter, r.area) for r in outlines.zone_rings(parts, meta).collect())
+    assert got == sorted((z, k, corners, 2.0 * n, 2.0 * a) for z, k, corners, n, a, _ in want)
+    cells = {z: 0 for z, *_ in want} | {int(z): int((label == z).sum()) for z in np.unique(label) if z}
+    for z, n in cells.items():
+        assert sum(x[4] for x in got if x[0] == z) == 4.0 * n
+    if tile < 20:
+        assert parts.groupBy("ring").count().agg(F.max("count")).first()[0] > 8
+    # The same corners in the same cyclic order, as rows and as text.
+    walked = {}
+    for r in outlines.ring_corners(parts, meta).orderBy("ring", "place", "k").collect():
+        walked.setdefault(r.ring, []).append((round((900.0 - r.y) / 2), round((r.x - 100.0) / 2)))
+    for _, k, _, _, _, corners in want:
+        at = corners.index(walked[k][0])
+        assert any(corners[i:] + corners[:i] == walked[k] for i in range(at, len(corners)) if corners[i] == walked[k][0])
+    texts = {r.zone: r.wkt for r in outlines.zone_outlines(df, meta, tile).collect()}
+    for z in cells:
+        rings = [[tuple(map(float, p.split())) for p in ring.strip("()").split(", ")] for ring in texts[z].removeprefix("POLYGON (").removesuffix(")").split("), (")]
+        assert all(x[0] == x[-1] for x in rings)
+        areas = [sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(x, x[1:], strict=False)) / 2 for x in rings]
+        assert abs(sum(areas)) == pytest.approx(4.0 * cells[z]) and abs(areas[0]) == max(map(abs, areas))
+    assert outlines.ring_parts(df.limit(0), meta, tile).count() == 0
+
+
 def test_clip_resample_mosaic(spark):
     z = surface(6, (12, 15), 0.1)
     df, _ = frame(spark, z)
