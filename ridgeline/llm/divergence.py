@@ -1,11 +1,11 @@
 """Source divergence audit: how the terms of each source differ from its language's.
 
-Tasks count terms where the texts lie and write one row per language, source and term:
-a 64-bit digest, two counts, and the term itself. The terms stay in that table; counts are
-shuffled with digests alone. For the kept digests, which a bitmap lets through, a task sends
-on the smallest and the largest string: where those differ, two terms share a digest, which
-is split, its rows being counted again by the term. Text comes back at the end, for the
-terms that are reported.
+Tasks count terms where the texts lie and write arrays of 64-bit digests and counts for
+each language and source, and once for each language the terms themselves, with the
+number of documents that hold them. Counts are shuffled with digests alone. Of the kept
+digests, which a bitmap of fixed size lets through, tasks send on the smallest and the
+largest string: where those differ, two terms share a digest, which is split, its terms
+being counted by their text. Text comes back at the end, for the terms that are reported.
 
 Terms are runs of ASCII letters and characters beyond ASCII, with A-Z lower-cased. A
 language keeps the V terms of at least ``min_docs`` of its documents. A kept term with
@@ -25,7 +25,7 @@ order. An empty table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,12 +34,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.native import mark_members, member_filter
+from ridgeline.llm.bitmaps import bitmap, has
 from ridgeline.storage import materialise
 
 MIN_DOCS, SCALE, REPORTED = 10, 1_000_000_000, 10
-#: Distinct terms that a task counts before it hands them on, and bytes of a text that it splits at a time.
-HELD, PIECE = 400_000, 1 << 20
+#: Distinct terms and counts of documents that a task holds before it hands them on, and bytes of a text that it splits at a time.
+HELD, COUNTS, PIECE = 500_000, 1 << 22, 1 << 20
+#: Values of an array in a row.
+ROW = 50_000
 #: Terms of a block and sources of a tile: an array of at most 2 x 64 x 4096 numbers, about.
 TERMS, TILE = 4096, 64
 
@@ -61,45 +63,91 @@ def _pieces(text: bytes, size: int) -> Iterator[list[bytes]]:
         start = end
 
 
-def _counted(bits: int, limit: int, piece: int):
-    def emit(found: dict) -> Iterator[pa.RecordBatch]:
-        langs, sources, n, docs, terms = [], [], [], [], []
-        for (lang, source), (counts, holders) in found.items():
-            size = len(counts) + 1  # one row stands for the group itself
-            langs += [lang] * size
-            sources += [source] * size
-            n += [0, *counts.values()]
-            docs += [0, *(holders[t] for t in counts)]
-            terms += [None, *counts]
-        digests = [None if t is None else digest(t, bits) for t in terms]
-        for i in range(0, len(terms), 50_000):
-            at = slice(i, i + 50_000)
-            yield pa.RecordBatch.from_pydict({"lang": langs[at], "source": sources[at], "digest": pa.array(digests[at], pa.int64()), "n": pa.array(n[at], pa.int64()), "docs": pa.array(docs[at], pa.int64()), "term": pa.array(terms[at], pa.binary())})
+class _Numbers(dict):
+    """Numbers terms in the order in which they come."""
+
+    def __missing__(self, term: bytes) -> int:
+        self[term] = n = len(self)
+        return n
+
+
+_ROWS = "lang string, source string, digests array<long>, counts array<long>, terms array<binary>"
+
+
+def _row(lang: str, source: str | None, digests: np.ndarray, counts: np.ndarray, terms: list[bytes] | None) -> Iterator[pa.RecordBatch]:
+    for i in range(0, max(len(digests), 1), ROW):
+        at = slice(i, i + ROW)
+        lists = [pa.array([x[at]], pa.list_(pa.int64())) for x in (digests, counts)]
+        yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([source], pa.string()), *lists, pa.array([None if terms is None else terms[at]], pa.list_(pa.binary()))], ["lang", "source", "digests", "counts", "terms"])
+
+
+def _counted(bits: int, held: int, most: int, piece: int, only: np.ndarray | None):
+    """Rows of a source's counts without terms, and of a language's documents with terms, whose source is null.
+
+    With a bitmap ``only``, the counts of the digests that are in it, with their terms.
+    """
+
+    def emit(vocab: dict, groups: dict, docs: dict) -> Iterator[pa.RecordBatch]:
+        digests = {lang: np.fromiter((digest(t, bits) for t in v), np.int64, len(v)) for lang, v in vocab.items()}
+        terms = {lang: list(v) for lang, v in vocab.items()}
+        for (lang, source), parts in groups.items():
+            ids, n = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+            order = np.argsort(ids, kind="stable")
+            ids, starts = np.unique(ids[order], return_index=True)
+            n = np.add.reduceat(n[order], starts) if len(ids) else n
+            if only is None:
+                yield from _row(lang, source, digests[lang][ids], n, None)
+            else:
+                hit = has(only, digests[lang][ids].view(np.uint64))
+                yield from _row(lang, source, digests[lang][ids[hit]], n[hit], [terms[lang][i] for i in ids[hit]])
+        for lang, parts in docs.items() if only is None else ():
+            yield from _row(lang, None, digests[lang], np.bincount(np.concatenate(parts), minlength=len(terms[lang])), terms[lang])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, held = {}, 0
+        vocab, groups, docs, size = defaultdict(_Numbers), defaultdict(list), defaultdict(list), 0
         for batch in batches:
             for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source")), batch.column("text"), strict=True):
-                n, docs = found.setdefault((lang, source), (Counter(), Counter()))
-                before, distinct = len(n), set()
+                number, found = vocab[lang], [np.zeros(0, np.int64)]
                 for terms in _pieces(text.as_py().translate(_FOLD), piece):
-                    n.update(terms)
-                    distinct.update(terms)
-                docs.update(distinct)
-                held += len(n) - before
-                if held >= limit:
-                    yield from emit(found)
-                    found, held = {}, 0
-        yield from emit(found)
+                    found.append(np.fromiter(map(number.__getitem__, terms), np.int64, len(terms)))
+                ids, n = np.unique(np.concatenate(found), return_counts=True)
+                groups[lang, source].append((ids.astype(np.int32), n))
+                docs[lang].append(ids.astype(np.int32))
+                size += len(ids)
+                if size >= most or sum(map(len, vocab.values())) >= held:
+                    yield from emit(vocab, groups, docs)
+                    vocab, groups, docs, size = defaultdict(_Numbers), defaultdict(list), defaultdict(list), 0
+        yield from emit(vocab, groups, docs)
 
     return count
 
 
-def count_terms(docs: DataFrame, bits: int = 64) -> DataFrame:
-    """lang, source, digest, n, docs, term: partial counts, and a row without a term for each group."""
+def count_terms(docs: DataFrame, bits: int = 64, only: np.ndarray | None = None) -> DataFrame:
+    """lang, source, digests, counts, terms: partial counts; each group has a row at least, if an empty one."""
     rows = docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source")), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    made = rows.mapInArrow(_counted(bits, HELD, PIECE), "lang string, source string, digest long, n long, docs long, term binary")
-    return made.withColumn("term", F.col("term").cast("string"))
+    return rows.mapInArrow(_counted(bits, HELD, COUNTS, PIECE, only), _ROWS).withColumn("terms", F.col("terms").cast("array<string>"))
+
+
+def _among(rows: DataFrame, bits: np.ndarray) -> DataFrame:
+    """Rows of ``count_terms`` without the digests that aren't in a bitmap."""
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("digests")
+            hit = has(bits, lists.flatten().to_numpy().view(np.uint64))
+            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            offsets = pa.array(np.concatenate([[0], np.cumsum(hit)])[ends], pa.int32())
+            cut = {c: pa.ListArray.from_arrays(offsets, batch.column(c).flatten().filter(pa.array(hit))) for c in ("digests", "counts", "terms") if batch.column(c).null_count == 0}
+            out = [cut.get(c, batch.column(c)) for c in batch.schema.names]
+            yield pa.RecordBatch.from_arrays(out, batch.schema.names)
+
+    return rows.mapInArrow(sift, rows.schema)
+
+
+def _each(rows: DataFrame, *columns: str) -> DataFrame:
+    """A row for each place of the arrays; names lose their plural."""
+    zipped = F.arrays_zip(*[F.col(c).alias(c[:-1]) for c in columns])
+    return rows.select("lang", "source", F.inline(zipped)).toDF("lang", "source", *(c[:-1] for c in columns))
 
 
 def _share(count: Column, total: Column, kept: Column) -> Column:
@@ -108,25 +156,29 @@ def _share(count: Column, total: Column, kept: Column) -> Column:
     return F.when(kept == 0, F.lit(1).cast("long")).otherwise(F.call_function("div", top, bottom) + 1)
 
 
-def _kept(partial: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
+def _kept(docs: DataFrame, partial: DataFrame, min_docs: int, bits: int) -> tuple[DataFrame, DataFrame]:
     """Kept terms (lang, digest, tie, term), and their counts by source (lang, source, digest, tie, n).
 
     ``tie`` is the term where another term of the language has its digest, and '' elsewhere.
     """
-    rows, key = partial.filter("digest IS NOT NULL"), F.xxhash64("lang", "digest")
-    often = rows.groupBy("lang", "digest").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs).select("lang", "digest")
+    held, sums = partial.filter("source IS NULL"), partial.filter("source IS NOT NULL")
+    often = _each(held, "digests", "counts").groupBy("lang", "digest").agg(F.sum("count").alias("docs")).filter(F.col("docs") >= min_docs).select("lang", "digest")
     often = materialise(often, "often")
     # A bitmap of fixed size keeps most of the rare terms from any shuffle; the join settles the rest.
-    rows = mark_members(rows, key, member_filter(often.select(key.alias("key")), "key"), "often").filter("often").drop("often")
-    known = materialise(rows.groupBy("lang", "digest").agg(F.min("term").alias("low"), F.max("term").alias("high")).join(often, ["lang", "digest"]), "lexicon")
+    kept = bitmap(often, "digest")
+    worded = _each(_among(held, kept), "digests", "counts", "terms")
+    known = materialise(worded.groupBy("lang", "digest").agg(F.min("term").alias("low"), F.max("term").alias("high")).join(often, ["lang", "digest"]), "lexicon")
     alone, shared = known.filter("low = high"), known.filter("low <> high").select("lang", "digest")
-    sums = rows.groupBy("lang", "source", "digest").agg(F.sum("n").alias("n")).join(alone.select("lang", "digest"), ["lang", "digest"])
-    again = mark_members(rows, key, member_filter(shared.select(key.alias("key")), "key"), "again").filter("again")
-    split = again.join(shared, ["lang", "digest"]).groupBy("lang", "source", "digest", F.col("term").alias("tie")).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    parts = materialise(split, "split-digests")
-    apart = parts.groupBy("lang", "digest", "tie").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs).select("lang", "digest", "tie")
-    terms = alone.select("lang", "digest", F.lit("").alias("tie"), F.col("low").alias("term")).unionByName(apart.withColumn("term", F.col("tie")))
-    counts = sums.withColumn("tie", F.lit("")).unionByName(parts.drop("docs").join(apart, ["lang", "digest", "tie"], "left_semi"))
+    counts = _each(_among(sums, kept), "digests", "counts").groupBy("lang", "source", "digest").agg(F.sum("count").alias("n"))
+    terms = alone.select("lang", "digest", F.lit("").alias("tie"), F.col("low").alias("term"))
+    counts = counts.join(alone.select("lang", "digest"), ["lang", "digest"]).withColumn("tie", F.lit(""))
+    if not shared.isEmpty():
+        ties = worded.join(shared, ["lang", "digest"]).groupBy("lang", "digest", F.col("term").alias("tie")).agg(F.sum("count").alias("docs"))
+        ties = materialise(ties.filter(F.col("docs") >= min_docs).select("lang", "digest", "tie"), "split-digests")
+        texts = _each(count_terms(docs, bits, bitmap(shared, "digest")), "digests", "counts", "terms")
+        again = texts.withColumnRenamed("term", "tie").groupBy("lang", "source", "digest", "tie").agg(F.sum("count").alias("n"))
+        terms = terms.unionByName(ties.withColumn("term", F.col("tie")))
+        counts = counts.unionByName(again.join(ties, ["lang", "digest", "tie"]))
     return materialise(terms, "kept-terms"), materialise(counts, "kept-counts")
 
 
@@ -134,7 +186,7 @@ def _groups(partial: DataFrame, terms: DataFrame, counts: DataFrame) -> DataFram
     """Each group: its number within the language, its tile, the sums of the group and the language, kept terms and blocks."""
     sizes = terms.groupBy("lang").agg(F.count("*").alias("kept"))
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    found = partial.filter("digest IS NULL").select("lang", "source").distinct().join(sizes, "lang", "left").join(totals, ["lang", "source"], "left").fillna(0, ["kept", "total"])
+    found = partial.filter("source IS NOT NULL").select("lang", "source").distinct().join(sizes, "lang", "left").join(totals, ["lang", "source"], "left").fillna(0, ["kept", "total"])
     lang = Window.partitionBy("lang")
     numbered = found.withColumns({"s": F.row_number().over(lang.orderBy("source")) - 1, "lang_total": F.sum("total").over(lang), "sources": F.count("*").over(lang)})
     out = numbered.withColumns({"tile": F.floor(F.col("s") / TILE).cast("int"), "tiles": F.ceil(F.col("sources") / TILE).cast("int"), "blocks": (F.floor(F.col("kept") / TERMS) + 1).cast("long")})
@@ -187,7 +239,7 @@ def _pairs(terms: DataFrame, shares: DataFrame, groups: DataFrame) -> DataFrame:
 def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, reported: int = REPORTED, bits: int = 64) -> DataFrame:
     """lang, source, part (pair or term), item, value, rank. ``bits`` of a digest are used."""
     partial = materialise(count_terms(docs, bits), "term-counts")
-    terms, counts = _kept(partial, min_docs)
+    terms, counts = _kept(docs, partial, min_docs, bits)
     groups = _groups(partial, terms, counts)
     overall = Window.partitionBy("lang", "digest", "tie")
     shares = counts.withColumn("overall", F.sum("n").over(overall)).join(groups, ["lang", "source"])

@@ -49,9 +49,9 @@ def found(spark, rows, **more):
     return sorted(map(tuple, dv.divergence(df, **more).collect()))
 
 
-@pytest.mark.parametrize("bits,terms,tile,held,piece", [(64, 4096, 64, 400_000, 1 << 20), (5, 40, 3, 50, 100)])
-def test_against_brute_force(spark, monkeypatch, bits, terms, tile, held, piece):
-    for name, value in (("TERMS", terms), ("TILE", tile), ("HELD", held), ("PIECE", piece)):
+@pytest.mark.parametrize("bits,terms,tile,held,counts,piece", [(64, 4096, 64, 500_000, 1 << 22, 1 << 20), (5, 40, 3, 50, 10**6, 100), (9, 40, 3, 10**6, 300, 100)])
+def test_against_brute_force(spark, monkeypatch, bits, terms, tile, held, counts, piece):
+    for name, value in (("TERMS", terms), ("TILE", tile), ("HELD", held), ("COUNTS", counts), ("PIECE", piece)):
         monkeypatch.setattr(dv, name, value)
     rows = documents()
     assert found(spark, rows, bits=bits) == brute(rows)
