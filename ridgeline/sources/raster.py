@@ -11,6 +11,7 @@ import struct
 import zipfile
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from ridgeline.grid import GridMeta, cell_metres
 from ridgeline.operators import points as pt
 from ridgeline.operators.rasters import merge, overlaps
+from ridgeline.sources import blocks
 from ridgeline.sources.files import open_at, save
 
 NODATA = -9999.0
@@ -141,34 +143,60 @@ def undo_predictor(part: np.ndarray, kind: np.dtype, predictor: int) -> np.ndarr
     return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(kind.newbyteorder(">")).reshape(rows, cols, bands)
 
 
+@dataclass(frozen=True)
+class Layout:
+    """How a TIFF's cells lie in its blocks (strips or tiles)."""
+
+    rows: int
+    cols: int
+    height: int
+    width: int
+    bands: int
+    kind: str
+    packing: int
+    predictor: int
+    nodata: float | None
+
+    def window(self, k: int) -> tuple[int, int, int, int]:
+        """First row and column of block ``k``, and how many of its rows and columns the image has."""
+        across = -(-self.cols // self.width)
+        r0, c0 = k // across * self.height, k % across * self.width
+        return r0, c0, min(self.height, self.rows - r0), min(self.width, self.cols - c0)
+
+    def cells(self, k: int, raw: bytes) -> np.ndarray:
+        """Band 1 of block ``k`` as doubles, nodata as NaN; a block without bytes has no data."""
+        _, _, h, w = self.window(k)
+        if not raw:
+            return np.full((h, w), np.nan)
+        unpack = {1: bytes, 5: lzw, 8: zlib.decompress, 32946: zlib.decompress}[self.packing]
+        kind = np.dtype(self.kind)
+        part = np.frombuffer(unpack(raw), kind).reshape(-1, self.width, self.bands)
+        part = (part if self.predictor == 1 else undo_predictor(part, kind, self.predictor))[:h, :w, 0].astype(float)
+        return part if self.nodata is None else np.where(part == self.nodata, np.nan, part)
+
+
+def tiff_layout(file) -> tuple[Layout, tuple[int, ...], tuple[int, ...]]:
+    """The layout, and where each block lies: offsets and sizes. Reads the header's parts alone."""
+    order, tags = tiff_tags(file)
+    packing, predictor = tags.get(259, (1,))[0], tags.get(317, (1,))[0]
+    if packing not in (1, 5, 8, 32946) or predictor not in (1, 2, 3):
+        raise ValueError("only raw, deflated and LZW TIFF is read")
+    rows, cols = tags[257][0], tags[256][0]
+    height, width = (tags[323][0], tags[322][0]) if 324 in tags else (min(rows, tags.get(278, (rows,))[0]), cols)
+    places, sizes = (tags[324], tags[325]) if 324 in tags else (tags[273], tags[279])
+    nodata = float(tags[42113][0].rstrip(b"\0 ")) if 42113 in tags else None
+    kind = f"{order}{_KINDS[tags.get(339, (1,))[0]]}{tags[258][0] // 8}"
+    n = -(-rows // height) * -(-cols // width)  # of the first band, where bands lie apart
+    return Layout(rows, cols, height, width, tags.get(277, (1,))[0] if tags.get(284, (1,))[0] == 1 else 1, kind, packing, predictor, nodata), places[:n], sizes[:n]
+
+
 def tiff_pixels(data: bytes) -> np.ndarray:
     """Band 1 as doubles, nodata as NaN; strips or tiles, raw, deflated or LZW, with or without a predictor."""
-    order, tags = tiff_tags(data)
-    cols, rows, bands = tags[256][0], tags[257][0], tags.get(277, (1,))[0]
-    packing = tags.get(259, (1,))[0]
-    unpack = {1: bytes, 5: lzw, 8: zlib.decompress, 32946: zlib.decompress}.get(packing)
-    predictor = tags.get(317, (1,))[0]
-    if unpack is None or predictor not in (1, 2, 3):
-        raise ValueError("only raw, deflated and LZW TIFF is read")
-    kind = np.dtype(f"{order}{_KINDS[tags.get(339, (1,))[0]]}{tags[258][0] // 8}")
-    out = np.full((rows, cols), np.nan)
-    if 324 in tags:
-        width, height, places, sizes = tags[322][0], tags[323][0], tags[324], tags[325]
-    else:
-        width, height, places, sizes = cols, tags.get(278, (rows,))[0], tags[273], tags[279]
-    across = -(-cols // width)
+    layout, places, sizes = tiff_layout(data)
+    out = np.full((layout.rows, layout.cols), np.nan)
     for k, (at, size) in enumerate(zip(places, sizes, strict=True)):
-        raw = unpack(data[at : at + size])
-        r0, c0 = k // across * height, k % across * width
-        if r0 >= rows:
-            break
-        part = np.frombuffer(raw, kind).reshape(-1, width, bands)
-        part = (part if predictor == 1 else undo_predictor(part, kind, predictor))[:, :, 0]
-        h, w = min(part.shape[0], rows - r0), min(width, cols - c0)
-        out[r0 : r0 + h, c0 : c0 + w] = part[:h, :w]
-    nodata = tiff_meta(data)[1]
-    if nodata is not None:
-        out[out == nodata] = np.nan
+        r0, c0, h, w = layout.window(k)
+        out[r0 : r0 + h, c0 : c0 + w] = layout.cells(k, data[at : at + size])
     return out
 
 
@@ -210,14 +238,12 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_geotiff(spark: SparkSession, path: str) -> DataFrame:
-    """All cells of all files under a path or pattern: path, r, c, z."""
+    """All cells of all files under a path or pattern: path, r, c, z.
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                yield from _cells(name, tiff_pixels(content.as_buffer().to_pybytes()))
-
-    return _files(spark, path).mapInArrow(parse, "path string, r int, c int, z double")
+    Tasks read blocks by range, whatever a file's size, and predicates on r and c leave the
+    blocks out that they rule out (``blocks.TiffBlocks``).
+    """
+    return blocks.load(spark, blocks.TiffBlocks, path)
 
 
 CATALOG = "path string, rows int, cols int, cell double, epsg int, x0 double, y0 double, px double, py double, xmin double, ymin double, xmax double, ymax double"
@@ -306,25 +332,8 @@ def stamp_las(data: bytes, epsg: int = pt.SURVEY_EPSG) -> bytes:
 
 
 def read_las(spark: SparkSession, path: str) -> DataFrame:
-    """Points of LAS files: path, x, y (double), z (float)."""
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = content.as_buffer()
-                head = bytes(data[:375])
-                if head[:4] != b"LASF":
-                    raise ValueError(f"{name} is not a LAS file")
-                offset, length = struct.unpack_from("<I", head, 96)[0], struct.unpack_from("<H", head, 105)[0]
-                n = struct.unpack_from("<I", head, 107)[0] or struct.unpack_from("<Q", head, 247)[0]
-                scale, shift = np.array(struct.unpack_from("<6d", head, 131)).reshape(2, 3)
-                for at in range(0, n, 65_536):
-                    m = min(65_536, n - at)
-                    raw = np.frombuffer(data[offset + at * length : offset + (at + m) * length], np.uint8).reshape(m, length)
-                    xyz = np.ascontiguousarray(raw[:, :12]).view("<i4") * scale + shift
-                    yield pa.RecordBatch.from_pydict({"path": pa.array([name] * m), "x": pa.array(xyz[:, 0]), "y": pa.array(xyz[:, 1]), "z": pa.array(xyz[:, 2].astype(np.float32))})
-
-    return _files(spark, path).mapInArrow(parse, "path string, x double, y double, z float")
+    """Points of LAS files: path, x, y (double), z (float). Tasks read ranges of points, whatever a file's size."""
+    return blocks.load(spark, blocks.LasBlocks, path)
 
 
 _OFFERS = (((".tif", ".tiff"), "tif"), (("dem.txt",), "xyz"), ((".txt",), "xyz"), ((".las",), "las"))
