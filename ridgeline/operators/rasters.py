@@ -149,16 +149,28 @@ def reprojected(x: Column, y: Column, source: int, target: int) -> tuple[Column,
     raise ValueError(f"no way to EPSG:{target}")
 
 
+#: Points that are sent to all of a grid's tasks rather than dealt out with it: 8 bytes each of a broadcast.
+FEW = 100_000
+
+
+def cell_of(meta: GridMeta, epsg: int | None = None) -> tuple[Column, Column]:
+    """Row and column of the points x, y. Indices are cut toward zero."""
+    x, y = reprojected(F.col("x"), F.col("y"), epsg or meta.epsg, meta.epsg)
+    return ((y - meta.y0) / meta.py).cast("int"), ((x - meta.x0) / meta.px).cast("int")
+
+
 def sample_points(points: DataFrame, grid: DataFrame, meta: GridMeta, value: str = "z", epsg: int | None = None) -> DataFrame:
     """Adds the value of the cell each point is in; null outside and on nodata. ``epsg`` is the points' CRS, if it isn't the grid's.
 
     Indices are cut toward zero, so points up to one cell left of or above the grid
-    count as its first column or row.
+    count as its first column or row. Up to ``FEW`` points, counted first, the grid stays
+    where it is; beyond, points and grid are dealt out by cell.
     """
-    x, y = reprojected(F.col("x"), F.col("y"), epsg or meta.epsg, meta.epsg)
-    c = ((x - meta.x0) / meta.px).cast("int")
-    r = ((y - meta.y0) / meta.py).cast("int")
-    return points.withColumns({"r": r, "c": c}).join(grid.select("r", "c", value), ["r", "c"], "left").drop("r", "c")
+    r, c = cell_of(meta, epsg)
+    at, cells = points.withColumns({"r": r, "c": c}), grid.select("r", "c", value)
+    if points.limit(FEW + 1).count() <= FEW:
+        cells = F.broadcast(cells.join(F.broadcast(at.select("r", "c").distinct()), ["r", "c"], "left_semi"))
+    return at.join(cells, ["r", "c"], "left").drop("r", "c")
 
 
 def canopy_height(dem: DataFrame, dem_meta: GridMeta, dsm: DataFrame, dsm_meta: GridMeta) -> DataFrame | None:

@@ -1,16 +1,23 @@
 """Runs on disk: layers of cells, a manifest, zones, and what integrates stored layers.
 
-A run is written to a hidden folder and renamed once it is whole, so a run that is seen
-is complete. Files of a run that failed are removed. Runs that are overwritten stand aside
-until the new one is in place.
+A run's number is claimed by a file that only one writer can create. Its data go to a folder
+of their own inside the run's, and the manifest, a file written last, names that folder: a
+run is there when its manifest is, and an overwritten one changes with its manifest. Nothing
+is renamed, so stores without renames will do. What fails is removed; what a lost driver
+left behind, ``recover`` removes.
 """
 
 from __future__ import annotations
 
 import argparse
 import json
+import os
+import re
+import time
+import uuid
 from datetime import datetime
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +25,7 @@ from ridgeline.functions import terrain as t
 from ridgeline.grid import GridMeta
 from ridgeline.operators import outlines, runs, zones
 from ridgeline.plans.analysis import AnalysisParams
+from ridgeline.sources.cells import read_cells, write_cells
 
 LAYERS = ("slope", "shc", "stability_fs", "twi", "tc", "flow_peak", "flow_mean", "flow_vtotal", "integrated_risk_index")
 
@@ -27,63 +35,146 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+MANIFEST, CLAIM = "params.json", ".claim_"
+
+
 def run_names(spark: SparkSession, out_dir: str) -> list[str]:
-    files, path = _fs(spark, out_dir)
-    return sorted(s.getPath().getName() for s in files.listStatus(path) if s.isDirectory()) if files.exists(path) else []
+    """Folders that have a manifest."""
+    files, pattern = _fs(spark, f"{out_dir}/*/{MANIFEST}")
+    return sorted(s.getPath().getParent().getName() for s in files.globStatus(pattern) or ())
+
+
+def _claimed(spark: SparkSession, path: str) -> bool:
+    """Creates a file that no one else has; false if it is there."""
+    files, place = _fs(spark, path)
+    files.mkdirs(place.getParent())
+    if files.getScheme() == "file":  # Hadoop's own local files are checked before they are made
+        try:
+            os.close(os.open(place.toUri().getPath(), os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+        except FileExistsError:
+            return False
+        return True
+    try:
+        files.create(place, False).close()
+    except Py4JJavaError as e:
+        if "AlreadyExists" in e.java_exception.getClass().getName():
+            return False
+        raise
+    return True
+
+
+def _claim(spark: SparkSession, out_dir: str, overwrite: bool) -> str:
+    """A number that is this writer's until its claim is deleted: the next that is free, or the last to overwrite it."""
+    names = spark.createDataFrame([(n,) for n in run_names(spark, out_dir)], "name string")
+    seq = runs.next_sequence(names, overwrite).first().seq
+    while True:
+        if len(seq) > 3:
+            raise ValueError("all run numbers are taken")
+        if _claimed(spark, f"{out_dir}/{CLAIM}{seq}"):
+            # Another writer may have finished since the names were listed.
+            if overwrite or not any(n[:3] == seq for n in run_names(spark, out_dir)):
+                return seq
+            _delete(spark, f"{out_dir}/{CLAIM}{seq}")
+        elif overwrite:
+            raise FileExistsError(f"run {seq} is being written")
+        seq = f"{int(seq) + 1:03d}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    files, place = _fs(spark, path)
+    files.delete(place, True)
+
+
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One file, which takes the place of what is there when it is closed."""
+    files, place = _fs(spark, path)
+    if files.getScheme() == "file":
+        local = place.toUri().getPath()
+        with open(f"{local}.new", "w") as f:
+            f.write(text)
+        os.replace(f"{local}.new", local)
+        return
+    out = files.create(place, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
 
 
 def save_run(cells: DataFrame, meta: GridMeta, params: AnalysisParams, out_dir: str, dem_path: str = "", overwrite: bool = False) -> str:
-    """Writes a run's layers as 32-bit values, its zones and its manifest; returns its name.
+    """Writes a run's layers as 32-bit values in tiles, its zones and its manifest; returns its name.
 
-    Overwriting replaces the runs of the last number, after the new one is whole.
+    Overwriting takes the last number again: its runs go once the new one is whole.
     """
     spark = cells.sparkSession
-    names = spark.createDataFrame([(n,) for n in run_names(spark, out_dir)], "name string")
-    seq = runs.next_sequence(names, overwrite).first().seq
-    if len(seq) > 3:
-        raise ValueError("all run numbers are taken")
     layers = [k for k in LAYERS if k in cells.columns]
     kinds = {"unstable": "unstable_zones", "valley": "valley_zones", "high_risk": "integrated_high_risk"}
     masks = [k for k in kinds if k in cells.columns]
     n = runs.counted(F.array(*[F.lit(k) for k in (*layers, *masks)]))
-    name = spark.range(1).select(runs.run_name(F.lit(seq), n).alias("name")).first().name
-    hidden = f"{out_dir}/.tmp_{seq}"
-    files, tmp = _fs(spark, hidden)
-    files.delete(tmp, True)
+    seq = _claim(spark, out_dir, overwrite)
+    data = f"data-{uuid.uuid4().hex}"
+    name = None
     try:
-        cells.select("r", "c", *[F.col(k).cast("float").alias(k) for k in layers], *masks).write.parquet(f"{hidden}/cells")
-        stored = spark.read.parquet(f"{hidden}/cells")
+        name = spark.range(1).select(runs.run_name(F.lit(seq), n).alias("name")).first().name
+        old = [x for x in run_names(spark, out_dir) if x[:3] == seq]
+        if name in run_names(spark, out_dir) and name not in old:
+            raise FileExistsError(f"{out_dir}/{name} is there already")
+        place = f"{out_dir}/{name}/{data}"
+        write_cells(cells.select("r", "c", *[F.col(k).cast("float").alias(k) for k in layers], *masks), meta, f"{place}/cells")
+        stored = read_cells(spark, f"{place}/cells")
         for k in masks:
             labelled = zones.label_zones(stored.filter(k).select("r", "c"), meta)
-            outlines.zone_outlines(labelled, meta).join(zones.zone_statistics(labelled, meta).drop("value"), "zone").write.parquet(f"{hidden}/{kinds[k]}")
-        text = json.dumps(params.manifest(dem_path) | {"meta": vars(meta)})
-        spark.range(1).select(F.lit(text).alias("value")).coalesce(1).write.text(f"{hidden}/params")
-        old = [x for x in run_names(spark, out_dir) if overwrite and x[:3] == seq]
-        _replace(spark, out_dir, old, tmp, name)
+            outlines.zone_outlines(labelled, meta).join(zones.zone_statistics(labelled, meta).drop("value"), "zone").write.parquet(f"{place}/{kinds[k]}")
+        _write_text(spark, f"{out_dir}/{name}/{MANIFEST}", json.dumps(params.manifest(dem_path) | {"meta": vars(meta), "data": data}))
+        for x in old:
+            if x != name:
+                _delete(spark, f"{out_dir}/{x}/{MANIFEST}")
+                _delete(spark, f"{out_dir}/{x}")
+        _sweep(spark, f"{out_dir}/{name}", data)
     except BaseException:
-        files.delete(tmp, True)
+        if name is not None:
+            _delete(spark, f"{out_dir}/{name}/{data}")
+            _drop_empty(spark, f"{out_dir}/{name}")
         raise
+    finally:
+        _delete(spark, f"{out_dir}/{CLAIM}{seq}")
     return name
 
 
-def _replace(spark: SparkSession, out_dir: str, old: list[str], new, name: str) -> None:
-    """Puts the folder ``new`` in the place of old runs: they are moved aside, and deleted once it stands, or moved back."""
-    files, target = _fs(spark, f"{out_dir}/{name}")
-    aside = [(_fs(spark, f"{out_dir}/{x}")[1], _fs(spark, f"{out_dir}/.old_{x}")[1]) for x in old]
-    moved = []
-    try:
-        for run, place in aside:
-            if not files.rename(run, place):
-                raise OSError(f"{run} can't be moved")
-            moved.append((run, place))
-        if files.exists(target) or not files.rename(new, target):
-            raise OSError(f"{out_dir}/{name} is there already")
-    except BaseException:
-        for run, place in moved:
-            files.rename(place, run)
-        raise
-    for _, place in moved:
-        files.delete(place, True)
+def _children(spark: SparkSession, path: str) -> list:
+    files, place = _fs(spark, path)
+    return list(files.listStatus(place)) if files.exists(place) else []
+
+
+def _drop_empty(spark: SparkSession, path: str) -> None:
+    if not _children(spark, path):
+        _delete(spark, path)
+
+
+def _sweep(spark: SparkSession, run: str, data: str | None, before: float = float("inf")) -> None:
+    """Removes a run's data folders but the one that its manifest names, if they are older than ``before``."""
+    for s in _children(spark, run):
+        if s.isDirectory() and s.getPath().getName().startswith("data-") and s.getPath().getName() != data and s.getModificationTime() / 1000 < before:
+            _delete(spark, s.getPath().toString())
+
+
+def recover(spark: SparkSession, out_dir: str, hours: float = 24.0) -> list[str]:
+    """Removes claims and data that no manifest names, if they are older than some hours; returns the claims' numbers."""
+    before, gone = time.time() - 3600 * hours, []
+    whole = set(run_names(spark, out_dir))
+    for s in _children(spark, out_dir):
+        path, name = s.getPath().toString(), s.getPath().getName()
+        if name.startswith(CLAIM) and s.getModificationTime() / 1000 < before:
+            _delete(spark, path)
+            gone.append(name.removeprefix(CLAIM))
+        elif s.isDirectory() and re.fullmatch(r"\d{4}(\+\d+)?", name):
+            _sweep(spark, path, _manifest(spark, out_dir, name)["data"] if name in whole else None, before)
+            _drop_empty(spark, path)
+    return sorted(gone)
+
+
+def _manifest(spark: SparkSession, out_dir: str, name: str) -> dict:
+    return json.loads(spark.read.option("wholetext", "true").text(f"{out_dir}/{name}/{MANIFEST}").first().value)
 
 
 def latest_path(spark: SparkSession, out_dir: str, patterns: list[str]) -> str | None:
@@ -113,8 +204,8 @@ def load_run(spark: SparkSession, out_dir: str, name: str | None = None) -> tupl
         if not found:
             raise FileNotFoundError(f"no run in {out_dir}")
         name = found[-1].name
-    manifest = json.loads(spark.read.text(f"{out_dir}/{name}/params").first().value)
-    return spark.read.parquet(f"{out_dir}/{name}/cells"), manifest
+    manifest = _manifest(spark, out_dir, name)
+    return read_cells(spark, f"{out_dir}/{name}/{manifest['data']}/cells"), manifest
 
 
 def integrate(cells: DataFrame, multiplicative: bool = False, **cautions: float) -> DataFrame:

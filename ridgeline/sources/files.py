@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyarrow import fs
 
 
@@ -36,3 +38,44 @@ def open_at(path: str) -> Ranges:
         path = "/" + path.removeprefix("file:").lstrip("/")
     files, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
     return Ranges(files.open_input_file(inner))
+
+
+def _at(path: str) -> tuple[fs.FileSystem, str]:
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def join_files(path: str, pieces: list[bytes | str], chunk: int = 8 << 20) -> int:
+    """One file of pieces, bytes or paths of files, in order; returns its size.
+
+    It is copied under another name and moved when it is whole; what failed leaves nothing.
+    Stores write a file from its start, so one process copies it, a chunk at a time.
+    """
+    files, target = _at(path)
+    parent, _, name = target.rpartition("/")
+    files.create_dir(parent or "/", recursive=True)
+    hidden = f"{parent}/.{name}.{uuid.uuid4().hex}"
+    try:
+        with files.open_output_stream(hidden, compression=None) as out:
+            for piece in pieces:
+                if isinstance(piece, bytes):
+                    out.write(piece)
+                    continue
+                source, inner = _at(piece)
+                with source.open_input_stream(inner, compression=None) as part:
+                    while data := part.read(chunk):
+                        out.write(data)
+            size = out.tell()
+        files.move(hidden, target)
+    except BaseException:
+        if files.get_file_info(hidden).type != fs.FileType.NotFound:
+            files.delete_file(hidden)
+        raise
+    return size
+
+
+def remove(folder: str) -> None:
+    files, path = _at(folder)
+    if files.get_file_info(path).type == fs.FileType.Directory:
+        files.delete_dir(path)

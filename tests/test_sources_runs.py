@@ -1,9 +1,11 @@
 """Files, stored runs, tiles, streams and run names."""
 
 import io
+import re
 import struct
 import zipfile
 import zlib
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
 import numpy as np
@@ -14,10 +16,12 @@ from ridgeline.functions import style
 from ridgeline.functions import tiles as tf
 from ridgeline.grid import GridMeta, cell_metres
 from ridgeline.operators import points as pt
-from ridgeline.operators import runs, tiles
+from ridgeline.operators import rasters, runs, tiles
 from ridgeline.operators.rasters import merge, rebase
 from ridgeline.plans import store
 from ridgeline.plans.analysis import AnalysisParams, analyse
+from ridgeline.sources import cells as store_cells
+from ridgeline.sources import files, onefile
 from ridgeline.sources import raster as rs
 from ridgeline.streaming import landing
 
@@ -285,10 +289,12 @@ def test_stored_runs(spark, tmp_path, monkeypatch):
     assert store.save_run(cells, meta, AnalysisParams(), out) == "0026"
     assert store.save_run(cells, meta, AnalysisParams(), out, overwrite=True) == "0026" and len(store.run_names(spark, out)) == 2
     assert [p.name for p in tmp_path.iterdir() if p.name.startswith(".")] == []
+    assert [p.name[:5] for p in (tmp_path / "0026").iterdir() if p.is_dir()] == ["data-"]  # the old data went
     monkeypatch.setattr(store.runs, "run_name", lambda seq, files: F.lit("0016"))  # a name that is taken: the new run can't be placed
     with pytest.raises(OSError):
         store.save_run(cells, meta, AnalysisParams(), out, overwrite=True)
     assert store.run_names(spark, out) == ["0016", "0026"] and store.load_run(spark, out)[0].count() == 72
+    assert [p.name for p in tmp_path.iterdir() if p.name.startswith(".")] == []
     assert store.latest_path(spark, out, ["00*", "nothing*"]).endswith("/0026") and store.latest_path(spark, out, ["x*"]) is None
     assert store.prefixed_path(spark, out, "002", "6", "").endswith("/0026") and store.prefixed_path(spark, out, "9", "6", "") is None
     assert store.output_path("o", "twi", ".tif", True) == "o/twi.tif" and store.output_path("o", "twi", ".tif", False, datetime(2024, 1, 31, 23, 59, 58)) == "o/twi_20240131_235958.tif"
@@ -298,6 +304,80 @@ def test_stored_runs(spark, tmp_path, monkeypatch):
     assert store.las_manifest(names).first().value == '{"las":[{"filename":"a.las","relative":"../a.las"},{"filename":"b.las","relative":"../b.las"}]}'
 
 
+def test_two_writers_at_once(spark, tmp_path):
+    """Both take the number of their own, and both runs are whole; what a lost writer left is recovered."""
+    z = np.random.default_rng(4).normal(size=(9, 8)).cumsum(1)
+    meta, out = GridMeta(9, 8, 2.0, 0.0, 18.0, 2.0, -2.0), str(tmp_path)
+    cells = analyse(grid(spark, z), meta)
+    with ThreadPoolExecutor(2) as pool:
+        names = sorted(pool.map(lambda _: store.save_run(cells, meta, AnalysisParams(), out), range(2)))
+    assert names == ["0016", "0026"] == store.run_names(spark, out)
+    for name in names:
+        assert store.load_run(spark, out, name)[0].count() == 72
+    # A driver that was lost: a claim, data without a manifest, and data beside a manifest's.
+    (tmp_path / ".claim_003").touch()
+    for place in ("0036/data-lost", "0026/data-lost"):
+        (tmp_path / place).mkdir(parents=True)
+        (tmp_path / place / "x").touch()
+    assert store.save_run(cells, meta, AnalysisParams(), out) == "0046"  # the claimed number is left alone
+    with pytest.raises(FileExistsError):
+        (tmp_path / ".claim_004").touch()
+        store.save_run(cells, meta, AnalysisParams(), out, overwrite=True)
+    assert store.recover(spark, out) == [] and (tmp_path / "0036").exists()  # too young
+    assert store.recover(spark, out, hours=-1) == ["003", "004"]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["0016", "0026", "0046"] and store.load_run(spark, out, "0026")[0].count() == 72
+
+
+def test_one_geotiff(spark, tmp_path):
+    z = np.random.default_rng(5).normal(size=(75, 53)).astype("f4").astype(float)
+    z[3, 4], z[5, 6], z[40:, 20:] = np.nan, np.inf, np.nan
+    meta = GridMeta(75, 53, 0.5, 100.0, 900.0, 0.5, -0.5, 6676)
+    rows = spark.createDataFrame([(int(r), int(c), None if np.isnan(v) else float(v)) for (r, c), v in np.ndenumerate(z) if r < 48 or c < 32], "r int, c int, v double")
+    for name, classic in (("classic", 4 << 30), ("large", 2000)):
+        path = f"{tmp_path}/{name}.tif"
+        size = onefile.write_one_geotiff(rows, meta, path, "v", tile=16, classic=classic, stretch=7)
+        data = (tmp_path / f"{name}.tif").read_bytes()
+        assert len(data) == size and struct.unpack_from("<H", data, 2)[0] == (42 if name == "classic" else 43)
+        assert np.array_equal(rs.tiff_pixels(data), z, equal_nan=True) and rs.tiff_meta(data) == (meta, -9999.0)
+        got = {(r.r, r.c): r.z for r in rs.read_geotiff(spark, path).collect()}
+        assert len(got) == z.size and all((v is None and np.isnan(z[k])) or v == z[k] for k, v in got.items())
+        assert rs.tiff_layout(data)[2].count(0) == 4  # tiles without a cell
+    onefile.write_one_geotiff(rows, meta, f"{tmp_path}/one.tif", "v", tile=80)
+    assert np.array_equal(rs.tiff_pixels((tmp_path / "one.tif").read_bytes()), z, equal_nan=True)
+    with pytest.raises(OSError):
+        files.join_files(f"{tmp_path}/broken.tif", [b"head", f"{tmp_path}/missing.part"])
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["classic.tif", "large.tif", "one.tif"]
+
+
+def test_stored_cells(spark, tmp_path):
+    z = np.random.default_rng(6).normal(size=(60, 70))
+    meta, path = GridMeta(60, 70, 1.0, 100.0, 500.0, 1.0, -1.0), f"{tmp_path}/cells"
+    store_cells.write_cells(grid(spark, z), meta, path, tile=16)
+    assert len(list((tmp_path / "cells").glob("tile=*"))) == 20
+    whole = store_cells.read_cells(spark, path)
+    assert {(r.r, r.c): r.z for r in whole.collect()} == {k: v for k, v in np.ndenumerate(z)}
+    cut, part = store_cells.read_window(spark, path, meta, 117.0, 470.0, 131.0, 482.5, tile=16)
+    assert {(r.r, r.c): r.z for r in cut.collect()} == {(r, c): z[r + 17, c + 17] for r in range(part.rows) for c in range(part.cols)} and part.rows == 13
+    assert {int(re.search(r"tile=(\d+)", f)[1]) for f in cut.inputFiles()} == set(range(20))  # listed
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "tile" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    points = spark.createDataFrame([(k, 100.0 + k % 75 - 2.0, 500.0 - k % 13 + 1.0) for k in range(90)], "k int, x double, y double")
+    want = {r.k: r.z for r in rasters.sample_points(points, whole, meta).collect()}
+    assert {r.k: r.z for r in store_cells.sample_stored(points, path, meta, tile=16).collect()} == want and any(v is not None for v in want.values())
+    # Few points: cells aren't dealt out. Many: they are.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    for few, exchanged in ((10**5, False), (10, True)):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(rasters, "FEW", few)
+            m.setattr(store_cells, "FEW", few)
+            for got in (rasters.sample_points(points, whole, meta), store_cells.sample_stored(points, path, meta, tile=16)):
+                assert {r.k: r.z for r in got.collect()} == want
+                scans = [p for p in got._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning(r" in p]
+                assert bool(scans) == exchanged or not exchanged
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert store_cells.sample_stored(points.limit(0), path, meta, tile=16).count() == 0
+
+
 def test_stream_of_points(spark, tmp_path):
     meta, landed = GridMeta(4, 4, 1.0), str(tmp_path / "in")
     for k, z in enumerate((5.0, 9.0, 7.0)):
