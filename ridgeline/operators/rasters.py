@@ -128,24 +128,36 @@ def first_usable(sources: DataFrame, value: str = "z", priority: str = "priority
     return sources.join(F.broadcast(best), priority)  # one row
 
 
+#: Origins (latitude, longitude) of Japan's plane rectangular zones 1 to 19, EPSG:6669 and on (fixed values); their scale is 0.9999.
+PLANES = ((33, 129.5), (33, 131), (36, 132 + 1 / 6), (33, 133.5), (36, 134 + 1 / 3), (36, 136), (36, 137 + 1 / 6), (36, 138.5), (36, 139 + 5 / 6), (40, 140 + 5 / 6), (44, 140.25), (44, 142.25), (44, 144.25), (26, 142), (26, 127.5), (26, 124), (26, 131), (20, 136), (26, 154))
+
+
+def _mercator_of(epsg: int) -> dict[str, float] | None:
+    """The transverse Mercator's numbers of a UTM zone or a plane."""
+    if 32600 < epsg <= 32660 or 32700 < epsg <= 32760:
+        return {"lon0": epsg % 100 * 6 - 183, "north": 10000000.0 if epsg > 32700 else 0.0}
+    if 6669 <= epsg < 6669 + len(PLANES):
+        lat0, lon0 = PLANES[epsg - 6669]
+        return {"lon0": lon0, "lat0": float(lat0), "k0": 0.9999, "east": 0.0}
+    return None
+
+
 def reprojected(x: Column, y: Column, source: int, target: int) -> tuple[Column, Column]:
-    """Coordinates in another CRS, through longitude and latitude. Known are degrees (4326), Web Mercator (3857), UTM, and as a target the survey's plane (6676)."""
+    """Coordinates in another CRS, through longitude and latitude. Known are degrees (4326), Web Mercator (3857), UTM, and the survey's planes (6669 to 6687)."""
     if source == target:
         return x, y
-    if 32600 < source <= 32660 or 32700 < source <= 32760:
-        lon, lat = utm_lonlat(x, y, source % 100, south=source > 32700)
-    elif source in (4326, 3857):
+    if source in (4326, 3857):
         lon, lat = (x, y) if source == 4326 else mercator_lonlat(x, y)
+    elif of := _mercator_of(source):
+        lon, lat = transverse_lonlat(x, y, **of)
     else:
         raise ValueError(f"no way from EPSG:{source}")
     if target == 4326:
         return lon, lat
     if target == 3857:
         return lonlat_mercator(lon, lat)
-    if 32600 < target <= 32660 or 32700 < target <= 32760:
-        return transverse_mercator(lon, lat, target % 100 * 6 - 183, north=10000000.0 if target > 32700 else 0.0)
-    if target == 6676:
-        return transverse_mercator(lon, lat, 138.5, 36.0, 0.9999, 0.0)
+    if of := _mercator_of(target):
+        return transverse_mercator(lon, lat, **of)
     raise ValueError(f"no way to EPSG:{target}")
 
 
@@ -235,12 +247,25 @@ def utm_epsg(lon: Column, lat: Column) -> Column:
     return F.when(lat >= 0, 32600 + utm_zone(lon)).otherwise(32700 + utm_zone(lon))
 
 
-def transverse_mercator(lon: Column, lat: Column, lon0: float, lat0: float = 0.0, k0: float = 0.9996, east: float = 500000.0, north: float = 0.0) -> tuple[Column, Column]:
-    """Easting and northing on GRS80/WGS84 by the third-order series in the flattening (Krueger)."""
+def _series() -> tuple[float, float, tuple[float, float, float]]:
+    """Third flattening, radius and the forward coefficients on GRS80/WGS84 (Krueger, third order)."""
     f = 1 / 298.257222101
     n = f / (2 - f)
     a = 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
-    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    return n, a, (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+
+
+def _meridian(lat0: float) -> float:
+    """Length of the meridian from the equator to a latitude, in radii."""
+    n, _, alpha = _series()
+    e, p0 = 2 * math.sqrt(n) / (1 + n), math.radians(lat0)
+    y0 = math.atan(math.sinh(math.atanh(math.sin(p0)) - e * math.atanh(e * math.sin(p0))))
+    return y0 + sum(aj * math.sin(2 * j * y0) for j, aj in enumerate(alpha, 1))
+
+
+def transverse_mercator(lon: Column, lat: Column, lon0: float, lat0: float = 0.0, k0: float = 0.9996, east: float = 500000.0, north: float = 0.0) -> tuple[Column, Column]:
+    """Easting and northing by the series in the third flattening."""
+    n, a, alpha = _series()
     e = 2 * math.sqrt(n) / (1 + n)
     phi, lam = F.radians(lat), F.radians(lon - lon0)
     t = F.sinh(F.atanh(F.sin(phi)) - e * F.atanh(e * F.sin(phi)))
@@ -249,11 +274,7 @@ def transverse_mercator(lon: Column, lat: Column, lon0: float, lat0: float = 0.0
     for j, aj in enumerate(alpha, 1):
         x = x + aj * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
         y = y + aj * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-    p0 = math.radians(lat0)
-    t0 = math.sinh(math.atanh(math.sin(p0)) - e * math.atanh(e * math.sin(p0)))
-    y0 = math.atan(t0)
-    m0 = y0 + sum(aj * math.sin(2 * j * y0) for j, aj in enumerate(alpha, 1))
-    return east + k0 * a * x, north + k0 * a * (y - m0)
+    return east + k0 * a * x, north + k0 * a * (y - _meridian(lat0))
 
 
 def mercator_lonlat(x: Column, y: Column) -> tuple[Column, Column]:
@@ -267,14 +288,12 @@ def lonlat_mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
     return lon / 180.0 * w, F.log(F.tan(F.radians(45 + lat / 2))) / math.pi * w
 
 
-def utm_lonlat(e: Column, n: Column, zone: int, south: bool = False) -> tuple[Column, Column]:
-    """Longitude and latitude of UTM metres, by the inverse series."""
-    f = 1 / 298.257222101
-    m = f / (2 - f)
-    a = 6378137.0 / (1 + m) * (1 + m**2 / 4 + m**4 / 64)
+def transverse_lonlat(e: Column, n: Column, lon0: float, lat0: float = 0.0, k0: float = 0.9996, east: float = 500000.0, north: float = 0.0) -> tuple[Column, Column]:
+    """Longitude and latitude of a transverse Mercator with an origin and a scale of its own, by the inverse series."""
+    m, a, _ = _series()
     beta = (m / 2 - 2 * m**2 / 3 + 37 * m**3 / 96, m**2 / 48 + m**3 / 15, 17 * m**3 / 480)
     delta = (2 * m - 2 * m**2 / 3 - 2 * m**3, 7 * m**2 / 3 - 8 * m**3 / 5, 56 * m**3 / 15)
-    xi, eta = (n - (10000000.0 if south else 0.0)) / (0.9996 * a), (e - 500000.0) / (0.9996 * a)
+    xi, eta = (n - north) / (k0 * a) + _meridian(lat0), (e - east) / (k0 * a)
     x, y = xi, eta
     for j, b in enumerate(beta, 1):
         x = x - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
@@ -283,10 +302,14 @@ def utm_lonlat(e: Column, n: Column, zone: int, south: bool = False) -> tuple[Co
     phi = chi
     for j, d in enumerate(delta, 1):
         phi = phi + d * F.sin(2 * j * chi)
-    lon0 = zone * 6 - 183
     return lon0 + F.degrees(F.atan2(F.sinh(y), F.cos(x))), F.degrees(phi)
 
 
+def utm_lonlat(e: Column, n: Column, zone: int, south: bool = False) -> tuple[Column, Column]:
+    """Longitude and latitude of UTM metres."""
+    return transverse_lonlat(e, n, zone * 6 - 183, north=10000000.0 if south else 0.0)
+
+
 def utm_target(spark: SparkSession, meta: GridMeta, zone: int, cell: float) -> GridMeta:
     """The UTM grid, on multiples of its cell, that covers a whole Web Mercator grid: its border's extent."""
     down, across = 2 * (meta.rows + 1), 2 * (meta.cols + 1)

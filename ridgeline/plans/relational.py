@@ -9,7 +9,7 @@ from ridgeline.functions import style
 from ridgeline.functions import tiles as tf
 from ridgeline.grid import GridMeta, info_text
 from ridgeline.operators import points as pt
-from ridgeline.operators import rasters, runs, tiles
+from ridgeline.operators import extents, rasters, runs, tiles, warp
 from ridgeline.plans import fixtures as fx
 
 QUERIES, ORACLES = {}, {}
@@ -129,6 +129,18 @@ def bbox_overlap(spark, sf_dir: str) -> DataFrame:
     return _extents(spark, sf_dir).select("k", rasters.overlaps(a, view).alias("hit"), rasters.outside_by_pixels(a, around).alias("outside"))
 
 
+_VIEWS = "views AS (SELECT s_suppkey AS v, (s_suppkey * 37 % 500)::DOUBLE AS xmin, (s_suppkey * 53 % 330)::DOUBLE AS ymin, s_suppkey * 37 % 500 + pow(2.0, s_suppkey % 9) AS xmax, s_suppkey * 53 % 330 + pow(2.0, s_suppkey % 7) AS ymax FROM supplier)"
+
+
+@query(f"WITH {_EXTENTS}, {_VIEWS} SELECT k, v FROM ext e JOIN views w ON NOT (e.xmax < w.xmin OR e.xmin > w.xmax OR e.ymax < w.ymin OR e.ymin > w.ymax)")
+def extent_overlap_join(spark, sf_dir: str) -> DataFrame:
+    """Extents against views of 1 to 256 units across: the pairs that touch."""
+    k = F.col("s_suppkey")
+    x, y = (k * 37 % 500).cast("double"), (k * 53 % 330).cast("double")
+    views = fx.table(spark, sf_dir, "supplier").select(k.alias("v"), x.alias("xmin"), y.alias("ymin"), (x + F.pow(F.lit(2.0), k % 9)).alias("xmax"), (y + F.pow(F.lit(2.0), k % 7)).alias("ymax"))
+    return extents.overlap_join(_extents(spark, sf_dir), views).select("k", "v")
+
+
 @query(f"WITH {_EXTENTS} SELECT min(xmin) AS xmin, min(ymin) AS ymin, max(xmax) AS xmax, max(ymax) AS ymax FROM ext")
 def extent_union(spark, sf_dir: str) -> DataFrame:
     return rasters.extent_union(_extents(spark, sf_dir))
@@ -422,3 +434,31 @@ def reproject_utm_whole(spark, sf_dir: str) -> DataFrame:
     source = GridMeta(fx.dem_meta(spark, sf_dir).rows, fx.COLS, 5.0, 15551000.0, 4244000.0, 5.0, -5.0, 3857)
     out = rasters.reproject_to_utm(fx.dem(spark, sf_dir), source, 54, rasters.utm_target(spark, source, 54, 4.0))
     return out.select("r", "c", _r("z", 3).alias("z"))
+
+
+# A second file in the survey's plane, whose cells lie among the first's; forward series as in rasters.transverse_mercator (origin 36, 138.5, scale 0.9999).
+_PLANE_X0, _PLANE_Y0 = 108600.0, -45300.0
+_PLANE_SQL = """w AS (SELECT l.r, l.c, (lon / 180 * 20037508.342789244::DOUBLE - 15551000) / 5 AS fc, (ln(tan(radians(45 + lat / 2))) / pi() * 20037508.342789244::DOUBLE - 4244000) / -5 AS fr,
+  radians(lon - 138.5) AS lam, sin(radians(lat)) AS s, 2 * sqrt(k.n) / (1 + k.n) AS e, k.* EXCLUDE (b1, b2, b3, d1, d2, d3) FROM l, (SELECT k.*, m.n FROM k, m) k),
+o AS (SELECT sin(radians(36.0::DOUBLE)) AS s, 2 * sqrt(n) / (1 + n) AS e, n, n / 2 - 2 * n * n / 3 + 5 * n * n * n / 16 AS a1, 13 * n * n / 48 - 3 * n * n * n / 5 AS a2, 61 * n * n * n / 240 AS a3 FROM m),
+o1 AS (SELECT *, atan(sinh(0.5 * ln((1 + s) / (1 - s)) - e * 0.5 * ln((1 + e * s) / (1 - e * s)))) AS y0 FROM o),
+o2 AS (SELECT a1, a2, a3, y0 + a1 * sin(2 * y0) + a2 * sin(4 * y0) + a3 * sin(6 * y0) AS m0 FROM o1),
+wt AS (SELECT *, sinh(0.5 * ln((1 + s) / (1 - s)) - e * 0.5 * ln((1 + e * s) / (1 - e * s))) AS t FROM w),
+wx AS (SELECT *, atan2(t, cos(lam)) AS xi, 0.5 * ln((1 + sin(lam) / sqrt(1 + t * t)) / (1 - sin(lam) / sqrt(1 + t * t))) AS eta FROM wt),
+pl AS (SELECT r, c, fr, fc, (0.9999 / 0.9996) * a * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta)) AS px,
+  (0.9999 / 0.9996) * a * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta) - m0) AS py FROM wx, o2)"""
+
+
+@query(
+    f"{_DEM}, {_WHOLE_UTM_SQL}, {_PLANE_SQL}, q AS (SELECT r, c, floor(fr)::BIGINT AS ar, floor(fc)::BIGINT AS ac, floor((py - {_PLANE_Y0}) / -3)::BIGINT AS br, floor((px - {_PLANE_X0}) / 3)::BIGINT AS bc FROM pl), "
+    "b AS (SELECT r, c, z + 1000 AS z FROM dem WHERE c < 60) SELECT q.r::INTEGER AS r, q.c::INTEGER AS c, round(coalesce(b.z, a.z), 6) AS z FROM q LEFT JOIN dem a ON a.r = ar AND a.c = ac LEFT JOIN b ON b.r = br AND b.c = bc WHERE a.r IS NOT NULL OR b.r IS NOT NULL"
+)
+def mosaic_mixed_crs(spark, sf_dir: str) -> DataFrame:
+    """A file in Web Mercator and one in the survey's plane as one grid of UTM zone 54; where they overlap the second wins."""
+    dem = fx.dem(spark, sf_dir)
+    first = GridMeta(fx.dem_meta(spark, sf_dir).rows, fx.COLS, 5.0, 15551000.0, 4244000.0, 5.0, -5.0, 3857)
+    second = GridMeta(first.rows, 60, 3.0, _PLANE_X0, _PLANE_Y0, 3.0, -3.0, 6676)
+    cells = dem.withColumn("path", F.lit("a")).unionByName(dem.filter("c < 60").withColumns({"path": F.lit("b"), "z": F.col("z") + 1000}))
+    catalogue = warp.catalogue_of(spark, {"a": first, "b": second})
+    out = rasters.mosaic(warp.warped(cells, catalogue, rasters.utm_target(spark, first, 54, 4.0)), order="path")
+    return out.select("r", "c", _r("z").alias("z"))
