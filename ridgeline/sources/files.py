@@ -79,3 +79,17 @@ def remove(folder: str) -> None:
     files, path = _at(folder)
     if files.get_file_info(path).type == fs.FileType.Directory:
         files.delete_dir(path)
+
+
+def names_in(folder: str) -> list[str]:
+    """Names of what a folder holds; none where it isn't there."""
+    files, path = _at(folder)
+    return sorted(i.base_name for i in files.get_file_info(fs.FileSelector(path, allow_not_found=True)))
+
+
+def size_of(path: str) -> int:
+    files, inner = _at(path)
+    info = files.get_file_info(inner)
+    if info.type != fs.FileType.File:
+        raise FileNotFoundError(path)
+    return info.size

@@ -10,6 +10,8 @@ from datetime import datetime
 
 import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ridgeline.functions import style
@@ -20,6 +22,7 @@ from ridgeline.operators import rasters, runs, tiles
 from ridgeline.operators.rasters import merge, rebase
 from ridgeline.plans import store
 from ridgeline.plans.analysis import AnalysisParams, analyse
+from ridgeline.sources import bundle
 from ridgeline.sources import cells as store_cells
 from ridgeline.sources import files, onefile
 from ridgeline.sources import raster as rs
@@ -349,6 +352,35 @@ def test_one_geotiff(spark, tmp_path):
     assert sorted(p.name for p in tmp_path.iterdir()) == ["classic.tif", "large.tif", "one.tif"]
 
 
+@given(st.binary(max_size=300), st.binary(max_size=300))
+def test_joined_checksums(a, b):
+    assert bundle.crc_joined(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+
+
+@pytest.mark.parametrize("long", [0xFFFFFFFF, 3000])
+def test_export_bundle(spark, tmp_path, long):
+    """Python's own reader takes a bundle of stretches, short and long."""
+    rng = np.random.default_rng(7)
+    made = {"dem/dtm.tif": rng.integers(0, 9, 10_000).astype("u1").tobytes(), "dem/größe.bin": rng.bytes(4096), "empty": b"", "one": b"x"}
+    paths = {}
+    for k, (name, data) in enumerate(made.items()):
+        (tmp_path / f"{k}.dat").write_bytes(data)
+        paths[name] = f"file://{tmp_path}/{k}.dat" if k % 2 else f"{tmp_path}/{k}.dat"
+    folder = tmp_path / "zip"
+    for name in ("x_20240131-all.zip", "x_20240131_2-all.zip", "x_20240131_3-all.zip"):
+        assert bundle.counted_name(str(folder), "x", datetime(2024, 1, 31)) == name
+        path = f"{folder}/{name}"
+        size = bundle.export_bundle(spark, path, paths, {"las_sources.json": "{}", "README.txt": "ü" * 4000}, stretch=1024, long=long)
+        assert (folder / name).stat().st_size == size
+        with zipfile.ZipFile(path) as f:
+            assert f.testzip() is None
+            assert {n: f.read(n) for n in f.namelist()} == made | {"las_sources.json": b"{}", "README.txt": ("ü" * 4000).encode()}
+    with pytest.raises(FileNotFoundError):
+        bundle.export_bundle(spark, f"{folder}/y.zip", {"a": f"{tmp_path}/missing"})
+    assert bundle.export_bundle(spark, f"{folder}/z.zip", {}) == 22 and zipfile.ZipFile(folder / "z.zip").namelist() == []
+    assert sorted(p.name for p in folder.iterdir()) == ["x_20240131-all.zip", "x_20240131_2-all.zip", "x_20240131_3-all.zip", "z.zip"]
+
+
 def test_stored_cells(spark, tmp_path):
     z = np.random.default_rng(6).normal(size=(60, 70))
     meta, path = GridMeta(60, 70, 1.0, 100.0, 500.0, 1.0, -1.0), f"{tmp_path}/cells"
