@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 HALF_WORLD = 20037508.3428
 TILE_WIDTH, TILE_HEIGHT = 400, 300
-#: Elevation tile sources in order of resolution: encoding, zooms (fixed values).
-SOURCES = {"gsi": (17, 15, 14), "terrarium": (14, 13, 12)}
+#: Elevation tile sources in order of resolution, by encoding: label and zoom (fixed values).
+REGISTRY = {"gsi": (("DEM1A 1m", 17), ("DEM5A 5m", 15), ("DEM10B 10m", 14)), "terrarium": (("Terrarium ~2m", 14), ("Terrarium ~5m", 13), ("Terrarium ~10m", 12))}
 MAX_PIXELS = 100_000_000
 
 

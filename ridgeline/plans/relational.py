@@ -395,6 +395,37 @@ def zone_styles(spark, sf_dir: str) -> DataFrame:
     return _stored(spark, sf_dir).withColumn("f", style.zone_fill(F.col("layer"))).filter("f IS NOT NULL").select("k", "layer", *[F.col("f")[x].alias(x) for x in "rgba"])
 
 
+# Extents of some thousandths of a degree, and tiles of three sources scattered among them.
+_REACH = """ext AS (SELECT p_partkey AS ext_id, 138.0 + p_partkey % 97 * 0.01 AS xmin, 35.0 + p_partkey * 7 % 89 * 0.01 AS ymin, 138.0 + p_partkey % 97 * 0.01 + p_size * 0.0002 AS xmax, 35.0 + p_partkey * 7 % 89 * 0.01 + p_size * 0.0001 AS ymax FROM part),
+src AS (SELECT * FROM (VALUES ('DEM1A 1m', 17, 0), ('DEM5A 5m', 15, 1), ('DEM10B 10m', 14, 2)) t(source, zoom, priority)),
+av AS (SELECT DISTINCT source, ((115780 + o_orderkey * 7 % 364) >> (17 - zoom))::BIGINT AS tx, ((51400 + o_custkey * 13 % 460) >> (17 - zoom))::BIGINT AS ty FROM orders JOIN src ON priority = o_orderkey % 23),
+rg AS (SELECT ext_id, src.*, trunc((xmin + 180) / 360 * (1 << zoom))::BIGINT AS x0, trunc((xmax + 180) / 360 * (1 << zoom))::BIGINT AS x1,
+  trunc((1 - ln(tan(radians(ymax)) + 1 / cos(radians(ymax))) / pi()) / 2 * (1 << zoom))::BIGINT AS y0, trunc((1 - ln(tan(radians(ymin)) + 1 / cos(radians(ymin))) / pi()) / 2 * (1 << zoom))::BIGINT AS y1 FROM ext, src)"""
+
+
+def _reach(spark, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    k, size = F.col("p_partkey"), F.col("p_size")
+    x, y = F.lit(138.0) + k % 97 * 0.01, F.lit(35.0) + k * 7 % 89 * 0.01
+    extents_ = fx.table(spark, sf_dir, "part").select(k.alias("ext_id"), x.alias("xmin"), y.alias("ymin"), (x + size * 0.0002).alias("xmax"), (y + size * 0.0001).alias("ymax"))
+    sources = tiles.registry(spark)
+    o = F.col("o_orderkey")
+    placed = fx.table(spark, sf_dir, "orders").withColumn("priority", (o % 23).cast("int")).join(F.broadcast(sources), "priority")  # three rows
+    shift = lambda v: F.floor(v / F.pow(F.lit(2.0), 17 - F.col("zoom"))).cast("long")
+    return extents_, placed.select("source", shift(115780 + o * 7 % 364).alias("tx"), shift(51400 + F.col("o_custkey") * 13 % 460).alias("ty")), sources
+
+
+@query(f"WITH {_REACH}, m AS (SELECT ext_id, priority, source, zoom, x0, y0, x1, y1, count(*) AS found FROM rg JOIN av USING (source) WHERE tx BETWEEN x0 AND x1 AND ty BETWEEN y0 AND y1 GROUP BY ALL), b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY ext_id ORDER BY priority) = 1) SELECT ext.ext_id, source, coalesce(zoom, -1) AS zoom, coalesce(x0, -1) AS x0, coalesce(y0, -1) AS y0, coalesce(x1, -1) AS x1, coalesce(y1, -1) AS y1, coalesce(found, 0) AS found FROM ext LEFT JOIN b ON b.ext_id = ext.ext_id")
+def source_of_extents(spark, sf_dir: str) -> DataFrame:
+    """The source that each extent falls back to; -1 and 0 where there is none."""
+    return tiles.source_of_extents(*_reach(spark, sf_dir)).fillna(-1, ["zoom", "x0", "y0", "x1", "y1"]).fillna(0, ["found"])
+
+
+@query(f"WITH {_REACH}, t AS (SELECT ext_id, tx, ty FROM rg, unnest(range(x0, x1 + 1)) p(tx), unnest(range(y0, y1 + 1)) q(ty) WHERE zoom = 17), m AS (SELECT ext_id, t.tx, t.ty, src.source, zoom, priority, av.tx AS sx, av.ty AS sy FROM t CROSS JOIN src JOIN av ON av.source = src.source AND av.tx = t.tx >> (17 - zoom) AND av.ty = t.ty >> (17 - zoom)) SELECT ext_id, tx, ty, source, zoom, sx, sy FROM m QUALIFY row_number() OVER (PARTITION BY ext_id, tx, ty ORDER BY priority) = 1")
+def finest_cover(spark, sf_dir: str) -> DataFrame:
+    """The finest tile there is for each tile of the finest zoom."""
+    return tiles.finest_cover(*_reach(spark, sf_dir))
+
+
 # The inverse series' coefficients for the ellipsoid (see rasters.utm_lonlat), spelled out for SQL.
 _UTM_SQL = """m AS (SELECT 0.0016792203946287448::DOUBLE AS n),
 k AS (SELECT n / 2 - 2 * n * n / 3 + 37 * n * n * n / 96 AS b1, n * n / 48 + n * n * n / 15 AS b2, 17 * n * n * n / 480 AS b3, 2 * n - 2 * n * n / 3 - 2 * n * n * n AS d1, 7 * n * n / 3 - 8 * n * n * n / 5 AS d2, 56 * n * n * n / 15 AS d3, 0.9996 * 6378137.0 / (1 + n) * (1 + n * n / 4 + n * n * n * n / 64) AS a FROM m),
