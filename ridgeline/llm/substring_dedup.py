@@ -13,9 +13,11 @@
    one task by anchor. There a Burrows-Wheeler transform of the runs' bytes is expanded
    to the classes of suffixes with ``length`` common bytes (see ``bwt``), and all but the
    earliest window of a class repeat.
-5. An anchor with more than ``HOT`` classes is parted first: its windows by their place
-   about the anchor and by the bytes that all windows of that place share, 86 of 100 with
-   four ranges of places. The parts go through the same transform.
+5. An anchor with more than ``HOT`` classes is parted first: its windows by ranges of
+   their place about the anchor and by the bytes that all windows of a range share, 86 of
+   100 with four ranges. Parts that still have more than ``HOT`` runs are parted again by
+   finer ranges, and at last by single places, where the shared bytes are the whole window:
+   those are grouped by their bytes. All other parts go through the same transform.
 6. Each document's repeated ranges are united and cut out.
 
 Texts are UTF-8 bytes; null counts as empty; windows never cross documents. Order is by
@@ -43,8 +45,8 @@ from ridgeline.llm.shingles import BYTE_HASH, power_tables, mix64, slices
 from ridgeline.storage import in_groups, materialise
 
 KMER = 40
-#: Classes of an anchor beyond which its runs are parted by further bytes, and into how many ranges of places.
-HOT, RANGES = 2000, 4
+#: Classes of an anchor beyond which its runs are parted by further bytes, and into how many ranges of places, round by round; then by single places.
+HOT, RANGES = 2000, (4, 16)
 _NO_ID = -(1 << 63)
 _TEXT_BYTES = 1 << 20
 _END = 255  # a byte that UTF-8 never has
@@ -214,7 +216,27 @@ def _by_transform(runs: DataFrame, length: int, size: int) -> DataFrame:
     return in_groups(runs.select("anchor", "doc", "sub", "start", "windows", "bytes"), "anchor", size).mapInArrow(expand, _RANGE)
 
 
-def _split(runs: DataFrame, length: int) -> DataFrame:
+def _placed(runs: DataFrame, length: int) -> DataFrame:
+    """Runs with bytes, and where in them their anchor is."""
+    places = length - KMER + 1
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for anchor, data in zip(batch.column(0).to_pylist(), batch.column(5).to_pylist(), strict=True):
+                _, sums, down = _sums([data[:length]])
+                kmers = mix64((sums[KMER:] - sums[:-KMER]) * down[:places])
+                top = np.uint64(32)
+                found.append(int(np.argmax(kmers >> top == np.array([anchor], np.int64).view(np.uint64)[0] >> top)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int32())], [*batch.schema.names, "at"])
+
+    return runs.select("anchor", "doc", "sub", "start", "windows", "bytes").mapInArrow(find, _PART)
+
+
+_PART = "anchor long, doc long, sub long, start long, windows int, bytes binary, at int"
+
+
+def _split(runs: DataFrame, length: int, ranges: int) -> DataFrame:
     """Runs with bytes to shorter runs, each under a key of further bytes in place of its anchor.
 
     A window's place is the distance of its anchor from its start. All windows of a range
@@ -222,28 +244,40 @@ def _split(runs: DataFrame, length: int) -> DataFrame:
     equal windows still meet, and those that differ in the stretch part.
     """
     places = length - KMER + 1
-    edges = [places * k // RANGES for k in range(RANGES + 1)]
+    edges = [places * k // ranges for k in range(ranges + 1)]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for anchor, doc, sub, start, windows, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                _, sums, down = _sums([data[:length]])
-                kmers = mix64((sums[KMER:] - sums[:-KMER]) * down[:places])
-                top = np.uint64(32)
-                at = int(np.argmax(kmers >> top == np.array([anchor], np.int64).view(np.uint64)[0] >> top))
+            for anchor, doc, sub, start, windows, data, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for lo, hi in zip(edges, edges[1:], strict=False):
                     first, last = max(0, at - hi + 1), min(windows, at - lo + 1)
                     if first < last:
                         stretch = data[at - lo : at + length - hi + 1]
                         key = hashlib.blake2b(stretch + bytes([lo]), digest_size=8, key=anchor.to_bytes(8, "little", signed=True)).digest()
-                        rows.append((int.from_bytes(key, "little", signed=True), doc, sub, start + first, last - first, data[first : last - 1 + length]))
-            c = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = [pa.int64()] * 4 + [pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(c, kinds, strict=True)], ["anchor", "doc", "sub", "start", "windows", "bytes"])
-
-    rows = runs.select("anchor", "doc", "sub", "start", "windows", "bytes")
-    return rows.mapInArrow(cut, "anchor long, doc long, sub long, start long, windows int, bytes binary")
+                        rows.append((int.from_bytes(key, "little", signed=True), doc, sub, start + first, last - first, data[first : last - 1 + length], at - first))
+            c = list(zip(*rows, strict=True)) or [()] * 7
+            kinds = [pa.int64()] * 4 + [pa.int32(), pa.binary(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(c, kinds, strict=True)], ["anchor", "doc", "sub", "start", "windows", "bytes", "at"])
+
+    return runs.mapInArrow(cut, _PART)
+
+
+def _parted(crowded: DataFrame, length: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Crowded runs with bytes, as parts of ``HOT`` runs at most by key, and as ranges of those that no range of places parts."""
+    calm, parts = [], _placed(crowded, length)
+    for ranges in RANGES:
+        parts = materialise(_split(parts, length, ranges), "repeat-parts")
+        hot = materialise(parts.groupBy("anchor").count().filter(F.col("count") > HOT).select("anchor"), "repeat-hot")
+        calm.append(parts.join(hot, "anchor", "left_anti").select("anchor", "doc", "sub", "start", "windows", "bytes"))
+        if hot.isEmpty():
+            return calm, []
+        parts = parts.join(hot, "anchor", "left_semi").select("anchor", "doc", "sub", "start", "windows", "bytes", "at")
+    # Single windows: those of equal bytes are one class.
+    alone, place = materialise(_split(parts, length, length - KMER + 1), "repeat-windows"), F.struct("doc", "sub", "start")
+    firsts = alone.groupBy("anchor", "bytes").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    later = alone.join(firsts, ["anchor", "bytes"]).filter(place != F.col("first"))
+    return calm, [later.select("doc", "sub", "start", (F.col("start") + length).alias("stop"))]
 
 
 def repeated_ranges(docs: DataFrame, length: int = 100) -> DataFrame:
@@ -256,8 +290,13 @@ def repeated_ranges(docs: DataFrame, length: int = 100) -> DataFrame:
     crowds = firsts.groupBy("anchor").agg(F.count("*").alias("classes")).filter("classes > 1")
     wanted = materialise(firsts.join(crowds, "anchor").select("anchor", "content", "first.*", "windows", "classes"), "repeat-crowds")
     runs = materialise(_with_bytes(docs, wanted, length), "repeat-bytes")
-    parts = runs.filter(F.col("classes") <= HOT).drop("content", "classes").unionByName(_split(runs.filter(F.col("classes") > HOT), length))
+    parts, crowded = runs.filter(F.col("classes") <= HOT).drop("content", "classes"), runs.filter(F.col("classes") > HOT)
+    calm, settled = ([], []) if crowded.isEmpty() else _parted(crowded, length)
+    for part in calm:
+        parts = parts.unionByName(part)
     ranges = later.unionByName(_by_transform(parts, length, runs.count() * 2 * length))
+    for more in settled:
+        ranges = ranges.unionByName(more)
     return ranges
 
 

@@ -56,7 +56,7 @@ def corpus(rng):
     return texts
 
 
-@pytest.mark.parametrize("hot", [2000, 3])
+@pytest.mark.parametrize("hot", [2000, 3, 0])
 def test_against_all_windows(spark, hot, monkeypatch):
     rng = random.Random(8)
     texts = corpus(rng)
@@ -87,3 +87,20 @@ def test_repeated_rows(spark):
     first = zlib.crc32(a.encode()) < zlib.crc32((b + a).encode())
     assert got == {(1, 300): {0 if first else 300}, (1, 600): {300 if first else 0}, (2, 300): {300}}
     assert sd.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_parts_that_stay_crowded(spark, monkeypatch):
+    """One stretch of 86 bytes, then a counter: a second round parts them."""
+    monkeypatch.setattr(sd, "HOT", 20)
+    rng = random.Random(3)
+    stretch = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(86))
+    rows = [(k, f"{rng.random()}" * 3 + stretch + f"{k % 90:04d}" * 12) for k in range(120)]
+    split, rounds = sd._split, []
+    monkeypatch.setattr(sd, "_split", lambda runs, length, ranges: (rounds.append(ranges), split(runs, length, ranges))[1])
+    truth = brute(rows, 100)
+    for r in sd.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        mask = np.zeros(r.n_bytes, bool)
+        for s in r.spans:
+            mask[s.start : s.stop] = True
+        assert np.array_equal(mask, truth[r.id]), r.id
+    assert rounds == [4, 16]
