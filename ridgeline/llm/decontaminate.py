@@ -22,7 +22,10 @@ A short item, or one of common words, can stay under any cosine in a passage tha
 it whole. So a passage also goes on to an item if the words around it have, in any
 order and each as often as the item at most, as many of the item's rarest words as the
 rule below can't do without. Thus every pair of passage and item that meets the rule is
-looked at, and frequent words cost nothing.
+looked at, and frequent words cost nothing. It follows that the latent search adds no pair
+to the result: what it gives is each pair's ``cosine``, a closeness of the whole passage
+to the item that the subsequence doesn't tell, by which findings can be sorted or held to
+a stricter threshold.
 
 In the words around a passage the longest common subsequence with the item is taken.
 The document holds the item if the subsequence has ``strict`` of the item's words, or

@@ -72,8 +72,8 @@ def test_leaks_and_paraphrases(spark, corpus):
             best = max(lcs(w[s : s + 2 * len(x) + dc.PASSAGE], x) for s in range(0, len(w), 24)) / len(x)
             if best >= 0.8:
                 brute.add((k, i))
-    assert len(got & brute) >= 0.97 * len(brute)  # measured recall
-    assert len(got & truth) >= 0.97 * len(truth)
+    assert got >= brute
+    assert len(got & truth) >= 0.97 * len(truth)  # a planted paraphrase may keep fewer words than the rule asks for
     assert not {k for k, _ in got} - {k for k, _ in truth}
     clean = dc.drop_contaminated(d, b)
     assert clean.columns == d.columns
@@ -84,10 +84,10 @@ def test_recall_does_not_hang_on_rank_or_blocks(spark, corpus, monkeypatch):
     items, docs, truth = corpus
     d, b = frames(spark, items, docs)
     full = {(r.id, r.item_id) for r in dc.find_items(d, b).collect()}
-    assert {(r.id, r.item_id) for r in dc.find_items(d, b, rank=8).collect()} >= full
+    assert {(r.id, r.item_id) for r in dc.find_items(d, b, rank=8).collect()} == full
     monkeypatch.setattr(dc, "BLOCK_ITEMS", 11)
     some = {(r.id, r.item_id) for r in dc.find_items(d, b).collect()}
-    assert len(some & full) >= 0.97 * len(full)
+    assert some == full
 
 
 def test_edges(spark):
