@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ridgeline.llm import blobs
 from ridgeline.llm.direct_codes import ShardReader, ShardWriter
 from ridgeline.llm.wordcodes import WordEncoder
-from ridgeline.storage import materialise, scratch
+from ridgeline.storage import enough, materialise, scratch
 
 #: Bytes of text that are encoded at once; a longer text makes a slice of its own.
 SLICE_BYTES = 1 << 20
@@ -61,7 +61,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str, id_c
             yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "file": [name], "n_docs": pa.array([len(writer.docs)], pa.int64()), "n_tokens": pa.array([total], pa.int64())})
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ranged = rows.repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"))
+    spark, order = docs.sparkSession, ("id", F.xxhash64("text"))
+    # A task gets 64 MB of text, about: adaptive execution never raises a number of partitions.
+    parts = enough(spark, rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    more = parts > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = (rows.repartitionByRange(parts, *order) if more else rows.repartitionByRange(*order)).sortWithinPartitions(*order)
     files = materialise(ranged.mapInArrow(write, "part int, file string, n_docs long, n_tokens long"), "token-files")
     before = F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     # One row a file: this window is over the manifest alone.
