@@ -43,7 +43,7 @@ _BLOCKED = {
 }
 _ORDINARY = """museum library garden weather history theatre bakery station school recipes travel earth science mountain cathedral health river forest music
 poetry football cooking knitting railway harbour village council church hospital university physics chemistry biology letters culture orchard sailing cycling hiking
-camera pottery authors sister children lighthouse education tradition exhibition nutrition translation foundation farm market news journal review magazine gallery
+camera pottery authors sister children lighthouse education tradition exhibition nutrition translation foundation harvest market news journal review magazine gallery
 studio academy institute society club energy climate animals birds flowers kitchen furniture design fashion cinema radio podcast software developer database network
 engine bridge tunnel airport hotel island beach winter summer family parents teacher student law justice parliament election policy budget tax insurance bank
 economy industry steel paper textile ocean planet galaxy atom protein vaccine clinic dentist""".split()
