@@ -6,12 +6,12 @@ inner product with one, so it only counts in a passage's length (with the mean w
 of an item's word). Document frequencies are counted over all documents.
 
 The latent space is a randomised SVD, distributed over Spark tasks: each returns its
-part of A'A times a random matrix and, for the resulting basis Q, of (AQ)'(AQ). A has
-passages of about ``FIT_DOCUMENTS`` documents, chosen by hash, and the items, weighted
-to a thousand times their energy: the space holds the items nearly whole, and its cosine
-comes near the plain one. (A space of the corpus's own directions was tried and can't
-tell the items' passages from others here; the README has the figures.) Only this basis
-is fitted on a sample; the search covers every passage of every document.
+part of A'A times a random matrix W in blocks of rows that further tasks add up; the
+singular vectors follow from A'AW and W'A'AW (Nystrom), so one pass does. A has every
+passage of every document, and the items, weighted to a thousand times the passages' energy: the space holds the items
+nearly whole, and its cosine comes near the plain one. (A space of the corpus's own
+directions was tried and can't tell the items' passages from others here; the README has
+the figures.) Nothing is fitted on a sample.
 
 A passage goes on to an item if its cosine in the latent space, plus the most that the
 parts outside the space can add (the product of their lengths), reaches ``min_cosine``.
@@ -42,7 +42,7 @@ rows of their own. Empty tables give an empty result. Other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
 
@@ -51,7 +51,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.storage import materialise
+from ridgeline.llm.batches import in_slices, small_batches
+from ridgeline.storage import TASK_BYTES, materialise
 
 PASSAGE, STRIDE, LONG = 48, 24, 64
 #: Items of fewer words are found as phrases.
@@ -60,12 +61,19 @@ MIN_WORDS = 5
 SPARE = 8
 #: Items, and bytes of their texts, that are searched for in one pass over the corpus, about; further ones take further passes.
 BLOCK_ITEMS, BLOCK_BYTES = 512, 200_000
-FIT_DOCUMENTS, FIT_PARTS = 4000, 8
 OVERSAMPLE = 8
-#: The items' energy in the fit, as a multiple of the sampled passages'.
+#: The items' energy in the fit, as a multiple of the passages'.
 ITEM_WEIGHT = 1000.0
 MAX_RANK = 640
 _SLICE_WORDS = 20_000
+#: Passages that are energised at once, and those among them that are counted as one matrix: few, so that they have few different words.
+_SLICE_PASSAGES, _NEAR_PASSAGES = 1024, 64
+#: Bytes of a word with its white space, about.
+_WORD_BYTES = 7
+#: Share of the largest singular value's square under which rounding decides.
+_NOISE = 1e-7
+#: Rows of a matrix that are added up as one.
+_BLOCK_ROWS = 8
 #: Passages times items that are counted at once.
 _CELLS = 1 << 20
 
@@ -109,6 +117,12 @@ class Items:
         return np.fromiter(map(self.vocabulary.get, w, repeat(self.size)), np.int32, len(w))
 
 
+def texts_of(batches: Iterable[pa.RecordBatch]) -> Iterator[str | None]:
+    """The second column, without a batch's texts being there all at once."""
+    for batch in in_slices(batches):
+        yield from batch.column(1).to_pylist()
+
+
 def read_items(rows: list[tuple[int, str | None, str | None]]) -> Items:
     vocabulary: dict[bytes, int] = {}
     ids, words, answers = [], [], []
@@ -125,25 +139,26 @@ def read_items(rows: list[tuple[int, str | None, str | None]]) -> Items:
     return items
 
 
-def document_frequencies(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
-    """For each word of the block its number of documents, and all documents; the driver gets a row a word."""
+def document_frequencies(docs: DataFrame, items: Items) -> tuple[np.ndarray, int, int]:
+    """For each word of the block its number of documents, and all documents and their words; the driver gets a row a word."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
-        sums = np.zeros(items.size + 2, np.int64)
-        for batch in batches:
-            for text in batch.column(1).to_pylist():
-                sums[np.unique(items.read(text))] += 1
-                sums[-1] += 1
+        sums = np.zeros(items.size + 3, np.int64)
+        for text in texts_of(batches):
+            ids = items.read(text)
+            sums[np.unique(ids)] += 1
+            sums[-2:] += 1, len(ids)
         seen = np.flatnonzero(sums)
         yield pa.RecordBatch.from_pydict({"word": pa.array(seen, pa.int32()), "n": pa.array(sums[seen])})
 
-    rows = docs.mapInArrow(count, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    sums = np.zeros(items.size + 2, np.int64)
+    with small_batches(docs.sparkSession):
+        rows = docs.mapInArrow(count, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    sums = np.zeros(items.size + 3, np.int64)
     for r in rows:
         sums[r.word] = r.n
-    return sums[: items.size], int(sums[-1])
+    return sums[: items.size], int(sums[-2]), int(sums[-1])
 
 
 def weigh(items: Items, frequencies: np.ndarray, documents: int) -> None:
@@ -255,14 +270,41 @@ def _weighted(items: Items, matrix: np.ndarray) -> np.ndarray:
     return np.concatenate([matrix * items.idf[: items.size, None], np.zeros((2, matrix.shape[1]), np.float32)]).astype(np.float32)
 
 
+def _counts(rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The items' words that some passages have, and how often each passage has each."""
+    known = (rows >= 0) & (rows < size)
+    ids, place = rows[known], np.zeros(size, np.int64)
+    place[ids] = 1
+    words = np.flatnonzero(place)
+    place[words] = np.arange(len(words))
+    cells = np.repeat(np.arange(len(rows)) * len(words), known.sum(1)) + place[ids]
+    return words, np.bincount(cells, minlength=len(rows) * len(words)).reshape(len(rows), len(words)).astype(np.float32)
+
+
 def _project(rows: np.ndarray, weighted: np.ndarray) -> np.ndarray:
     """TF-IDF rows (not normalised) times the matrix that ``weighted`` is of."""
     out = np.empty((len(rows), weighted.shape[1]), np.float32)
-    for at in range(0, len(rows), 256):
-        out[at : at + 256] = weighted[rows[at : at + 256]].sum(1)
+    for at in range(0, len(rows), _NEAR_PASSAGES):
+        words, counts = _counts(rows[at : at + _NEAR_PASSAGES], len(weighted) - 2)
+        out[at : at + _NEAR_PASSAGES] = counts @ weighted[words]
     return out
 
 
+def passages_of(items: Items, texts: Iterator[str | None]) -> Iterator[np.ndarray]:
+    """All passages of the texts, some at a time."""
+    held, n = [], 0
+    for text in texts:
+        rows = _rows_of(items.read(text))
+        for at in range(0, len(rows), _SLICE_PASSAGES):
+            held.append(rows[at : at + _SLICE_PASSAGES])
+            n += len(held[-1])
+            if n >= _SLICE_PASSAGES:
+                yield np.concatenate(held)
+                held, n = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
 def _units(items: Items) -> Iterator[tuple[int, np.ndarray]]:
     """The pieces as unit TF-IDF vectors, a few at a time, with the number of the first."""
     for at in range(0, len(items.pieces), 64):
@@ -273,60 +315,72 @@ def _units(items: Items) -> Iterator[tuple[int, np.ndarray]]:
         yield at, y / np.linalg.norm(y, axis=1, keepdims=True)
 
 
-def fit_basis(docs: DataFrame, items: Items, documents: int, rank: int | None = None) -> None:
-    """Sets the latent space by two distributed passes over the sampled passages."""
+def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tasks' blocks of rows, added up."""
+    sums: dict[int, np.ndarray] = {}
+    energies: dict[int, float] = {}
+    for batch in batches:
+        for block, m, energy in zip(*batch.columns, strict=True):
+            k, m = block.as_py(), np.frombuffer(m.as_buffer(), np.float32)
+            sums[k] = sums[k] + m if k in sums else m.astype(np.float64)
+            energies[k] = energies.get(k, 0.0) + energy.as_py()
+    yield _blocks(sums, energies)
+
+
+def _blocks(sums: dict[int, np.ndarray], energies: dict[int, float]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({
+        "block": pa.array(list(sums), pa.int32()),
+        "m": pa.array([m.astype(np.float32).tobytes() for m in sums.values()], pa.binary()),
+        "energy": pa.array([energies.get(k, 0.0) for k in sums], pa.float64()),
+    })
+
+
+def fit_basis(docs: DataFrame, items: Items, words: int, rank: int | None = None) -> None:
+    """Sets the latent space by a distributed pass over all passages of the documents, which have so many words.
+
+    What a task returns is as large as the matrix. So tasks aren't more than the cores or
+    the bytes call for, and the words' rows are dealt to other tasks to be added up: the
+    driver gets one matrix, whatever the corpus.
+    """
     spark = docs.sparkSession
     rank = min(rank or len(items.pieces) + 64, items.size, MAX_RANK)
     width = min(items.size, rank + OVERSAMPLE)
-    rate = min(1.0, FIT_DOCUMENTS / max(1, documents))
-    sample = materialise(docs.filter(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < int(rate * (1 << 30))).repartition(FIT_PARTS), "lsi-sample")
-
-    def gram(matrix: np.ndarray, back: bool) -> tuple[np.ndarray, float]:
-        """Sum over passages a of a'(aM), or of (aM)'(aM), and of a'a; the driver adds one matrix from each of the few parts."""
-        shared = spark.sparkContext.broadcast((items, matrix))
-
-        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            items, matrix = shared.value
-            weighted = _weighted(items, matrix)
-            total, energy = np.zeros((matrix.shape[0] if back else matrix.shape[1], matrix.shape[1]), np.float32), 0.0
-            for batch in batches:
-                for text in batch.column(1).to_pylist():
-                    rows = _rows_of(items.read(text))
-                    inside, whole = _energy(items, rows)
-                    rows, inside, whole = rows[inside > 0], inside[inside > 0], whole[inside > 0]
-                    z = _project(rows, weighted) / np.sqrt(whole)[:, None]
-                    energy += float((inside / whole).sum())
-                    if back:
-                        a = items.idf[rows] / np.sqrt(whole)[:, None]
-                        used = a.ravel() > 0
-                        words, where = np.unique(rows.ravel()[used], return_inverse=True)
-                        d = np.zeros((len(rows), len(words)), np.float32)
-                        np.add.at(d, (np.repeat(np.arange(len(rows)), PASSAGE)[used], where), a.ravel()[used])
-                        total[words] += d.T @ z
-                    else:
-                        total += z.T @ z
-            yield pa.RecordBatch.from_pydict({"m": pa.array([total.tobytes()], pa.binary()), "energy": [energy]})
-
-        rows = sample.repartition(FIT_PARTS).mapInArrow(part, "m binary, energy double").toLocalIterator()
-        total, energy = 0, 0.0
-        for r in rows:
-            total = total + np.frombuffer(r.m, np.float32).reshape(-1, matrix.shape[1]).astype(np.float64)
-            energy += r.energy
-        return total, energy
-
-    start = np.random.default_rng(0).standard_normal((items.size, width)).astype(np.float32)
-    pushed, energy = gram(start, True)
+    tasks = max(3 * spark.sparkContext.defaultParallelism, math.ceil(words * _WORD_BYTES / TASK_BYTES))
+    start = np.eye(width) if width == items.size else np.linalg.qr(np.random.default_rng(0).standard_normal((items.size, width)))[0]
+    shared = spark.sparkContext.broadcast((items, start.astype(np.float32)))
+
+    def push(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sum over passages a of a'(aW), and of a'a."""
+        items, start = shared.value
+        weighted = _weighted(items, start)
+        total, energy = np.zeros(start.shape, np.float32), 0.0
+        for rows in passages_of(items, texts_of(batches)):
+            inside, whole = _energy(items, rows)
+            rows, inside, whole = rows[inside > 0], inside[inside > 0], whole[inside > 0]
+            energy += float((inside / whole).sum())
+            for at in range(0, len(rows), _NEAR_PASSAGES):
+                near = slice(at, at + _NEAR_PASSAGES)
+                words, a = _counts(rows[near], items.size)
+                a /= np.sqrt(whole[near])[:, None]
+                total[words] += a.T @ (a @ weighted[words])
+        total *= items.idf[: items.size, None]
+        used = np.unique(np.flatnonzero(total.any(1)) // _BLOCK_ROWS).tolist()
+        yield _blocks({k: total[k * _BLOCK_ROWS : (k + 1) * _BLOCK_ROWS] for k in used}, {k: energy for k in used[:1]})
+
+    schema = "block int, m binary, energy double"
+    with small_batches(spark):
+        added = docs.coalesce(tasks).mapInArrow(push, schema).repartition("block").mapInArrow(_add_blocks, schema).toArrow()
+    pushed, energy = np.zeros(start.shape), sum(added.column("energy").to_pylist())
+    for block, m in zip(added.column("block").to_pylist(), added.column("m"), strict=True):
+        pushed[block * _BLOCK_ROWS : (block + 1) * _BLOCK_ROWS] = np.frombuffer(m.as_buffer(), np.float32).reshape(-1, width)
     share = ITEM_WEIGHT * max(1.0, energy) / len(items.pieces)
     for _, y in _units(items):
-        pushed = pushed + share * (y.T @ (y @ start))
-    q, _ = np.linalg.qr(pushed)
-    q = q.astype(np.float32)
-    inner, _ = gram(q, False)
-    yq = np.concatenate([y @ q for _, y in _units(items)]).astype(np.float64)
-    values, vectors = np.linalg.eigh(inner + share * (yq.T @ yq))
-    turn = vectors[:, np.argsort(-values)[:rank]]
-    items.basis = (q @ turn).astype(np.float32)
-    items.latent = (yq @ turn).astype(np.float32)
+        pushed += share * (y.T @ (y @ start))
+    inner = start.T @ pushed
+    values, vectors = np.linalg.eigh((inner + inner.T) / 2)
+    sure = values > _NOISE * values[-1]
+    items.basis = np.linalg.svd(pushed @ (vectors[:, sure] / np.sqrt(values[sure])), full_matrices=False)[0][:, :rank].astype(np.float32)
+    items.latent = np.concatenate([y @ items.basis for _, y in _units(items)])
     items.lost = np.sqrt(np.maximum(0, 1 - (items.latent**2).sum(1)))
     items.pushed = _weighted(items, items.basis)
     most = np.zeros(items.size, np.float32)
@@ -400,10 +454,10 @@ def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 
 def _search(rows: DataFrame, items: Items, min_cosine: float, strict: float, loose: float, answer_share: float, rank: int | None, schema: str) -> DataFrame:
-    frequencies, documents = document_frequencies(rows, items)
+    frequencies, documents, words = document_frequencies(rows, items)
     weigh(items, frequencies, documents)
     list_words(items, min(strict, loose))
-    fit_basis(rows, items, documents, rank)
+    fit_basis(rows, items, words, rank)
     shared = rows.sparkSession.sparkContext.broadcast(items)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -453,7 +507,7 @@ def _search(rows: DataFrame, items: Items, min_cosine: float, strict: float, loo
                 best[number, item] = max(best.get((number, item), (0.0,)), (lcs, answer, cosine, -start, -stop))
 
             words = 0
-            for number, text in enumerate(batch.column(1).to_pylist()):
+            for number, text in enumerate(texts_of([batch])):
                 held.append((number, items.read(text)))
                 words += len(held[-1][1])
                 if words >= _SLICE_WORDS:
@@ -484,7 +538,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     """
     key = F.xxhash64(F.col(id_col), F.col(text_col))
     hits = find_items(docs.select(key.alias("_key"), F.col(text_col)), benchmark, id_col="_key", text_col=text_col, **options)
-    leaks = materialise(hits.select("id").distinct(), "leaks")
+    with small_batches(docs.sparkSession):
+        leaks = materialise(hits.select("id").distinct(), "leaks")
     return docs.join(leaks, key == leaks["id"], "left_anti").select(*[docs[c] for c in docs.columns])
 
 

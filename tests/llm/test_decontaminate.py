@@ -172,3 +172,35 @@ def test_phrases_and_answers(spark, monkeypatch):
     assert got == want and len({(k, k) for k in range(40)} & got) >= 36 and not [x for x in got if x[0] >= 100]
     monkeypatch.setattr(dc, "BLOCK_BYTES", 3000)
     assert {(r.id, r.item_id) for r in dc.find_items(d, b, answer_col="solution").collect()} == want
+
+
+def test_latent_space_is_of_all_passages(spark):
+    """With as many directions as words, the basis has the singular vectors of the passages of all documents, and no others."""
+    rng = random.Random(5)
+    names = [f"w{k}" for k in range(24)]
+    items = {k: rng.sample(names, 12) for k in range(6)}
+    # Many more documents than any bounded sample would hold, of ten texts' worth of words that go together.
+    kinds = [rng.sample(names, 5) for _ in range(400)]
+    docs = {k: " ".join([*rng.choices(kinds[rng.randrange(400)], k=9), "else"]) for k in range(15_000)} | {20_000: " ".join(rng.choices(names, k=5000)), 20_001: None}
+    d = spark.createDataFrame(list(docs.items()), "id long, text string").repartition(7)
+    parsed = dc.read_items([(k, " ".join(w), None) for k, w in items.items()])
+    frequencies, documents, words = dc.document_frequencies(d, parsed)
+    texts = [parsed.read(t) for t in docs.values()]
+    assert documents == len(docs) and words == sum(map(len, texts))
+    dc.weigh(parsed, frequencies, documents)
+    dc.fit_basis(d, parsed, words)
+    n = parsed.size
+    assert parsed.basis.shape == (n, n)
+    rows = np.concatenate([dc._rows_of(t) for t in texts])
+    counts = np.zeros((len(rows), n + 2))
+    np.add.at(counts, (np.arange(len(rows))[:, None], rows), 1)
+    a = counts[:, :n] * parsed.idf[:n]
+    whole = (a**2).sum(1) + (counts[:, n] * parsed.other) ** 2 / np.maximum(1, counts[:, n])
+    a /= np.sqrt(np.maximum(whole, 1e-9))[:, None]
+    y = np.concatenate([y for _, y in dc._units(parsed)]).astype(float)
+    gram = a.T @ a + dc.ITEM_WEIGHT * (a**2).sum() / len(y) * (y.T @ y)
+    inner = parsed.basis.T.astype(float) @ gram @ parsed.basis
+    # The items' own directions come first; in the others, passages alone tell directions from one another.
+    own = inner[len(y) :, len(y) :]
+    scale = np.sqrt(np.outer(own.diagonal(), own.diagonal()))
+    assert np.abs(own - np.diag(own.diagonal())).max() < 1e-3 * scale.max()
