@@ -5,7 +5,8 @@ but the last return the columns of ``documents``. Null texts and texts without a
 leave in the first stage. Rows that repeat an id with another text are documents of their
 own in every stage; rows alike in both are one from the second on. Texts are read whole,
 however long, and other columns travel with their rows, whatever their names. An empty
-table gives no token. The operators' docstrings state their other rules.
+table gives no token. From the first stage on the session's Arrow batches have a thousand
+rows at most (``keep_batches_small``): a lazy table can't put a setting back. The operators' docstrings state their other rules.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ridgeline.llm.batches import keep_batches_small
 from ridgeline.llm.decontaminate import drop_contaminated
 from ridgeline.llm.language_id import train, with_language
 from ridgeline.llm.mixing import MAX_REPETITION, mix_documents
@@ -23,6 +25,8 @@ from ridgeline.storage import materialise
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that have a language, by mixture inference learned from the labelled ones; all with a letter where none is labelled."""
+    # The stage's rows go to Python when it is written, by whoever takes it.
+    keep_batches_small(spark)
     model = train(docs)
     if not model.languages:
         return docs.filter(F.col("text").rlike(r"\p{L}"))

@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ridgeline.llm.batches import in_slices
+
 BUCKETS = 1 << 14
 _SHIFT = np.uint32(32 - 14)
 ROUNDS = 20
@@ -92,7 +94,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", r
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in in_slices(batches):
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if lang not in sums:
                     sums[lang] = np.zeros(BUCKETS, np.int64)
@@ -119,7 +121,7 @@ def with_language(docs: DataFrame, model: LanguageModel, text_col: str = "text")
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
-        for batch in batches:
+        for batch in in_slices(batches):
             found = [model.shares(t) if model.languages and has_letter(t) else [] for t in batch.column(at).to_pylist()]
             named = [[{"lang": model.languages[k], "share": min(1.0, s)} for k, s in x] for x in found]
             new = [pa.array([x[0]["lang"] if x else "und" for x in named], pa.string()), pa.array([x[0]["share"] if x else 0.0 for x in named], pa.float64()), pa.array(named, kind)]
