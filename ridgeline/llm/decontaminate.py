@@ -66,7 +66,7 @@ OVERSAMPLE = 8
 ITEM_WEIGHT = 1000.0
 MAX_RANK = 640
 _SLICE_WORDS = 20_000
-#: Passages that are energised at once, and those among them that are counted as one matrix: few, so that they have few different words.
+#: Passages that are taken at once, and those among them that are counted as one matrix: few, so that they have few different words.
 _SLICE_PASSAGES, _NEAR_PASSAGES = 1024, 64
 #: Bytes of a word with its white space, about.
 _WORD_BYTES = 7
@@ -148,7 +148,7 @@ def document_frequencies(docs: DataFrame, items: Items) -> tuple[np.ndarray, int
         sums = np.zeros(items.size + 3, np.int64)
         for text in texts_of(batches):
             ids = items.read(text)
-            sums[np.unique(ids)] += 1
+            sums[:-2] += np.bincount(ids, minlength=items.size + 1) > 0
             sums[-2:] += 1, len(ids)
         seen = np.flatnonzero(sums)
         yield pa.RecordBatch.from_pydict({"word": pa.array(seen, pa.int32()), "n": pa.array(sums[seen])})
@@ -355,13 +355,15 @@ def fit_basis(docs: DataFrame, items: Items, words: int, rank: int | None = None
         weighted = _weighted(items, start)
         total, energy = np.zeros(start.shape, np.float32), 0.0
         for rows in passages_of(items, texts_of(batches)):
-            inside, whole = _energy(items, rows)
-            rows, inside, whole = rows[inside > 0], inside[inside > 0], whole[inside > 0]
-            energy += float((inside / whole).sum())
             for at in range(0, len(rows), _NEAR_PASSAGES):
-                near = slice(at, at + _NEAR_PASSAGES)
-                words, a = _counts(rows[near], items.size)
-                a /= np.sqrt(whole[near])[:, None]
+                near = rows[at : at + _NEAR_PASSAGES]
+                words, a = _counts(near, items.size)
+                # As in _energy, from the counts; 1 for empty passages.
+                inside = a**2 @ items.idf[words] ** 2
+                whole = inside + (near == items.size).sum(1) * items.other**2
+                whole[whole == 0] = 1
+                energy += float((inside / whole).sum())
+                a /= np.sqrt(whole)[:, None].astype(np.float32)
                 total[words] += a.T @ (a @ weighted[words])
         total *= items.idf[: items.size, None]
         used = np.unique(np.flatnonzero(total.any(1)) // _BLOCK_ROWS).tolist()
