@@ -18,13 +18,16 @@
    100 with four ranges. Parts that still have more than ``HOT`` runs are parted again by
    finer ranges, and at last by single places, where the shared bytes are the whole window:
    those are grouped by their bytes. All other parts go through the same transform.
-6. Each document's repeated ranges are united and cut out.
+6. Each document's repeated ranges are united, and cut out of its text by Spark's own
+   functions: documents without such ranges are left as they are.
 
 Texts are UTF-8 bytes; null counts as empty; windows never cross documents. Order is by
 id (null first), then position. Rows that repeat an id with another text are documents
 of their own, ordered by a checksum of the text; rows alike in id and text are the same
 document and get the same result. An empty table gives an empty result. Other columns
-are ignored. A task needs memory of some 60 times its longest text.
+are ignored. A task needs memory of some 60 times its longest text. Texts go to Python
+a thousand rows at a time, a task has one Python worker, and a worker sorts runs of a
+quarter of a megabyte at once.
 """
 
 from __future__ import annotations
@@ -35,9 +38,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ridgeline.llm.batches import in_slices, small_batches
 from ridgeline.llm.bitmaps import bitmap, has
 from ridgeline.llm.bwt import class_starts
 from ridgeline.llm.native import mark_members, member_filter
@@ -48,7 +52,8 @@ KMER = 40
 #: Classes of an anchor beyond which its runs are parted by further bytes, and into how many ranges of places, round by round; then by single places.
 HOT, RANGES = 2000, (4, 16)
 _NO_ID = -(1 << 63)
-_TEXT_BYTES = 1 << 20
+#: Bytes of runs that a transform takes at once, and more if one anchor has more; it needs some 150 times as many.
+_TEXT_BYTES = 1 << 18
 _END = 255  # a byte that UTF-8 never has
 
 
@@ -119,7 +124,7 @@ def repeated_runs(docs: DataFrame, length: int) -> DataFrame:
     """Runs whose anchor occurs at least twice."""
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             for _, _, texts in _documents(batch):
                 found = runs_of(texts, length)[3]
                 # A short hash is enough to tell anchors that can be dropped.
@@ -129,12 +134,14 @@ def repeated_runs(docs: DataFrame, length: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(twice.select(F.col("anchor").cast("long").alias("anchor")), "anchor"))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             for ids, subs, texts in _documents(batch):
                 found = runs_of(texts, length)
                 yield pa.RecordBatch.from_pydict(_run_columns(ids, subs, found, np.flatnonzero(has(shared.value, found[3]))))
 
-    return materialise(docs.mapInArrow(runs, _RUN), "repeat-runs")
+    found = materialise(docs.mapInArrow(runs, _RUN), "repeat-runs")
+    shared.destroy()
+    return found
 
 
 def _with_bytes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -142,7 +149,7 @@ def _with_bytes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     key = F.xxhash64("anchor", "content", "doc", "sub", "start")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             for ids, subs, texts in _documents(batch):
                 found = runs_of(texts, length)
                 text, start, windows = found[:3]
@@ -158,7 +165,10 @@ def _with_bytes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select("anchor", "content", "doc", "sub", "start").mapInArrow(keyed, "key long"), "key"))
     # The bitmap lets a few others through.
-    return docs.mapInArrow(runs, _RUN + ", bytes binary").withColumn("key", key).join(wanted.select(key.alias("key"), "classes"), "key").drop("key")
+    found = docs.mapInArrow(runs, _RUN + ", bytes binary").withColumn("key", key).join(wanted.select(key.alias("key"), "classes"), "key").drop("key")
+    found = materialise(found, "repeat-bytes")
+    shared.destroy()
+    return found
 
 
 def repeated_windows(rows: list[tuple[int, int, int, int, bytes]], length: int) -> Iterator[tuple[int, int, int, int]]:
@@ -197,40 +207,34 @@ def _ranges(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in zip(("doc", "sub", "start", "stop"), c, strict=True)})
 
 
-def _by_transform(runs: DataFrame, length: int, size: int) -> DataFrame:
-    """Runs with bytes, all of an anchor in one task, to repeated ranges."""
-
-    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, last = [], 0, None
-        for batch in batches:
-            for anchor, *row in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
-                if size >= _TEXT_BYTES and anchor != last:
-                    yield _ranges(repeated_windows(held, length))
-                    held, size = [], 0
-                held.append(tuple(row))
-                size += len(row[4]) + 1
-                last = anchor
-        if held:
-            yield _ranges(repeated_windows(held, length))
-
-    return in_groups(runs.select("anchor", "doc", "sub", "start", "windows", "bytes"), "anchor", size).mapInArrow(expand, _RANGE)
+def _expanded(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    held, size, last = [], 0, None
+    for batch in in_slices(batches):
+        for anchor, *row in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+            if size >= _TEXT_BYTES and anchor != last:
+                yield _ranges(repeated_windows(held, length))
+                held, size = [], 0
+            held.append(tuple(row))
+            size += len(row[4]) + 1
+            last = anchor
+    if held:
+        yield _ranges(repeated_windows(held, length))
 
 
-def _placed(runs: DataFrame, length: int) -> DataFrame:
-    """Runs with bytes, and where in them their anchor is."""
-    places = length - KMER + 1
+def _by_transform(runs: DataFrame, length: int, size: int) -> DataFrame:
+    """Runs with bytes, all of an anchor in one task, to repeated ranges."""
+    runs = in_groups(runs.select("anchor", "doc", "sub", "start", "windows", "bytes"), "anchor", size)
+    return runs.mapInArrow(lambda batches: _expanded(batches, length), _RANGE)
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for anchor, data in zip(batch.column(0).to_pylist(), batch.column(5).to_pylist(), strict=True):
-                _, sums, down = _sums([data[:length]])
-                kmers = mix64((sums[KMER:] - sums[:-KMER]) * down[:places])
-                top = np.uint64(32)
-                found.append(int(np.argmax(kmers >> top == np.array([anchor], np.int64).view(np.uint64)[0] >> top)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int32())], [*batch.schema.names, "at"])
 
-    return runs.select("anchor", "doc", "sub", "start", "windows", "bytes").mapInArrow(find, _PART)
+def _places(anchors: list[int], runs: list[bytes], length: int) -> list[int]:
+    """Where in the runs their anchor is."""
+    found, top = [], np.uint64(32)
+    for anchor, data in zip(anchors, runs, strict=True):
+        _, sums, down = _sums([data[:length]])
+        kmers = mix64((sums[KMER:] - sums[:-KMER]) * down[: length - KMER + 1])
+        found.append(int(np.argmax(kmers >> top == np.array([anchor], np.int64).view(np.uint64)[0] >> top)))
+    return found
 
 
 _PART = "anchor long, doc long, sub long, start long, windows int, bytes binary, at int"
@@ -241,15 +245,19 @@ def _split(runs: DataFrame, length: int, ranges: int) -> DataFrame:
 
     A window's place is the distance of its anchor from its start. All windows of a range
     of places hold the same stretch of bytes about the anchor, which is hashed with it:
-    equal windows still meet, and those that differ in the stretch part.
+    equal windows still meet, and those that differ in the stretch part. Runs without the
+    column ``at`` are whole, and have an anchor's hash to find it by.
     """
     places = length - KMER + 1
     edges = [places * k // ranges for k in range(ranges + 1)]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for anchor, doc, sub, start, windows, data, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        # A row gives up to one for each range.
+        for batch in in_slices(batches):
+            rows, columns = [], [c.to_pylist() for c in batch.columns]
+            if "at" not in batch.schema.names:
+                columns.append(_places(columns[0], columns[5], length))
+            for anchor, doc, sub, start, windows, data, at in zip(*columns, strict=True):
                 for lo, hi in zip(edges, edges[1:], strict=False):
                     first, last = max(0, at - hi + 1), min(windows, at - lo + 1)
                     if first < last:
@@ -265,7 +273,7 @@ def _split(runs: DataFrame, length: int, ranges: int) -> DataFrame:
 
 def _parted(crowded: DataFrame, length: int) -> tuple[list[DataFrame], list[DataFrame]]:
     """Crowded runs with bytes, as parts of ``HOT`` runs at most by key, and as ranges of those that no range of places parts."""
-    calm, parts = [], _placed(crowded, length)
+    calm, parts = [], crowded.select("anchor", "doc", "sub", "start", "windows", "bytes")
     for ranges in RANGES:
         parts = materialise(_split(parts, length, ranges), "repeat-parts")
         hot = materialise(parts.groupBy("anchor").count().filter(F.col("count") > HOT).select("anchor"), "repeat-hot")
@@ -289,7 +297,7 @@ def repeated_ranges(docs: DataFrame, length: int = 100) -> DataFrame:
     later = runs.join(copied, ["anchor", "content"]).filter(place != F.col("first")).select("doc", "sub", "start", (F.col("start") + F.col("windows") - 1 + length).alias("stop"))
     crowds = firsts.groupBy("anchor").agg(F.count("*").alias("classes")).filter("classes > 1")
     wanted = materialise(firsts.join(crowds, "anchor").select("anchor", "content", "first.*", "windows", "classes"), "repeat-crowds")
-    runs = materialise(_with_bytes(docs, wanted, length), "repeat-bytes")
+    runs = _with_bytes(docs, wanted, length)
     parts, crowded = runs.filter(F.col("classes") <= HOT).drop("content", "classes"), runs.filter(F.col("classes") > HOT)
     calm, settled = ([], []) if crowded.isEmpty() else _parted(crowded, length)
     for part in calm:
@@ -300,34 +308,46 @@ def repeated_ranges(docs: DataFrame, length: int = 100) -> DataFrame:
     return ranges
 
 
+_SPANS = "array<struct<start:long,stop:long>>"
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc, sub, ranges), each range list as the longest runs of bytes that it covers, in order."""
+    for batch in in_slices(batches):
+        ranges = batch.column(2)
+        row = np.repeat(np.arange(batch.num_rows), ranges.value_lengths().to_numpy())
+        start, stop = (ranges.flatten().field(k).to_numpy() + (row << 32) for k in range(2))
+        order = np.argsort(start)
+        start, reach = start[order], np.maximum.accumulate(stop[order])
+        first = np.flatnonzero(np.concatenate([[True], start[1:] > reach[:-1]])) if len(row) else np.zeros(0, np.int64)
+        last = np.append(first[1:], len(row))[: len(first)] - 1
+        offsets = np.searchsorted(row[order][first], np.arange(batch.num_rows + 1))
+        spans = pa.StructArray.from_arrays([pa.array(x & 0xFFFFFFFF) for x in (start[first], reach[last])], ["start", "stop"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), spans)], ["doc", "sub", "spans"])
+
+
 def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_bytes, spans (removed, array of start and stop), kept (the other bytes)."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ranges = repeated_ranges(rows, length)
-    # At most a range for each anchor of a document.
-    by_doc = materialise(ranges.groupBy("doc", "sub").agg(F.collect_list(F.struct("start", "stop")).alias("ranges")), "repeat-ranges")
+    with small_batches(docs.sparkSession):
+        ranges = repeated_ranges(rows, length)
+        # At most a range for each anchor of a document.
+        by_doc = ranges.groupBy("doc", "sub").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
+        by_doc = materialise(by_doc.mapInArrow(_united, f"doc long, sub long, spans {_SPANS}"), "repeat-ranges")
     doc, sub = F.coalesce("id", F.lit(_NO_ID)), F.crc32(F.col("text").cast("binary"))
     keyed = mark_members(rows.withColumns({"doc": doc, "sub": sub}), F.xxhash64("doc", "sub"), member_filter(by_doc.select(F.xxhash64("doc", "sub").alias("key")), "key"), "touched")
-    untouched = keyed.filter("NOT touched").select("id", "text", F.lit(None).cast("array<struct<start:long,stop:long>>").alias("ranges"))
-    touched = keyed.filter("touched").join(by_doc, ["doc", "sub"], "left").select("id", "text", "ranges")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-        for batch in batches:
-            sizes, spans, kept = [], [], []
-            for text, found in zip(batch.column(1).cast(pa.large_binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                steps = np.zeros(len(text) + 2, np.int32)
-                for r in found or ():
-                    steps[r["start"]] += 1
-                    steps[r["stop"]] -= 1
-                gone = np.cumsum(steps)[: len(text)] > 0
-                edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).view(np.int8)))
-                sizes.append(len(text))
-                spans.append([{"start": a, "stop": b} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)])
-                kept.append(np.frombuffer(text, np.uint8)[~gone].tobytes() if len(edge) else text)
-            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "n_bytes": pa.array(sizes, pa.int64()), "spans": pa.array(spans, kind), "kept": pa.array(kept, pa.binary())})
-
-    return untouched.unionByName(touched).mapInArrow(cut, "id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")
+    data, none = F.col("text").cast("binary"), F.array().cast(_SPANS)
+    n_bytes = F.octet_length("text").cast("long").alias("n_bytes")
+    untouched = keyed.filter("NOT touched").select("id", n_bytes, none.alias("spans"), data.alias("kept"))
+    touched = keyed.filter("touched").join(by_doc, ["doc", "sub"], "left").select("id", "text", n_bytes, F.coalesce("spans", none).alias("spans"))
+    begins, ends = F.concat(F.array(F.lit(0).cast("long")), "spans.stop"), F.concat("spans.start", F.array("n_bytes"))
+
+    def between(whole: Column) -> Column:
+        # Strings may be joined, and hold any bytes.
+        return F.array_join(F.zip_with(begins, ends, lambda a, b: F.substring(whole, (a + 1).cast("int"), (b - a).cast("int")).cast("string")), "").cast("binary")
+
+    # As an item of an array the text is copied once, and not for each span.
+    return untouched.unionByName(touched.select("id", "n_bytes", "spans", F.transform(F.array(data), between)[0].alias("kept")))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,15 @@
 """Repeated substrings against a plain scan over all windows."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ridgeline.llm import substring_dedup as sd
+from ridgeline.llm.batches import ROWS
 from ridgeline.llm.bwt import class_starts
 
 
@@ -104,3 +107,68 @@ def test_parts_that_stay_crowded(spark, monkeypatch):
             mask[s.start : s.stop] = True
         assert np.array_equal(mask, truth[r.id]), r.id
     assert rounds == [4, 16]
+
+
+def planned(df):
+    plan = df._jdf.queryExecution().executedPlan()
+    return plan.initialPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan
+
+
+def python_nodes(node, above=0):
+    """Most Python nodes of a plan that one task runs one over the other; all of them."""
+    above = 0 if node.nodeName().startswith("Exchange") else above + (node.nodeName() == "MapInArrow")
+    below = [python_nodes(node.children().apply(k), above) for k in range(node.children().size())]
+    return max([above, *(b[0] for b in below)]), (node.nodeName() == "MapInArrow") + sum(b[1] for b in below)
+
+
+def test_memory_of_tasks(spark, monkeypatch):
+    """Texts reach Python a thousand rows at a time, tasks have one worker each, and texts aren't cut in Python."""
+    setting, seen, written = "spark.sql.execution.arrow.maxRecordsPerBatch", {}, sd.materialise
+    before = spark.conf.get(setting)
+
+    def spy(df, name):
+        seen.setdefault(name, []).append((int(spark.conf.get(setting)), python_nodes(planned(df))))
+        return written(df, name)
+
+    monkeypatch.setattr(sd, "HOT", 3)
+    monkeypatch.setattr(sd, "materialise", spy)
+    rows = list(enumerate(corpus(random.Random(5))))
+    spark.conf.set(setting, "10000")
+    try:
+        got = sd.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert spark.conf.get(setting) == "10000"
+    finally:
+        spark.conf.set(setting, before)
+    assert {"repeat-runs", "repeat-bytes", "repeat-parts", "repeat-ranges"} <= set(seen)
+    assert {rows for found in seen.values() for rows, _ in found} == {ROWS}
+    assert {most for found in seen.values() for _, (most, _) in found} == {0, 1}
+    assert python_nodes(planned(got)) == (0, 0)
+
+
+def test_memory_of_a_transform():
+    rng = np.random.default_rng(4)
+    rows = [(k, 0, 0, 50, rng.integers(97, 123, 149).astype(np.uint8).tobytes()) for k in range(sd._TEXT_BYTES // 150)]
+    tracemalloc.start()
+    try:
+        assert not list(sd.repeated_windows(rows, 100))
+        assert tracemalloc.get_traced_memory()[1] < 60e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_ranges_are_united():
+    rng = random.Random(6)
+    lists = [[(a, a + rng.randint(1, 30)) for a in (rng.randrange(400) for _ in range(rng.randint(1, 12)))] for _ in range(2 * ROWS + 100)]
+    lists[0] = [(0, 5), (5, 9), (10, 12), (3, 4)]
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+    ranges = pa.array([[{"start": a, "stop": b} for a, b in found] for found in lists], kind)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(lists))), pa.array([7] * len(lists)), ranges], ["doc", "sub", "ranges"])
+    got = [r for b in sd._united([batch, batch.slice(0, 0)]) for r in b.to_pylist()]
+    assert [(r["doc"], r["sub"]) for r in got] == [(k, 7) for k in range(len(lists))]
+    assert got[0]["spans"] == [{"start": 0, "stop": 9}, {"start": 10, "stop": 12}]
+    for r, found in zip(got, lists, strict=True):
+        gone = np.zeros(500, np.int8)
+        for a, b in found:
+            gone[a:b] = 1
+        edge = np.flatnonzero(np.diff(gone, prepend=0, append=0)).tolist()
+        assert [(x["start"], x["stop"]) for x in r["spans"]] == list(zip(edge[::2], edge[1::2], strict=True))
