@@ -15,8 +15,10 @@ import re
 
 import numpy as np
 
-#: Words of the cache of a worker; later words are encoded anew for each batch.
-CACHE_WORDS = 600_000
+#: Bytes of the cache of a worker, about (some 200,000 words); later words are encoded anew for each batch.
+CACHE_BYTES = 26 << 20
+#: Of those for each word, besides its letters and ids: two objects and a place in the table.
+_ENTRY_BYTES = 120
 #: Words that need no normalising but lower case: Latin letters and one mark at the end.
 _PLAIN = re.compile(r"([a-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
 
@@ -63,6 +65,7 @@ class WordEncoder:
         self.letters = _byte_letters()
         self.specials = tuple({t.content[:2].lower().encode() for t in self.whole.get_added_tokens_decoder().values()})
         self.cache: dict[bytes, bytes] = {}
+        self.held = 0
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -97,8 +100,10 @@ class WordEncoder:
         split = [None if any(s in t for s in self.specials) else t.split() for t in (x.lower() for x in texts)]
         new = set().union(*[x for x in split if x]).difference(cache)
         extra = self._learn(new) if new else {}
-        if len(cache) + len(extra) <= CACHE_WORDS:
+        size = _ENTRY_BYTES * len(extra) + sum(map(len, extra)) + sum(map(len, extra.values()))
+        if self.held + size <= CACHE_BYTES:
             cache.update(extra)
+            self.held += size
             extra = {}
         out = []
         for text, words in zip(texts, split, strict=True):

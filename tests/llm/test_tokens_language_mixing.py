@@ -234,3 +234,24 @@ def test_other_tokenizers_encode_whole_texts(spark):
     texts = [x or "" for x in ODD]
     got = WordEncoder(path).encode([x.encode() for x in texts])
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_the_cache_of_words_takes_a_bounded_part_of_a_worker(spark):
+    import sys
+
+    from tokenizers import Tokenizer
+
+    from ridgeline.llm.wordcodes import WordEncoder
+
+    t, encoder = Tokenizer.from_file(WORDS), WordEncoder(WORDS)
+    for low in range(0, 450_000, 15_000):
+        text = " ".join("".join(chr(97 + k // 26**j % 26) for j in range(5)) for k in range(low, low + 15_000))
+        got = encoder.encode([text.encode()])
+        if low % 150_000 == 0 or low == 435_000:
+            assert np.frombuffer(got[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    held = sys.getsizeof(encoder.cache) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in encoder.cache.items())
+    assert len(encoder.cache) > 100_000
+    assert held < 36 << 20
+    # Long words count by their bytes.
+    encoder.encode([" ".join(f"{k}-" * 20_000 for k in range(100, 200)).encode()])
+    assert max(map(len, encoder.cache)) < 100
