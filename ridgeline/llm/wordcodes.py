@@ -12,15 +12,18 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Callable
 
 import numpy as np
 
-#: Bytes of the cache of a worker, about (some 200,000 words); later words are encoded anew for each batch.
-CACHE_BYTES = 26 << 20
+#: Bytes of the cache of a worker, about (some 250,000 words); later words are encoded anew for each batch.
+CACHE_BYTES = 36 << 20
 #: Of those for each word, besides its letters and ids: two objects and a place in the table.
 _ENTRY_BYTES = 120
 #: Words that need no normalising but lower case: Latin letters and one mark at the end.
 _PLAIN = re.compile(r"([a-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
+#: A mark alone at the end of a word, after a letter: always a piece of its own, so the cache needn't hold the word with each mark.
+_MARK = re.compile(rb"[.,;:!?](?<=[a-z].)(?!\S)")
 
 #: The rules that make words independent of each other, as the tokenizer's file spells them (fixed values).
 _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -52,6 +55,27 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+class _Cache(dict):
+    """Ids of words, learned when they are asked for: of so many as have room, and of the rest until it is cleared."""
+
+    def __init__(self, learn: Callable[[bytes], bytes]):
+        super().__init__()
+        self.learn, self.held = learn, 0
+        self.rest: dict[bytes, bytes] = {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.rest.get(word)
+        if ids is None:
+            ids = self.learn(word)
+            size = _ENTRY_BYTES + len(word) + len(ids)
+            if self.held + size <= CACHE_BYTES:
+                self[word] = ids
+                self.held += size
+            else:
+                self.rest[word] = ids
+        return ids
+
+
 class WordEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
@@ -64,8 +88,7 @@ class WordEncoder:
         self.model = self.whole.model
         self.letters = _byte_letters()
         self.specials = tuple({t.content[:2].lower().encode() for t in self.whole.get_added_tokens_decoder().values()})
-        self.cache: dict[bytes, bytes] = {}
-        self.held = 0
+        self.cache = _Cache(self.ids_of)
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -74,44 +97,29 @@ class WordEncoder:
         return _ENCODERS[path]
 
     def _piece_ids(self, piece: str) -> bytes:
-        mapped = "".join([self.letters[b] for b in piece.encode()])
+        mapped = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
         return np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
 
-    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        found, odd = {}, []
-        for w in words:
-            m = _PLAIN.fullmatch(s := w.decode())
-            if m is None:
-                odd.append((w, s))
-            elif m[2]:
-                found[w] = self._piece_ids(m[1].lower()) + self._piece_ids(m[2])
-            else:
-                found[w] = self._piece_ids(m[1].lower())
-        if odd:
-            codes = self.whole.encode_batch_fast([s for _, s in odd], add_special_tokens=False)
-            found.update((w, np.array(e.ids, "<u4").tobytes()) for (w, _), e in zip(odd, codes, strict=True))
-        return found
+    def ids_of(self, word: bytes) -> bytes:
+        """The ids of a word without its neighbours."""
+        if word.isalpha():  # lower-case letters of ASCII: one piece
+            return self._piece_ids(word.decode())
+        m = _PLAIN.fullmatch(text := word.decode())
+        if m is None:
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self._piece_ids(m[1].lower())
+        return ids + self._piece_ids(m[2]) if m[2] else ids
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, in UTF-8, as bytes."""
         if not self.words:
             return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
-        cache = self.cache
-        split = [None if any(s in t for s in self.specials) else t.split() for t in (x.lower() for x in texts)]
-        new = set().union(*[x for x in split if x]).difference(cache)
-        extra = self._learn(new) if new else {}
-        size = _ENTRY_BYTES * len(extra) + sum(map(len, extra)) + sum(map(len, extra.values()))
-        if self.held + size <= CACHE_BYTES:
-            cache.update(extra)
-            self.held += size
-            extra = {}
         out = []
-        for text, words in zip(texts, split, strict=True):
-            if words is None:
-                ids = self.whole.encode(text.decode(), add_special_tokens=False).ids
-                out.append(np.array(ids, "<u4").tobytes())
-            elif extra:
-                out.append(b"".join([cache[w] if w in cache else extra[w] for w in words]))
+        for text in texts:
+            lower = text.lower()
+            if any(s in lower for s in self.specials):
+                out.append(np.array(self.whole.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes())
             else:
-                out.append(b"".join([cache[w] for w in words]))
+                out.append(b"".join(map(self.cache.__getitem__, _MARK.sub(rb" \g<0>", lower).split())))
+        self.cache.rest.clear()
         return out
