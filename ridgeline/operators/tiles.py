@@ -114,7 +114,8 @@ def finest_cover(extents: DataFrame, available: DataFrame, sources: DataFrame) -
     tiles = _candidates(extents, finest).select("ext_id", "tx", "ty")
     up = F.array(*[F.struct(F.lit(source).alias("source"), F.lit(zoom).alias("zoom"), F.lit(priority).alias("priority"), F.shiftright("tx", top - zoom).alias("sx"), F.shiftright("ty", top - zoom).alias("sy")) for zoom, source, priority in known])
     there = available.select("source", F.col("tx").alias("sx"), F.col("ty").alias("sy")).distinct()
-    met = tiles.select("ext_id", "tx", "ty", F.inline(up)).join(there, ["source", "sx", "sy"])
+    # Spark takes exploded rows for no more bytes than the extents have; a semi join never broadcasts its left side.
+    met = tiles.select("ext_id", "tx", "ty", F.inline(up)).join(there, ["source", "sx", "sy"], "left_semi")
     return met.groupBy("ext_id", "tx", "ty").agg(F.min_by(F.struct("source", "zoom", "sx", "sy"), "priority").alias("b")).select("ext_id", "tx", "ty", "b.*")
 
 

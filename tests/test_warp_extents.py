@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ridgeline.grid import GridMeta
-from ridgeline.operators import extents, rasters, warp
+from ridgeline.operators import extents, rasters, tiles, warp
 
 
 def test_there_and_back(spark):
@@ -82,3 +82,15 @@ def test_overlap_join(spark):
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert extents.overlap_join(a.limit(0), b).count() == 0 == extents.overlap_join(a, b.limit(0)).count()
+
+
+def _degrees(spark, n):
+    """n extents of some tiles each, and a table of tiles that is too large to broadcast."""
+    at = spark.range(n).select(F.col("id").alias("ext_id"), (F.lit(138.0) + F.col("id") % 7 * 0.01).alias("xmin"), (F.lit(35.0) + F.col("id") % 5 * 0.01).alias("ymin"))
+    return at.withColumns({"xmax": F.col("xmin") + 0.01, "ymax": F.col("ymin") + 0.01}), spark.range(1 << 30).select(F.lit("DEM1A 1m").alias("source"), F.col("id").alias("tx"), F.col("id").alias("ty"))
+
+
+def test_covers_are_not_broadcast(spark):
+    """Tiles of extents are many more bytes than the extents, which Spark doesn't see."""
+    plan = tiles.finest_cover(*_degrees(spark, 50), tiles.registry(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and "Broadcast" not in plan
