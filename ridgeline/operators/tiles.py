@@ -95,10 +95,12 @@ def source_of_extents(extents: DataFrame, available: DataFrame, sources: DataFra
     zoom, x0, y0, x1, y1 (first and last tile) and found, the tiles with data; nulls where no
     source has any. Each extent decides for itself, in one aggregation.
     """
-    met = _candidates(extents, sources).join(available.select("source", "tx", "ty").distinct(), ["source", "tx", "ty"])
+    # Spark takes exploded rows for no more bytes than the extents have; a semi join never broadcasts its left side.
+    met = _candidates(extents, sources).join(available.select("source", "tx", "ty").distinct(), ["source", "tx", "ty"], "left_semi")
     counted = met.groupBy("ext_id", "priority", "source", "zoom", "x0", "y0", "x1", "y1").agg(F.count("*").alias("found"))
-    best = counted.groupBy("ext_id").agg(F.min_by(F.struct("source", "zoom", "x0", "y0", "x1", "y1", "found"), "priority").alias("b")).select("ext_id", "b.*")
-    return extents.select("ext_id").distinct().join(best, "ext_id", "left")
+    # Each extent's own row keeps it there without a tile: its null priority is passed over.
+    each = counted.unionByName(extents.select("ext_id"), allowMissingColumns=True)
+    return each.groupBy("ext_id").agg(F.min_by(F.struct("source", "zoom", "x0", "y0", "x1", "y1", "found"), "priority").alias("b")).select("ext_id", "b.*")
 
 
 def finest_cover(extents: DataFrame, available: DataFrame, sources: DataFrame) -> DataFrame:
@@ -114,7 +116,7 @@ def finest_cover(extents: DataFrame, available: DataFrame, sources: DataFrame) -
     tiles = _candidates(extents, finest).select("ext_id", "tx", "ty")
     up = F.array(*[F.struct(F.lit(source).alias("source"), F.lit(zoom).alias("zoom"), F.lit(priority).alias("priority"), F.shiftright("tx", top - zoom).alias("sx"), F.shiftright("ty", top - zoom).alias("sy")) for zoom, source, priority in known])
     there = available.select("source", F.col("tx").alias("sx"), F.col("ty").alias("sy")).distinct()
-    # Spark takes exploded rows for no more bytes than the extents have; a semi join never broadcasts its left side.
+    # As above, the exploded rows stay out of broadcasts.
     met = tiles.select("ext_id", "tx", "ty", F.inline(up)).join(there, ["source", "sx", "sy"], "left_semi")
     return met.groupBy("ext_id", "tx", "ty").agg(F.min_by(F.struct("source", "zoom", "sx", "sy"), "priority").alias("b")).select("ext_id", "tx", "ty", "b.*")
 

@@ -94,3 +94,13 @@ def test_covers_are_not_broadcast(spark):
     """Tiles of extents are many more bytes than the extents, which Spark doesn't see."""
     plan = tiles.finest_cover(*_degrees(spark, 50), tiles.registry(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" in plan and "Broadcast" not in plan
+
+
+def test_sources_of_extents_are_not_broadcast(spark):
+    plan = tiles.source_of_extents(*_degrees(spark, 50), tiles.registry(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and "Broadcast" not in plan
+    extents_ = _degrees(spark, 3)[0].withColumn("xmin", F.col("xmin") - F.when(F.col("ext_id") == 2, 5).otherwise(0)).withColumn("xmax", F.col("xmin") + 0.001)
+    x, y = tiles.tile_of(F.col("xmin"), F.col("ymax"), 15)
+    there = extents_.filter("ext_id < 2").select(F.lit("DEM5A 5m").alias("source"), x.alias("tx"), y.alias("ty"))
+    got = {r.ext_id: (r.source, r.found) for r in tiles.source_of_extents(extents_.union(extents_), there.union(there), tiles.registry(spark)).collect()}
+    assert {k: v[0] for k, v in got.items()} == {0: "DEM5A 5m", 1: "DEM5A 5m", 2: None} and got[2][1] is None
