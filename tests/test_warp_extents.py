@@ -59,6 +59,30 @@ def test_mixed_systems_as_one_grid(spark):
         warp.mixed_meta(catalogue.limit(0), 6676, 1.0)
 
 
+def _made(plan) -> int:
+    """Rows that the plan's explosions made, after it has run."""
+    while (kind := plan.getClass().getSimpleName()) == "AdaptiveSparkPlanExec" or kind.endswith("QueryStageExec"):
+        plan = plan.executedPlan() if kind == "AdaptiveSparkPlanExec" else plan.plan()
+    own = plan.metrics().apply("numOutputRows").value() if plan.nodeName() == "Generate" else 0
+    return own + sum(_made(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_warp_asks_for_a_long_file_by_blocks(spark):
+    """A long file that lies aslant on the target: the cells that each centre is in, without those of the whole bound."""
+    meta = GridMeta(6000, 5, 5.0, 15551000.0, 4244000.0, 5.0, -5.0, 3857)
+    target = rasters.utm_target(spark, meta, 54, 4.0)
+    cells = spark.range(meta.rows * meta.cols).select(F.lit("a").alias("path"), F.floor(F.col("id") / meta.cols).cast("int").alias("r"), (F.col("id") % meta.cols).cast("int").alias("c"), F.col("id").alias("z"))
+    got = warp.warped(cells, warp.catalogue_of(spark, {"a": meta}), target)
+    rows = sorted((r.r, r.c, r.z) for r in got.collect())
+    assert meta.rows < _made(got._jdf.queryExecution().executedPlan()) < 8 * meta.rows * meta.cols < target.rows * target.cols
+    whole = spark.range(target.rows * target.cols).select(F.floor(F.col("id") / target.cols).cast("int").alias("r"), (F.col("id") % target.cols).cast("int").alias("c"))
+    x, y = rasters.reprojected(target.x(), target.y(), 32654, 3857)
+    at = whole.withColumns({"x": x, "y": y}).toPandas()
+    sr, sc = np.floor((at.y - meta.y0) / meta.py), np.floor((at.x - meta.x0) / meta.px)
+    held = (sr >= 0) & (sr < meta.rows) & (sc >= 0) & (sc < meta.cols)
+    assert rows == sorted((int(r), int(c), int(z)) for r, c, z in zip(at.r[held], at.c[held], (sr * meta.cols + sc)[held], strict=True)) and len(rows) > 25000
+
+
 BOX = "xmin double, ymin double, xmax double, ymax double"
 
 
