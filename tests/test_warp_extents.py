@@ -1,6 +1,7 @@
 """Files in several coordinate systems, and extents against extents."""
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -108,6 +109,20 @@ def test_overlap_join(spark):
     assert extents.overlap_join(a.limit(0), b).count() == 0 == extents.overlap_join(a, b.limit(0)).count()
 
 
+def test_crowded_buckets_are_cut(spark, monkeypatch):
+    """A million pairs of one place are shared by the tasks, each pair once; other buckets stay whole."""
+    monkeypatch.setattr(extents, "BLOCK_PAIRS", 10_000, raising=False)
+    box = lambda at: [at.alias("xmin"), at.alias("ymin"), (at + 0.5).alias("xmax"), (at + 0.5).alias("ymax")]
+    there = F.when(F.col("id") < 1000, 0.25 + F.col("id") / 1e5).otherwise(F.col("id") * 8.0)
+    a, b = (spark.range(1010).select(F.col("id").alias(k), *box(there)) for k in "kv")
+    joined = extents.overlap_join(a, b)
+    joins = re.findall(r"(\w+Join) \[[^]]*\], \[[^]]*\], (\w+)", joined._jdf.queryExecution().executedPlan().toString())
+    assert {how for how, kind in joins if kind == "Inner"} == {"SortMergeJoin"}  # exploded rows are not broadcast
+    tasks = {r[0]: r[1] for r in joined.groupBy(F.spark_partition_id()).count().collect()}
+    assert sum(tasks.values()) == 1_000_010 and max(tasks.values()) < 600_000
+    assert joined.select("k", "v").distinct().count() == 1_000_010
+
+
 def _degrees(spark, n):
     """n extents of some tiles each, and a table of tiles that is too large to broadcast."""
     at = spark.range(n).select(F.col("id").alias("ext_id"), (F.lit(138.0) + F.col("id") % 7 * 0.01).alias("xmin"), (F.lit(35.0) + F.col("id") % 5 * 0.01).alias("ymin"))
