@@ -109,7 +109,8 @@ def warped(cells: DataFrame, catalogue: DataFrame, target: GridMeta) -> DataFram
     at = F.struct(F.floor((F.col("ty") - F.col("top")) / F.col("py")).alias("sr"), F.floor((F.col("tx") - F.col("left")) / F.col("px")).alias("sc"))
     held = placed.select("*", F.inline(F.array(at))).filter("sr >= r0 AND sr < r0 + rows AND sc >= c0 AND sc < c0 + cols")
     found = held.select("path", "r", "c", F.col("sr").cast("int").alias("sr"), F.col("sc").cast("int").alias("sc"))
-    return found.join(cells.select("path", F.col("r").alias("sr"), F.col("c").alias("sc"), "z"), ["path", "sr", "sc"]).select("path", "r", "c", "z")
+    # Merged: Spark takes exploded rows for no more bytes than the blocks' rows have, and would broadcast them.
+    return found.join(cells.select("path", F.col("r").alias("sr"), F.col("c").alias("sc"), "z").hint("merge"), ["path", "sr", "sc"]).select("path", "r", "c", "z")
 
 
 def merge_mixed(cells: DataFrame, catalogue: DataFrame, epsg: int, cell: float) -> tuple[DataFrame, GridMeta]:
